@@ -4,9 +4,10 @@
    the band hashes. Texts of equal sets are one class from here on, so thousands of copies cost one row.
 2. Classes that share a band with others are compared with the least class of that band; the pair of a class with
    the best signature agreement is confirmed on full sets. That joins nearly everything.
-3. Bands that still hold several components are searched in full: members meet in blocks of bounded size, pairs of
-   different components pass the signature check, and are confirmed on full sets. So no link that shares a band is
-   lost, and a band whose members are already one component costs nothing.
+3. Bands that still hold several components are searched in full: members meet in blocks of bounded size, and pairs of
+   different components that pass the signature check are compared exactly, by their differences from one common set.
+   A block gives only the links that join its components. So no link that shares a band is lost, and a band whose
+   members are already one component costs nothing.
 4. Components by large-star and small-star.
 """
 
@@ -38,7 +39,7 @@ class MinHashConfig:
     bands: int = 25
     rows: int = 5
     slack: float = 0.17
-    block: int = 512
+    block: int = 4096
     seed: int = 7
 
 
@@ -154,26 +155,68 @@ def _confirm(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return run
 
 
-def _meet(k: int, bands: int, least: float) -> Callable[[pa.Table], pa.Table]:
-    """Pairs of different components in one block of a band that agree enough and share no earlier band."""
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a member's set lacks of its hub's and has besides: all that is needed to compare two members exactly."""
+    for batch in batches:
+        minus, plus, size = [], [], []
+        for x, y in zip(batch["members_a"], batch["members_b"], strict=True):
+            own, hub = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
+            minus.append(np.setdiff1d(hub, own, assume_unique=True).tobytes())
+            plus.append(np.setdiff1d(own, hub, assume_unique=True).tobytes())
+            size.append(len(hub))
+        yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(size, type=pa.int64()), pa.array(minus, type=pa.binary()), pa.array(plus, type=pa.binary())], names=["a", "b", "hub_size", "minus", "plus"])
+
+
+class _Ragged:
+    """Sets of numbers of many rows, for counting what each has in common with one of them."""
+
+    def __init__(self, column: pa.ChunkedArray) -> None:
+        each = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in column]
+        self.size = np.array([len(x) for x in each])
+        self.at = np.concatenate([[0], np.cumsum(self.size)])
+        self.row = np.repeat(np.arange(len(each)), self.size)
+        values, self.code = np.unique(np.concatenate([np.empty(0, dtype=np.uint64), *each]), return_inverse=True)
+        self.flag = np.zeros(len(values), dtype=bool)
+
+    def common(self, y: int) -> np.ndarray:
+        own = self.code[self.at[y] : self.at[y + 1]]
+        self.flag[own] = True
+        counts = np.bincount(self.row, weights=self.flag[self.code], minlength=len(self.size)).astype(np.int64)
+        self.flag[own] = False
+        return counts
+
+
+def _link(k: int, bands: int, percent: int, least: float) -> Callable[[pa.Table], pa.Table]:
+    """Links between components in one block of a band, no more than join the components there.
+
+    Pairs of different components that agree enough and share no earlier band are compared exactly, by what each of
+    them lacks of the hub and has besides."""
 
     def run(rows: pa.Table) -> pa.Table:
-        node, part, side = (np.asarray(rows[c]) for c in ("node", "component", "side"))
-        order = np.lexsort((node, part))
+        node, side, size = (np.asarray(rows[c]) for c in ("node", "side", "n_shingles"))
+        _, part = np.unique(np.asarray(rows["component"]), return_inverse=True)
         sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), dtype=np.uint16).reshape(-1, k)
         band = np.asarray(pa.compute.list_flatten(rows["bands"])).reshape(-1, bands)
-        number, diagonal = rows["band"][0].as_py(), rows["i"][0].as_py() == rows["j"][0].as_py()
+        number, hub = rows["band"][0].as_py(), rows["hub_size"][0].as_py()
+        diagonal = rows["i"][0].as_py() == rows["j"][0].as_py()
+        minus, plus = _Ragged(rows["minus"]), _Ragged(rows["plus"])
+        count = np.bincount(part)
         left, right = [], []
-        for place, x in enumerate(order):
-            rest = order[place + 1 :]
-            rest = rest[(part[rest] != part[x]) & (diagonal | (side[rest] != side[x]))]
-            rest = rest[(sig[rest] == sig[x]).mean(axis=1) >= least] if len(rest) else rest
-            if len(rest):
-                rest = rest[(band[rest] == band[x]).argmax(axis=1) == number]
-                left.append(np.full(len(rest), node[x]))
-                right.append(node[rest])
-        empty = np.empty(0, dtype=np.int64)
-        return pa.table({"a": np.concatenate([empty, *left]), "b": np.concatenate([empty, *right])})
+        for y in np.lexsort((node, part, count[part]))[: len(node) - count.max()]:  # members of the largest are met by all others
+            near = np.flatnonzero((part != part[y]) & (diagonal | (side != side[y])))
+            near = near[(sig[near] == sig[y]).mean(axis=1) >= least]
+            near = near[(band[near] == band[y]).argmax(axis=1) == number] if len(near) else near
+            if not len(near):
+                continue
+            both = hub - (minus.size + minus.size[y] - minus.common(y)) + plus.common(y)
+            linked = near[100 * both[near] >= percent * (size[near] + size[y] - both[near])]
+            for x in linked:
+                if part[x] != part[y]:
+                    left.append(node[y])
+                    right.append(node[x])
+                    old, new = part[y], part[x]
+                    part[part == old] = new
+        return pa.table({"a": pa.array(left, type=pa.int64()), "b": pa.array(right, type=pa.int64())})
 
     return run
 
@@ -198,46 +241,46 @@ def near_duplicates(docs: DataFrame, config: MinHashConfig | None = None, *, id_
 
     classes = scratch.put(sketch.where("n_shingles > 0 AND id IS NOT NULL").groupBy("high", "low").agg(F.min("id").alias("node")), "classes")
     member = sketch.join(classes, (sketch["id"] == classes["node"]) & (sketch["high"] == classes["high"]) & (sketch["low"] == classes["low"]), "left_semi")
-    banded = member.select("id", F.posexplode("bands").alias("band", "h")).distinct()
-    shared = banded.groupBy("h").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    bucket = scratch.put(banded.join(shared, "h").select("h", "band", F.col("id").alias("node"), "hub", "n"), "buckets")
+    banded = member.select("id", F.posexplode("bands").alias("band", "h"))
+    shared = banded.groupBy("h").agg(F.min("id").alias("hub"), F.max("id").alias("far")).where("hub <> far").select("h", "hub")
+    bucket = scratch.put(banded.join(shared, "h").select("h", "band", F.col("id").alias("node"), "hub"), "buckets")
 
-    sketched = member.select("id", "sig", "bands").dropDuplicates(["id"])
     met = bucket.select("node").distinct()
-    sigs = scratch.put(sketched.join(met, sketched["id"] == met["node"], "left_semi"), "sigs")
+    sigs = scratch.put(member.select("id", "n_shingles", "sig", "bands").join(met, F.col("id") == met["node"], "left_semi").dropDuplicates(["id"]), "sigs")
     needed = scratch.put(classes.join(met, "node", "left_semi"), "needed")
     sets = scratch.put(texts.join(needed, texts["id"] == needed["node"]).select("id", "text", "high", "low").mapInArrow(_sets(config), "id long, members binary").dropDuplicates(["id"]), "sets")
 
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+    def with_sets(pairs: DataFrame) -> DataFrame:
         a, b = sets.select(F.col("id").alias("a"), F.col("members").alias("members_a")), sets.select(F.col("id").alias("b"), F.col("members").alias("members_b"))
-        return scratch.put(pairs.join(a, "a").join(b, "b").select("a", "b", "members_a", "members_b").mapInArrow(_confirm(config.percent), "a long, b long"), name)
+        return pairs.join(a, "a").join(b, "b").select("a", "b", "members_a", "members_b")
 
     a, b = sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"))
     stars = bucket.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     least = config.percent / 100 - config.slack
     agreed = stars.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_agreement(k), "a long, b long, share double").where(F.col("share") >= least)
     best = agreed.groupBy("a").agg(F.max_by("b", F.struct("share", -F.col("b"))).alias("b"))
-    links = confirmed(best, "links-1")
+    links = scratch.put(with_sets(best).mapInArrow(_confirm(config.percent), "a long, b long"), "links-1")
     reached = connected_components(links, scratch, "first")
 
-    placed = bucket.join(reached, "node", "left").select("h", "band", "node", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+    placed = scratch.put(bucket.join(reached, "node", "left").select("h", "band", "node", F.coalesce("component", "node").alias("component")).distinct(), "placed")
+    mixed = placed.groupBy("h").agg(F.min("component").alias("hub"), F.max("component").alias("far"), F.count("*").alias("n")).where("hub <> far")
+    open_ = scratch.put(placed.join(mixed, "h").select("h", "band", "node", "component", "hub", "n"), "open")
+    differ = with_sets(open_.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()).mapInArrow(_differences, "a long, b long, hub_size long, minus binary, plus binary")
+    differ = scratch.put(differ.withColumnsRenamed({"a": "node", "b": "hub"}).join(sigs.withColumnRenamed("id", "node"), "node"), "differ")
     blocked = (
-        placed.join(mixed, "h")
-        .withColumn("blocks", F.ceil(F.col("n") / config.block).cast("int"))
+        open_.withColumn("blocks", F.ceil(F.col("n") / config.block).cast("int"))
         .withColumn("side", F.pmod(F.xxhash64("node", F.lit(config.seed)), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("h", "band", "node", "component", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
-        .join(sigs.withColumnRenamed("id", "node"), "node")
+        .select("h", "band", "node", "component", "hub", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
+        .join(differ, ["node", "hub"])
     )
-    pairs = blocked.groupBy("h", "i", "j").applyInArrow(_meet(k, config.bands, least), "a long, b long")
-    more = confirmed(pairs, "links-2")
+    more = scratch.put(blocked.groupBy("h", "i", "j").applyInArrow(_link(k, config.bands, config.percent, least), "a long, b long"), "links-2")
     both = connected_components(links.unionByName(more), scratch, "last")
 
     grouped = classes.join(both, "node", "left").select("high", "low", F.coalesce("component", "node").alias("component"))
     rows = sketch.select("id", "n_shingles", "high", "low").join(grouped, ["high", "low"], "left")
     component = F.when(F.col("id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "id"))
-    scratch.drop("buckets", "sigs", "needed", "sets")
+    scratch.drop("buckets", "sigs", "needed", "sets", "placed", "open", "differ")
     return rows.select(F.col("id").alias(id_column), "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col(id_column) == F.col("component_id"), F.lit(True)))
 
 
