@@ -3,8 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spanloom.llm.minhash import keep_one
+from spanloom.llm.packing import pack
+from spanloom.llm.quality import keep_good
+from spanloom.llm.scratch import Scratch
+from spanloom.llm.substring_dedup import cleaned
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,7 +24,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return keep_one(docs)
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 35 words or more that start more than once are cut; n_chars follows the text."""
+    return cleaned(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 1024 tokens."""
+    return pack(docs, TOKENIZER)
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("substrings", substrings), ("packing", packing)]
 
 #: The stages cannot be expressed in SQL; tests hold them against brute force.
 ORACLE_SQL = None
@@ -20,8 +42,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after another over the documents; each result is written and read again."""
-    from spanloom.llm.scratch import Scratch
-
     docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
     for name, stage in STAGES[:-1]:
         docs = scratch.put(stage(spark, docs, sf_dir), name)
