@@ -39,7 +39,7 @@ class QualityConfig:
     """sample: most texts that the scorer is fitted on (drawn by hash); all others are counted and judged alike.
     bits: of the hashed feature space. reject: a text goes when its probability of junk is at least this."""
 
-    sample: int = 8000
+    sample: int = 6000
     bits: int = 18
     steps: int = 300
     reject: float = 0.5
@@ -182,8 +182,8 @@ def _featured(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
         for batch in batches:
             for part in W.slices(batch):
                 slot, value, at = features(part["text"], bits)
-                at = pa.array(at.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([part["pattern"], pa.ListArray.from_arrays(at, pa.array(slot.astype(np.int32))), pa.ListArray.from_arrays(at, pa.array(value.astype(np.float32)))], names=["pattern", "slots", "vals"])
+                packed = [[x[a:b].tobytes() for a, b in pairwise(at)] for x in (slot.astype("<i4"), value.astype("<f4"))]
+                yield pa.RecordBatch.from_arrays([part["tag"], part["pattern"], *(pa.array(x, type=pa.binary()) for x in packed)], names=["tag", "pattern", "slots", "vals"])
 
     return run
 
@@ -194,9 +194,9 @@ def fit_scorer(rows: list, posterior: dict[str, float], config: QualityConfig) -
     if not rows:
         return weight, bias
     label = np.array([posterior[r["pattern"]] for r in rows])
-    size = np.array([len(r["slots"]) for r in rows])
-    row = np.repeat(np.arange(len(rows)), size)
-    slot, value = np.concatenate([np.asarray(r["slots"], dtype=np.int64) for r in rows]), np.concatenate([np.asarray(r["vals"], dtype=float) for r in rows])
+    row = np.repeat(np.arange(len(rows)), [len(r["slots"]) // 4 for r in rows])
+    slot = np.frombuffer(b"".join(r["slots"] for r in rows), dtype="<i4")
+    value = np.frombuffer(b"".join(r["vals"] for r in rows), dtype="<f4").astype(np.float64)
     # both classes weigh half
     share = np.clip(label.mean(), 0.02, 0.98)
     importance = label * (0.5 / share) + (1 - label) * (0.5 / (1 - share))
@@ -243,8 +243,8 @@ def classify(docs: DataFrame, config: QualityConfig | None = None, *, id_column:
     counts = [(r["pattern"], r["count"]) for r in voted.groupBy("pattern").count().orderBy("pattern").collect()]  # at most 3 to the number of labellers
     posterior, _ = expectation_maximisation(counts)
     drawn = voted.select("tag", "pattern").distinct().orderBy(F.xxhash64("tag", F.lit(config.seed)), "tag").limit(config.sample)
-    fitted_on = texts.join(F.broadcast(drawn), "tag").dropDuplicates(["tag"]).select("pattern", "text")  # at most config.sample small rows
-    rows = fitted_on.mapInArrow(_featured(config.bits), "pattern string, slots array<int>, vals array<float>").orderBy("pattern", "slots").collect()
+    fitted_on = texts.join(F.broadcast(drawn), "tag").dropDuplicates(["tag"]).select("tag", "pattern", "text")  # at most config.sample small rows
+    rows = sorted(fitted_on.mapInArrow(_featured(config.bits), "tag long, pattern string, slots binary, vals binary").collect(), key=lambda r: r["tag"])
     weight, bias = fit_scorer(rows, posterior, config)
     scored = texts.mapInArrow(_scored(weight.astype(np.float32), float(bias), config), "id long, tag long, p_junk double, kept boolean")
     patterns = voted.select("tag", "pattern").distinct()
