@@ -1,10 +1,518 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the driver's tables, and the same results in SQL.
+
+Inputs that the tables don't hold (gold and predicted extractions, spans, Markdown, signals) are derived from them by the
+same expressions on both sides. A query without SQL is held against a plain loop in the tests.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spanloom.functions import parsing as P
+from spanloom.functions import text as T
+from spanloom.operators import chunks as C
+from spanloom.operators import evaluate as E
+from spanloom.operators import evolve as V
+from spanloom.operators import inference as N
+from spanloom.operators import intervals as I
+from spanloom.operators import residual as R
+from spanloom.operators import tokens as K
+from spanloom.operators.align import align_rows
+from spanloom.plans import evaluation, extraction
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+# --- derived inputs -----------------------------------------------------------------------------------------------------
+
+_GOLD = """SELECT conv_id AS doc_id, CAST(turn AS INT) AS idx, CASE turn % 3 WHEN 0 THEN 'goal' WHEN 1 THEN 'risk' ELSE 'definition' END AS class, text,
+  CASE WHEN turn % 3 = 2 AND conv_id % 5 <> 0 THEN CASE WHEN turn % 2 = 0 THEN 'term' ELSE 'unheard' END END AS kind, turn FROM conversations"""
+_PRED = f"""SELECT doc_id, idx, CASE WHEN turn % 6 = 5 THEN 'risk' WHEN turn % 11 = 10 THEN 'tale' ELSE class END AS class,
+  CASE WHEN turn % 5 = 0 THEN lower(text) WHEN turn % 4 = 3 THEN substr(text, 1, greatest(length(text) - 10, 1)) ELSE text END AS text, kind,
+  CASE turn % 4 WHEN 0 THEN 'match_exact' WHEN 1 THEN ' Match_Lesser ' WHEN 2 THEN 'match_fuzzy' END AS alignment_status, turn FROM ({_GOLD}) g WHERE turn % 7 <> 3
+UNION ALL SELECT doc_id, idx + 1000, class, text, kind, 'match_exact', turn FROM ({_GOLD}) g WHERE turn % 5 = 1"""
+#: The evaluation's normal text without compatibility forms.
+_NORM = r"""lower(trim(regexp_replace(regexp_replace({0}, '\\+"', '"', 'g'), '\s+', ' ', 'g')))"""
+_SPANS = """SELECT doc_id, k AS span_id, CAST((doc_id * 37 + k * 211) % greatest(n, 1) AS INT) AS "start", CAST(least(n, (doc_id * 37 + k * 211) % greatest(n, 1) + 20 + (doc_id * 13 + k * 7) % 80) AS INT) AS "end"
+FROM (SELECT doc_id, length(coalesce(text, '')) AS n FROM documents) d, range(0, 6) r(k)"""
+_SIGNALS = "SELECT event_id, user_id % 10 AS bucket_id, event_type AS doc_ref, user_id AS signal_id, ts, CASE event_id % 3 WHEN 0 THEN 'new_schema' WHEN 1 THEN 'new_attr' ELSE 'noise' END AS conclusion FROM events"
+
+
+def gold_rows(spark: SparkSession, sf: str) -> DataFrame:
+    t = F.col("turn")
+    rows = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), t.cast("int").alias("idx"), F.when(t % 3 == 0, "goal").when(t % 3 == 1, "risk").otherwise("definition").alias("class"), "text", F.when((t % 3 == 2) & (F.col("conv_id") % 5 != 0), F.when(t % 2 == 0, "term").otherwise("unheard")).alias("kind"), t)
+    return rows.withColumn("attributes", F.when(F.col("kind").isNotNull(), F.create_map(F.lit("definition_type"), F.col("kind"))))
+
+
+def pred_rows(spark: SparkSession, sf: str) -> DataFrame:
+    gold, t, x = gold_rows(spark, sf), F.col("turn"), F.col("text")
+    text = F.when(t % 5 == 0, F.lower(x)).when(t % 4 == 3, F.substring(x, F.lit(1), F.greatest(F.length(x) - 10, F.lit(1)))).otherwise(x)
+    status = F.when(t % 4 == 0, "match_exact").when(t % 4 == 1, " Match_Lesser ").when(t % 4 == 2, "match_fuzzy")
+    cls = F.when(t % 6 == 5, "risk").when(t % 11 == 10, "tale").otherwise(F.col("class"))
+    first = gold.where(t % 7 != 3).withColumn("class", cls).withColumn("text", text).withColumn("alignment_status", status)
+    return first.unionByName(gold.where(t % 5 == 1).withColumn("idx", F.col("idx") + 1000).withColumn("alignment_status", F.lit("match_exact")))
+
+
+def span_rows(spark: SparkSession, sf: str) -> DataFrame:
+    k, n, d = F.col("span_id"), F.col("_n"), F.col("doc_id")
+    rows = table(spark, sf, "documents").select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("_n"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))).alias("span_id"))
+    at = (d * 37 + k * 211) % F.greatest(n, F.lit(1))
+    return rows.select("doc_id", "span_id", at.cast("int").alias("start"), F.least(n, at + 20 + (d * 13 + k * 7) % 80).cast("int").alias("end"))
+
+
+def markdown_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents' lines under headings, with a list, a fence and a table between."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    parts = F.transform(lines, lambda x, k: F.concat(F.when(k % 4 == 0, F.concat(F.lit("\n## "), F.substring(x, 1, 20), F.lit("\n"))).when(k % 4 == 1, F.lit("- ")).when(k % 4 == 2, F.lit("\n")).otherwise(F.lit("### sub\n")), x, F.lit("\n")))
+    whole = F.concat(F.lit("# "), F.coalesce("source", F.lit("")), F.lit("\n\n## Contents\n- [a](#a)\n- [b](#b)\n\n"), F.array_join(parts, ""), F.lit("```\ncode # not a heading\n```\n| a | b |\n| 1 | 2 |\n"))
+    return table(spark, sf, "documents").select("doc_id", whole.alias("text"))
+
+
+def signal_rows(spark: SparkSession, sf: str) -> DataFrame:
+    e = F.col("event_id")
+    return table(spark, sf, "events").select(e, (F.col("user_id") % 10).alias("bucket_id"), F.col("event_type").alias("doc_ref"), F.col("user_id").alias("signal_id"), "ts", F.when(e % 3 == 0, "new_schema").when(e % 3 == 1, "new_attr").otherwise("noise").alias("conclusion"))
+
+
+def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    pred, gold = E.normalised(pred_rows(spark, sf), False), E.normalised(gold_rows(spark, sf), False)
+    docs, _ = E.scored_documents(pred, gold)
+    return pred, gold, docs
+
+
+# --- evaluation ---------------------------------------------------------------------------------------------------------
+
+_SIDES = f"""WITH gold AS (SELECT *, {_NORM.format('text')} AS norm FROM ({_GOLD}) g), pred AS (SELECT *, {_NORM.format('text')} AS norm FROM ({_PRED}) p),
+docs AS (SELECT DISTINCT doc_id FROM gold WHERE doc_id IN (SELECT doc_id FROM pred))"""
+_RATIOS = """CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r"""
+
+
+def _counts_sql(keys: str, by: str = "") -> str:
+    """Documents' strict counts: keys of equality besides the text, and a grouping column."""
+    k, b = (f", {keys}" if keys else ""), (f", {by}" if by else "")
+    join = "".join(f" AND p.{x} = g.{x}" for x in keys.split(", ") if x)
+    of = f", coalesce(p.{by}, g.{by}) AS {by}" if by else ""
+    on = f" AND p.{by} = g.{by}" if by else ""
+    tie = f" AND t.{by} = s.{by}" if by else ""
+    return f"""{_SIDES},
+pc AS (SELECT doc_id, norm{k}, count(*) AS n FROM pred GROUP BY ALL), gc AS (SELECT doc_id, norm{k}, count(*) AS n FROM gold GROUP BY ALL),
+tp AS (SELECT p.doc_id{', p.' + by if by else ''}, sum(least(p.n, g.n)) AS tp FROM pc p JOIN gc g ON p.doc_id = g.doc_id AND p.norm = g.norm{join} GROUP BY ALL),
+pn AS (SELECT doc_id{b}, count(*) AS n FROM pred GROUP BY ALL), gn AS (SELECT doc_id{b}, count(*) AS n FROM gold GROUP BY ALL),
+s AS (SELECT coalesce(p.doc_id, g.doc_id) AS doc_id{of}, coalesce(p.n, 0) AS np, coalesce(g.n, 0) AS ng FROM pn p FULL JOIN gn g ON p.doc_id = g.doc_id{on}),
+counts AS (SELECT s.doc_id{', s.' + by if by else ''}, coalesce(t.tp, 0) AS tp, s.np - coalesce(t.tp, 0) AS fp, s.ng - coalesce(t.tp, 0) AS fn FROM s JOIN docs USING (doc_id) LEFT JOIN tp t ON t.doc_id = s.doc_id{tie})"""
+
+
+def _micro_sql(metric: str, keys: str, by: str = "") -> str:
+    b = f"{by}, " if by else ""
+    return f"""{_counts_sql(keys, by)}, m AS (SELECT {b}sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM counts GROUP BY ALL), q AS (SELECT *, {_RATIOS} FROM m)
+SELECT {b}'{metric}' AS metric, round(p, 6) AS "precision", round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1, tp, fp, fn FROM q"""
+
+
+@query(_micro_sql("detection_strict", ""))
+def eval_detection_strict_micro(spark, sf):
+    return E.micro(E.document_counts(*_sides(spark, sf), "detection_strict"), digits=6)
+
+
+@query(_micro_sql("class_strict", "class"))
+def eval_class_strict_micro(spark, sf):
+    return E.micro(E.document_counts(*_sides(spark, sf), "class_strict"), digits=6)
+
+
+@query(f"""{_counts_sql("")}, q AS (SELECT *, {_RATIOS} FROM counts)
+SELECT 'detection_strict' AS metric, round(avg(p), 6) AS "precision", round(avg(r), 6) AS recall, round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 6) AS f1, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM q""")
+def eval_strict_macro_doc(spark, sf):
+    return E.macro(E.document_counts(*_sides(spark, sf), "detection_strict"), digits=6)
+
+
+@query(_micro_sql("detection_strict", "class", "class"))
+def eval_strict_macro_class(spark, sf):
+    return E.micro(E.document_counts(*_sides(spark, sf), "detection_strict", by_class=True), ("class", "metric"), digits=6)
+
+
+@query()
+def eval_all_micro(spark, sf):
+    done = evaluation.evaluate(pred_rows(spark, sf), gold_rows(spark, sf), compatibility=False)
+    return E.micro(done.documents, digits=6)
+
+
+@query()
+def eval_error_buckets(spark, sf):
+    return E.bucket_counts(E.error_buckets(*_sides(spark, sf)))
+
+
+@query()
+def eval_error_samples(spark, sf):
+    return E.error_samples(E.error_buckets(*_sides(spark, sf)))
+
+
+@query(f"""WITH pred AS ({_PRED}), s AS (SELECT CASE WHEN lower(trim(alignment_status)) IN ('match_exact', 'match_lesser', 'match_fuzzy', 'match_none') THEN lower(trim(alignment_status)) ELSE 'match_none' END AS s FROM pred)
+SELECT k AS status, sum((s = k)::INT)::BIGINT AS numerator, count(*)::BIGINT AS denominator, round(sum((s = k)::INT) / count(*), 6) AS value FROM s, (VALUES ('match_exact'), ('match_lesser'), ('match_fuzzy'), ('match_none')) v(k) GROUP BY k""")
+def grounding_rates(spark, sf):
+    return E.grounding(pred_rows(spark, sf)).withColumn("value", F.round("value", 6))
+
+
+@query(f"""SELECT doc_id, idx, CASE WHEN class NOT IN ('goal', 'risk', 'definition') THEN 'unsupported_class:' || class WHEN class <> 'definition' THEN 'illegal_attribute_key:definition_type' ELSE 'illegal_attribute_value:definition_type=' || kind END AS reason
+FROM ({_PRED}) p WHERE class = 'tale' OR (kind IS NOT NULL AND class <> 'definition') OR (class = 'definition' AND kind = 'unheard')""")
+def structure_anomalies(spark, sf):
+    return E.anomalies(pred_rows(spark, sf)).select("doc_id", "idx", F.explode("reasons").alias("reason"))
+
+
+@query(f"""WITH p AS (SELECT *, min(idx) OVER (PARTITION BY doc_id, class, text, kind) AS first_idx FROM ({_PRED}) p) SELECT doc_id, idx, first_idx FROM p WHERE idx <> first_idx""")
+def duplicate_predictions(spark, sf):
+    return E.duplicates(pred_rows(spark, sf))
+
+
+@query(f"""WITH p AS (SELECT CASE WHEN turn % 13 = 0 THEN -doc_id - 1 ELSE doc_id END AS doc_id, idx, CASE WHEN turn % 9 = 0 THEN '  ' ELSE text END AS text FROM ({_PRED}) p)
+SELECT doc_id, idx, 'unknown_doc_id' AS problem FROM p WHERE doc_id NOT IN (SELECT conv_id FROM conversations) UNION ALL SELECT doc_id, idx, 'blank_text' FROM p WHERE trim(text) = ''""")
+def validate_predictions(spark, sf):
+    p = pred_rows(spark, sf).withColumn("doc_id", F.when(F.col("turn") % 13 == 0, -F.col("doc_id") - 1).otherwise(F.col("doc_id"))).withColumn("text", F.when(F.col("turn") % 9 == 0, "  ").otherwise(F.col("text")))
+    return E.prediction_problems(p, gold_rows(spark, sf))
+
+
+@query(f"""SELECT doc_id, idx, 'illegal_attribute_key:definition_type' AS problem FROM ({_GOLD}) g WHERE class <> 'definition' AND kind IS NOT NULL UNION ALL SELECT doc_id, idx, 'missing_attribute:definition_type' FROM ({_GOLD}) g WHERE class = 'definition' AND kind IS NULL""")
+def validate_gold(spark, sf):
+    return E.gold_problems(gold_rows(spark, sf), gold_rows(spark, sf))
+
+
+@query(f"""WITH a AS (SELECT class, count(*)::BIGINT AS n FROM ({_GOLD}) g GROUP BY class), b AS (SELECT class, count(*)::BIGINT AS n FROM ({_PRED}) p GROUP BY class)
+SELECT coalesce(a.class, b.class) AS class, coalesce(a.n, 0) AS baseline_n, coalesce(b.n, 0) AS candidate_n, coalesce(b.n, 0) - coalesce(a.n, 0) AS n_delta FROM a FULL JOIN b ON a.class = b.class""")
+def compare_class_deltas(spark, sf):
+    count = lambda x: x.groupBy("class").agg(F.count("*").alias("n"))
+    return E.deltas(count(gold_rows(spark, sf)), count(pred_rows(spark, sf)), ("class",), ("n",))
+
+
+@query()
+def compare_runs(spark, sf):
+    gold, pred = gold_rows(spark, sf), pred_rows(spark, sf)
+    better = gold.where(F.col("turn") % 7 != 3).withColumn("alignment_status", F.lit("match_exact"))
+    return evaluation.compare(evaluation.evaluate(pred, gold, compatibility=False), evaluation.evaluate(better, gold, compatibility=False)).summary
+
+
+@query(f"""WITH pairs AS (SELECT doc_id, idx, regexp_extract_all({_NORM.format('text')}, '[A-Za-z0-9_.:/-]+|\\S') AS a, regexp_extract_all({_NORM.format('lower(substr(text, 1, 60))')}, '[A-Za-z0-9_.:/-]+|\\S') AS b FROM ({_GOLD}) g),
+c AS (SELECT doc_id, idx, len(a) AS na, len(b) AS nb, list_sum(list_transform(list_distinct(b), lambda t: least(len(list_filter(a, lambda x: x = t)), len(list_filter(b, lambda x: x = t))))) AS n FROM pairs)
+SELECT doc_id, idx, coalesce(n, 0)::BIGINT AS shared, CASE WHEN na > 0 THEN round(coalesce(n, 0) / na, 6) ELSE 0 END AS over_a, CASE WHEN nb > 0 THEN round(coalesce(n, 0) / nb, 6) ELSE 0 END AS over_b FROM c""")
+def token_overlap_pairs(spark, sf):
+    rows = gold_rows(spark, sf).select("doc_id", "idx", T.eval_tokens(T.normal_text(F.col("text"), False)).alias("a"), T.eval_tokens(T.normal_text(F.lower(F.substring("text", 1, 60)), False)).alias("b"))
+    n = T.bag_overlap(F.col("b"), F.col("a"))
+    return rows.select("doc_id", "idx", n.cast("long").alias("shared"), F.round(T.safe_ratio(n, F.size("a")), 6).alias("over_a"), F.round(T.safe_ratio(n, F.size("b")), 6).alias("over_b"))
+
+
+# --- tokens, lines, chunks ----------------------------------------------------------------------------------------------
+
+
+@query(r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{M}]+|\p{Nd}+')) AS t FROM documents)
+SELECT doc_id, CASE WHEN regexp_full_match(t, '\p{Nd}+') THEN 1 ELSE 0 END AS kind, count(*)::BIGINT AS n FROM t GROUP BY ALL""")
+def tokens_by_type(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("t"))
+    return rows.select("doc_id", T.token_kind(F.col("t")).alias("kind")).where(F.col("kind") != T.PUNCTUATION).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
+
+
+@query()
+def token_spans(spark, sf):
+    return K.token_rows(table(spark, sf, "documents"))
+
+
+@query()
+def sentences_per_doc(spark, sf):
+    rows = K.sentence_rows(K.token_rows(table(spark, sf, "documents")))
+    return rows.groupBy("doc_id").agg((F.max("sentence") + 1).cast("long").alias("sentences"), F.count("*").alias("tokens"))
+
+
+@query()
+def spans_to_tokens(spark, sf):
+    return K.spans_to_tokens(span_rows(spark, sf), K.token_rows(table(spark, sf, "documents")))
+
+
+@query(f"""SELECT s.doc_id, span_id, substr(text, "start" + 1, "end" - "start") AS span_text, regexp_replace(trim(substr(text, "start" + 1, "end" - "start")), '\\s+', ' ', 'g') <> '' AS filled
+FROM ({_SPANS}) s JOIN documents d ON d.doc_id = s.doc_id""")
+def span_texts(spark, sf):
+    rows = span_rows(spark, sf).join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    cut = T.span(F.col("text"), F.col("start"), F.col("end"))
+    return rows.select("doc_id", "span_id", cut.alias("span_text"), (T.sanitize(cut) != "").alias("filled"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT doc_id, CASE WHEN regexp_matches(line, '^\s*$') THEN 'blank' WHEN length(line) - length(replace(line, '|', '')) >= 2 THEN 'table' WHEN regexp_matches(line, '^\s*\d+[.)]\s+') THEN 'numbered_item' WHEN regexp_matches(line, '^\s*[-*+]\s+') THEN 'bullet_item' WHEN regexp_matches(line, '^\s*>') THEN 'blockquote' ELSE 'paragraph' END AS kind, count(*)::BIGINT AS n
+FROM l WHERE line <> '' GROUP BY ALL""")
+def line_kinds(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", F.explode(T.lines(F.col("text"))).alias("line")).where(F.col("line") != "\n")
+    return rows.groupBy("doc_id", T.line_kind(F.col("line")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query()
+def chunks_sentence(spark, sf):
+    return C.sentence_chunk_rows(table(spark, sf, "documents"), 1000)
+
+
+@query()
+def markdown_blocks(spark, sf):
+    return C.block_rows(markdown_rows(spark, sf)).select("doc_id", "block", "kind", "level", "start", "end", "skip_reason")
+
+
+@query()
+def markdown_containers(spark, sf):
+    return C.container_rows(markdown_rows(spark, sf)).select("doc_id", "container", "kind", "first_token", "end_token", F.size("members").alias("n_blocks"))
+
+
+@query()
+def chunks_markdown(spark, sf):
+    return C.structured_chunk_rows(markdown_rows(spark, sf)).drop("containers")
+
+
+@query()
+def chunk_context_prev(spark, sf):
+    return C.with_previous(C.sentence_chunk_rows(table(spark, sf, "documents"), 500), 100).select("doc_id", "chunk", "previous")
+
+
+@query()
+def chunk_batches(spark, sf):
+    return C.batches(C.sentence_chunk_rows(table(spark, sf, "documents"), 1000), 10).select("doc_id", "chunk", "batch")
+
+
+# --- intervals and residual text ----------------------------------------------------------------------------------------
+
+_MERGED = f"""WITH s AS (SELECT DISTINCT doc_id, "start", "end" FROM ({_SPANS}) x WHERE "start" < "end"),
+m AS (SELECT *, CASE WHEN "start" > max("end") OVER (PARTITION BY doc_id ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) IS NOT FALSE THEN 1 ELSE 0 END AS new FROM s),
+i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS island FROM m),
+merged AS (SELECT doc_id, min("start") AS "start", max("end") AS "end" FROM i GROUP BY doc_id, island)"""
+_GAPS = f"""{_MERGED}, edges AS (SELECT doc_id, "start", "end" FROM merged UNION ALL SELECT doc_id, length(text), length(text) FROM documents),
+g AS (SELECT doc_id, coalesce(max("end") OVER (PARTITION BY doc_id ORDER BY "start" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, "start" AS b FROM edges)"""
+
+
+@query(f'{_MERGED} SELECT doc_id, "start", "end" FROM merged')
+def intervals_merged(spark, sf):
+    return I.merged(I.clamp(span_rows(spark, sf), table(spark, sf, "documents")))
+
+
+@query(f'{_GAPS} SELECT doc_id, a::INT AS "start", b::INT AS "end" FROM g WHERE a < b')
+def residual_gaps(spark, sf):
+    docs = table(spark, sf, "documents")
+    return I.complement(I.merged(I.clamp(span_rows(spark, sf), docs)), docs)
+
+
+@query(f"""{_MERGED}, c AS (SELECT doc_id, sum("end" - "start") AS n FROM merged GROUP BY doc_id)
+SELECT d.doc_id, length(d.text)::BIGINT AS n_chars, coalesce(c.n, 0)::BIGINT AS covered_chars, CASE WHEN length(d.text) > 0 THEN round(coalesce(c.n, 0) / length(d.text), 6) ELSE 0 END AS ratio FROM documents d LEFT JOIN c USING (doc_id)""")
+def coverage_ratio(spark, sf):
+    docs = table(spark, sf, "documents")
+    return R.coverage(docs, I.merged(I.clamp(span_rows(spark, sf), docs)))
+
+
+@query(f"""SELECT a.doc_id, a.span_id, b.span_id AS r_span_id FROM ({_SPANS}) a JOIN ({_SPANS}) b ON a.doc_id = b.doc_id AND a."start" < b."end" AND b."start" < a."end" WHERE a.span_id < b.span_id AND a."start" < a."end" AND b."start" < b."end" """)
+def span_overlaps(spark, sf):
+    spans = span_rows(spark, sf)
+    right = spans.select("doc_id", F.col("span_id").alias("r_span_id"), F.col("start").alias("r_start"), F.col("end").alias("r_end"))
+    return I.overlaps(spans, right).where("span_id < r_span_id").select("doc_id", "span_id", "r_span_id")
+
+
+@query(f"""WITH e AS (SELECT doc_id, span_id, "start" AS pos, 'start' AS event, "start" - "end" AS k FROM ({_SPANS}) s WHERE "start" < "end" UNION ALL SELECT doc_id, span_id, "end", 'end', "end" - "start" FROM ({_SPANS}) s WHERE "start" < "end")
+SELECT doc_id, span_id, pos, event, (row_number() OVER (PARTITION BY doc_id ORDER BY pos, event, k, span_id) - 1)::INT AS ord FROM e""")
+def highlight_events(spark, sf):
+    return I.highlight_events(span_rows(spark, sf))
+
+
+@query(f"""WITH t AS (SELECT doc_id, span_id, "start" AS "at" FROM ({_SPANS}) s), h AS (SELECT doc_id, span_id * 100 AS "start", 'state ' || span_id AS state FROM ({_SPANS}) s WHERE span_id % 2 = 1)
+SELECT t.doc_id, t.span_id, h.state FROM t ASOF LEFT JOIN h ON t.doc_id = h.doc_id AND t."at" >= h."start" """)
+def heading_asof(spark, sf):
+    points = span_rows(spark, sf).select("doc_id", "span_id", "start")
+    states = span_rows(spark, sf).where("span_id % 2 = 1").select("doc_id", (F.col("span_id") * 100).cast("int").alias("start"), F.concat(F.lit("state "), F.col("span_id").cast("string")).alias("state"))
+    return I.as_of(points, states, "state").select("doc_id", "span_id", "state")
+
+
+@query(f"""SELECT s.doc_id, span_id, substr(text, greatest("start" - 200, 0) + 1, "start" - greatest("start" - 200, 0)) AS before, substr(text, "end" + 1, 200) AS after FROM ({_SPANS}) s JOIN documents d USING (doc_id)""")
+def neighbor_text(spark, sf):
+    blocks = span_rows(spark, sf)
+    return R.neighbour_texts(table(spark, sf, "documents"), blocks, "medium").select("doc_id", "span_id", "before", "after")
+
+
+@query(f"""WITH b AS (SELECT doc_id, span_id AS block_id, greatest("start" - 100, 0) AS s, "end" + 100 AS e FROM ({_SPANS}) x WHERE span_id < 2)
+SELECT b.doc_id, b.block_id::INT AS block_id, count(x.doc_id)::BIGINT AS n FROM b LEFT JOIN ({_SPANS}) x ON x.doc_id = b.doc_id AND x."start" < b.e AND b.s < x."end" AND x."start" < x."end" GROUP BY ALL""")
+def neighbor_extractions(spark, sf):
+    spans = span_rows(spark, sf)
+    blocks = spans.where("span_id < 2").withColumn("block_id", F.col("span_id").cast("int"))
+    near = spans.select("doc_id", "start", "end", F.lit("x").alias("class"), F.col("span_id").cast("string").alias("text"))
+    return I.neighbours(blocks, near, 100).select("doc_id", "block_id", F.size("neighbours").cast("long").alias("n"))
+
+
+@query()
+def heading_trees(spark, sf):
+    return I.heading_trees(I.heading_rows(I.fence_lines(I.line_rows(markdown_rows(spark, sf))))).select("doc_id", "start", F.array_join("tree", " > ").alias("tree"))
+
+
+@query()
+def section_content(spark, sf):
+    docs = markdown_rows(spark, sf)
+    return I.section_text(docs, I.heading_rows(I.fence_lines(I.line_rows(docs))), "### sub")
+
+
+@query()
+def residual_blocks_clean(spark, sf):
+    spans = span_rows(spark, sf).withColumn("class", F.lit("x"))
+    return R.residual_blocks(markdown_rows(spark, sf), spans, fences=True).withColumn("tree", F.array_join("tree", " > "))
+
+
+@query()
+def passes_merged(spark, sf):
+    spans = span_rows(spark, sf).where("start < end").withColumn("pass", (F.col("span_id") % 3).cast("int")).withColumn("ord", F.col("span_id"))
+    return I.kept_passes(spans).select("doc_id", "span_id", "pass", "start", "end")
+
+
+# --- parsing, inference, alignment --------------------------------------------------------------------------------------
+
+_OUTPUT = """'{"extractions":[{"' || event_type || '":"' || user_id || '","' || event_type || '_attributes":{"k":"' || event_id % 7 || '"}},{"count":' || event_id || '}]}'"""
+
+
+def _outputs(spark: SparkSession, sf: str) -> DataFrame:
+    e = lambda c: F.col(c).cast("string")
+    body = F.concat(F.lit('{"extractions":[{"'), F.col("event_type"), F.lit('":"'), e("user_id"), F.lit('","'), F.col("event_type"), F.lit('_attributes":{"k":"'), (F.col("event_id") % 7).cast("string"), F.lit('"}},{"count":'), e("event_id"), F.lit("}]}"))
+    k = F.col("event_id") % 6
+    output = F.when(k == 0, F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```"))).when(k == 1, F.concat(F.lit("```\n"), body, F.lit("\n```"))).when(k == 2, F.concat(F.lit("<think>{no}</think>\n"), body)).when(k == 3, F.lit("{broken")).otherwise(body)
+    return table(spark, sf, "events").select("event_id", output.alias("output"))
+
+
+@query("SELECT CASE WHEN event_id % 6 = 3 THEN 'not JSON' ELSE 'ok' END AS result, count(*)::BIGINT AS n FROM events GROUP BY 1")
+def parse_errors(spark, sf):
+    return P.parse_outputs(_outputs(spark, sf)).groupBy(F.coalesce("parse_error", F.lit("ok")).alias("result")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT event_id, 0 AS group_index, 1 AS extraction_index, event_type AS class, user_id::VARCHAR AS text, (event_id % 7)::VARCHAR AS k FROM events WHERE event_id % 6 <> 3
+UNION ALL SELECT event_id, 1, 2, 'count', event_id::VARCHAR, NULL FROM events WHERE event_id % 6 <> 3""")
+def flatten_extractions(spark, sf):
+    flat = P.flatten(P.parse_outputs(_outputs(spark, sf)), ["event_id"])
+    return flat.select("event_id", "group_index", "extraction_index", "class", "text", F.try_element_at("attributes", F.lit("k")).alias("k"))
+
+
+_TEMPLATE = N.Template("List the numbers.", (N.Example("Call 12 now.", (("number", "12", {}),)),))
+_RULES = N.Rules((("number", r"\d{2,}", {}), ("title", r"[A-Z][a-z]+ of [a-z]+", {"kind": "of"})))
+
+
+@query()
+def prompts_rendered(spark, sf):
+    return N.prompts(C.with_previous(C.sentence_chunk_rows(table(spark, sf, "documents"), 500), 50), _TEMPLATE).select("doc_id", "chunk", "prompt")
+
+
+@query()
+def extract_documents(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    rows = extraction.extract(docs, _TEMPLATE, _RULES, extraction.ExtractConfig(limit=500))
+    return rows.select("doc_id", "chunk", "ord", "class", "text", "status", "start", "end")
+
+
+@query()
+def align_status(spark, sf):
+    """The documents' first words as they are, with plurals, cut short and unknown, in their sentence chunks."""
+    chunks = C.sentence_chunk_rows(table(spark, sf, "documents"), 300).where("chunk = 0")
+    words = F.split(F.regexp_replace("chunk_text", r"\s+", " "), " ")
+    texts = F.array(F.array_join(F.slice(words, 1, 3), " "), F.concat(F.array_join(F.slice(words, 4, 4), " "), F.lit(" zzzz")), F.array_join(F.transform(F.slice(words, 9, 3), lambda w: F.concat(w, F.lit("s"))), " "), F.lit("qqqq xxxx"))
+    wanted = chunks.select("doc_id", "chunk", F.posexplode(texts).alias("ord", "text"))
+    return align_rows(chunks, wanted).select("doc_id", "chunk", "ord", "status", "start", "end")
+
+
+@query("SELECT count(DISTINCT event_type)::BIGINT AS asked, count(*)::BIGINT AS answered FROM events")
+def inference_memo(spark, sf):
+    asked = table(spark, sf, "events").select("event_id", F.concat(F.lit("Q: about "), "event_type", F.lit("\nA: ")).alias("prompt"))
+    rows, news = N.infer(asked, _RULES)
+    return news.agg(F.count("*").alias("asked")).crossJoin(rows.where("output IS NOT NULL").agg(F.count("*").alias("answered")))  # one row each
+
+
+# --- signals, neighbours, buckets ---------------------------------------------------------------------------------------
+
+
+@query(r"""WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_./:-]+')) AS t FROM benchmark), h AS (SELECT item_id, sha256(t) AS h, count(*) AS n FROM w GROUP BY item_id, t),
+e AS (SELECT item_id, (('0x' || substr(h, 1, 8))::BIGINT % 256)::INT AS slot, sum(n * CASE WHEN ('0x' || substr(h, 9, 2))::BIGINT % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS v FROM h GROUP BY ALL HAVING sum(n * CASE WHEN ('0x' || substr(h, 9, 2))::BIGINT % 2 = 0 THEN 1 ELSE -1 END) <> 0)
+SELECT item_id, slot, round(v / sqrt(sum(v * v) OVER (PARTITION BY item_id)), 6) AS value FROM e""")
+def hash_embedding(spark, sf):
+    return V.hash_embedding(table(spark, sf, "benchmark"), "item_id", "text").withColumn("value", F.round("value", 6))
+
+
+_KNN = """WITH h AS (SELECT q.vec_id AS query_id, e.vec_id AS signal_id, e.label AS bucket_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS similarity FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, signal_id, bucket_id) AS rank FROM h QUALIFY rank <= 20)"""
+
+
+def _hits(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings")
+    index = e.select(F.col("vec_id").alias("signal_id"), F.col("label").alias("bucket_id"), F.col("embedding").alias("vector"))
+    return V.nearest(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), index, 20, "source_index")
+
+
+@query(f"{_KNN} SELECT query_id, signal_id, bucket_id, round(similarity, 6) AS similarity, rank::INT AS rank FROM k")
+def knn_topk(spark, sf):
+    return _hits(spark, sf).select("query_id", "signal_id", "bucket_id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("int").alias("rank"))
+
+
+_FUSED = f"""{_KNN}, b AS (SELECT query_id, signal_id, bucket_id, rank, similarity FROM k UNION ALL SELECT query_id, signal_id, bucket_id, 21 - rank, similarity FROM k WHERE rank <= 10),
+f AS (SELECT query_id, signal_id, bucket_id, sum(1.0::DOUBLE / (60 + rank)) AS s, min(rank) AS best_rank, max(similarity) AS c FROM b GROUP BY ALL)"""
+
+
+def _two_indexes(spark: SparkSession, sf: str) -> DataFrame:
+    hits = _hits(spark, sf)
+    return hits.unionByName(hits.where("rank <= 10").withColumn("rank", 21 - F.col("rank")).withColumn("index_name", F.lit("reason_index")))
+
+
+@query(f"{_FUSED} SELECT query_id, signal_id, bucket_id, round(s, 6) AS similarity, best_rank::INT AS best_rank FROM f")
+def rrf_fused(spark, sf):
+    return V.fused(_two_indexes(spark, sf)).select("query_id", "signal_id", "bucket_id", F.round("similarity", 6).alias("similarity"), F.col("best_rank").cast("int").alias("best_rank"))
+
+
+_SCORES = f"""{_FUSED}, w AS (SELECT *, CASE WHEN c >= 0.75 THEN (c - 0.75) / 0.25 WHEN c <= 0.45 THEN -((0.45 - c) / 0.45) ELSE 0.3 * (c - 0.45) / 0.3 END AS w FROM f),
+z AS (SELECT query_id, bucket_id, ln(1 + sum(greatest(w, 0)) ** 2 / (sum(greatest(w, 0) ** 2) + 1e-9)) * sum(w) AS score, count(*)::BIGINT AS support, sum((c >= 0.75)::INT)::BIGINT AS high, sum((c <= 0.45)::INT)::BIGINT AS low FROM w GROUP BY ALL)"""
+_COSINE = V.RouteConfig(similarity="cosine")
+
+
+@query(f"{_SCORES} SELECT query_id, bucket_id, round(score, 5) + 0 AS score, support, high, low FROM z")
+def bucket_scores(spark, sf):
+    return V.bucket_scores(V.fused(_two_indexes(spark, sf)), _COSINE).select("query_id", "bucket_id", (F.round("score", 5) + 0).alias("score"), "support", "high", "low")
+
+
+@query(f"""{_SCORES}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, bucket_id) AS k FROM z)
+SELECT query_id, CASE WHEN score >= 0.6 THEN bucket_id::VARCHAR ELSE 'bucket_' || query_id END AS bucket_id, score < 0.6 AS created, CASE WHEN score >= 0.6 THEN 'matched_existing_bucket' ELSE 'created_new_bucket' END AS route_reason FROM t WHERE k = 1""")
+def routes(spark, sf):
+    scores = V.bucket_scores(V.fused(_two_indexes(spark, sf)), _COSINE)
+    return V.routes(scores.select("query_id"), scores, _COSINE).drop("score")
+
+
+@query(f"""SELECT signal_id, max_by(event_id, (ts, event_id)) AS event_id, max_by(conclusion, (ts, event_id)) AS conclusion FROM ({_SIGNALS}) s WHERE conclusion <> 'noise' GROUP BY signal_id""")
+def signals_latest(spark, sf):
+    return V.latest(V.proposing(signal_rows(spark, sf)), "signal_id", F.struct("ts", "event_id")).select("signal_id", "event_id", "conclusion")
+
+
+_SUPPORT = f"SELECT bucket_id, count(DISTINCT signal_id)::BIGINT AS signals, count(DISTINCT doc_ref)::BIGINT AS docs FROM ({_SIGNALS}) s GROUP BY bucket_id"
+
+
+@query(_SUPPORT)
+def bucket_support(spark, sf):
+    return V.support(signal_rows(spark, sf))
+
+
+@query(f"SELECT bucket_id, signals, docs, 'stable' AS status FROM ({_SUPPORT}) b WHERE docs >= 2 AND signals >= 5 AND bucket_id % 3 <> 0")
+def bucket_eligible(spark, sf):
+    status = F.when(F.col("bucket_id") % 3 == 0, "archived").when(F.col("bucket_id") % 3 == 1, "incubating").otherwise("stable")
+    return V.eligible(V.support(signal_rows(spark, sf)).withColumn("status", status))
+
+
+@query("""SELECT 'sig_' || substr(sha1(event_type || ':' || event_id || ':' || CASE event_id % 3 WHEN 0 THEN 'new_schema' ELSE 'new_attr' END), 1, 16) AS signal_id, event_id::INT AS block_id, 'h' || chr(10) || event_type AS source_embedding_text FROM events WHERE event_id % 3 < 2""")
+def signals_built(spark, sf):
+    found = V.proposing(signal_rows(spark, sf)).select("doc_ref", F.col("event_id").cast("int").alias("block_id"), "conclusion", F.lit("why").alias("reason"))
+    blocks = table(spark, sf, "events").select(F.col("event_type").alias("doc_ref"), F.col("event_id").cast("int").alias("block_id"), F.col("event_type").alias("text"), F.array(F.lit("h")).alias("tree"))
+    return V.build_signals(found, blocks).select("signal_id", "block_id", "source_embedding_text")
+
+
+@query("SELECT page_id, regexp_full_match(url, 'https?://([A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)*|localhost)(:\\d{1,5})?(/\\S*)?(\\?\\S*)?(#\\S*)?') AS is_url FROM pages")
+def page_urls(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.is_url(F.col("url")).alias("is_url"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 # --- tokens -----------------------------------------------------------------------------------------------------------
 
@@ -222,30 +224,28 @@ def safe_ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
-@F.pandas_udf(IntegerType())
-def common_run(a: pd.Series, b: pd.Series) -> pd.Series:
+def _longest_run(x: list[str], y: list[str]) -> int:
     """The longest run of tokens that both lists have."""
-
-    def longest(x: np.ndarray, y: np.ndarray) -> int:
-        if not len(x) or not len(y):
-            return 0
-        code = {t: k for k, t in enumerate(dict.fromkeys([*x, *y]))}
-        p, q = np.array([code[t] for t in x]), np.array([code[t] for t in y])
-        best, row = 0, np.zeros(len(q) + 1, dtype=np.int32)
-        for one in p:
-            new = np.zeros_like(row)
-            new[1:] = np.where(q == one, row[:-1] + 1, 0)
-            best, row = max(best, int(new.max())), new
-        return best
-
-    return pd.Series([longest(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
-
-
-def overlap_stats(pred: Column, label: Column) -> Column:
-    """precision, recall, f1 and the longest-run ratio of two token lists."""
-    both = bag_overlap(pred, label)
-    p, r = safe_ratio(both, F.size(pred)), safe_ratio(both, F.size(label))
-    return F.struct(p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"), safe_ratio(common_run(pred, label), F.least(F.size(pred), F.size(label))).alias("lccs"))
+    code: dict[str, int] = {}
+    p, q = (np.array([code.setdefault(t, len(code)) for t in z], dtype=np.int64) for z in (x, y))
+    best, row = 0, np.zeros(len(q) + 1, dtype=np.int32)
+    for one in p:
+        new = np.zeros_like(row)
+        new[1:] = np.where(q == one, row[:-1] + 1, 0)
+        best, row = max(best, int(new.max())), new
+    return best
+
+
+@F.pandas_udf(StructType([StructField(n, DoubleType()) for n in ("precision", "recall", "f1", "lccs")]))
+def overlap_stats(pred: pd.Series, label: pd.Series) -> pd.DataFrame:
+    """precision, recall and F1 of the shared tokens of two normal texts, and their longest run over the shorter one."""
+    split, rows = re.compile(EVAL_TOKENS).findall, []
+    for x, y in zip(pred, label, strict=True):
+        a, b = split(x or ""), split(y or "")
+        both = (Counter(a) & Counter(b)).total()
+        p, r = both / len(a) if a else 0.0, both / len(b) if b else 0.0
+        rows.append((p, r, 2 * p * r / (p + r) if p + r else 0.0, _longest_run(a, b) / min(len(a), len(b)) if both else 0.0))
+    return pd.DataFrame(rows, columns=["precision", "recall", "f1", "lccs"])
 
 
 def status_name(status: Column) -> Column:
