@@ -135,6 +135,8 @@ def expectation_maximisation(patterns: list[tuple[str, int]], rounds: int = 200)
         posterior = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         if np.abs(posterior - before).max() < 1e-9:
             break
+    if (hit + right).mean() < 1:  # labellers that are worse than chance on the whole: the classes have changed places
+        posterior, hit, right = 1 - posterior, 1 - right, 1 - hit
     return {p: float(x) for (p, _), x in zip(patterns, posterior, strict=True)}, [{"junk": float(a), "clean": float(b)} for a, b in zip(hit, right, strict=True)]
 
 
