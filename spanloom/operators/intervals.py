@@ -70,7 +70,8 @@ def kept_passes(spans: DataFrame, id_column: str = "doc_id") -> DataFrame:
     without an interval are always kept. A fold over each document's spans, in the JVM."""
     rest = [c for c in spans.columns if c not in (id_column,)]
     item = F.struct(F.col("pass").alias("_p"), F.col("ord").alias("_o"), *[F.col(c) for c in rest])
-    listed = spans.groupBy(id_column).agg(F.sort_array(F.collect_list(item)).alias("_all"))
+    first = lambda a, b: F.when((a["_p"] < b["_p"]) | ((a["_p"] == b["_p"]) & (a["_o"] < b["_o"])), -1).when((a["_p"] == b["_p"]) & (a["_o"] == b["_o"]), 0).otherwise(1)
+    listed = spans.groupBy(id_column).agg(F.array_sort(F.collect_list(item), first).alias("_all"))
 
     def step(kept: Column, x: Column) -> Column:
         clash = F.exists(kept, lambda k: (k["start"] < x["end"]) & (x["start"] < k["end"]))
