@@ -174,16 +174,18 @@ class _Ragged:
         each = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in column]
         self.size = np.array([len(x) for x in each])
         self.at = np.concatenate([[0], np.cumsum(self.size)])
-        self.row = np.repeat(np.arange(len(each)), self.size)
         values, self.code = np.unique(np.concatenate([np.empty(0, dtype=np.uint64), *each]), return_inverse=True)
         self.flag = np.zeros(len(values), dtype=bool)
 
-    def common(self, y: int) -> np.ndarray:
-        own = self.code[self.at[y] : self.at[y + 1]]
+    def common(self, y: int, rows: np.ndarray) -> np.ndarray:
+        """How many numbers each of the rows shares with row y."""
+        own, size = self.code[self.at[y] : self.at[y + 1]], self.size[rows]
+        ends = np.cumsum(size)
+        places = np.arange(ends[-1]) + np.repeat(self.at[rows] - ends + size, size)
         self.flag[own] = True
-        counts = np.bincount(self.row, weights=self.flag[self.code], minlength=len(self.size)).astype(np.int64)
+        hits = np.concatenate([[0], np.cumsum(self.flag[self.code[places]])])
         self.flag[own] = False
-        return counts
+        return hits[ends] - hits[ends - size]
 
 
 def _link(k: int, bands: int, percent: int, least: float) -> Callable[[pa.Table], pa.Table]:
@@ -208,8 +210,8 @@ def _link(k: int, bands: int, percent: int, least: float) -> Callable[[pa.Table]
             near = near[(band[near] == band[y]).argmax(axis=1) == number] if len(near) else near
             if not len(near):
                 continue
-            both = hub - (minus.size + minus.size[y] - minus.common(y)) + plus.common(y)
-            linked = near[100 * both[near] >= percent * (size[near] + size[y] - both[near])]
+            both = hub - (minus.size[near] + minus.size[y] - minus.common(y, near)) + plus.common(y, near)
+            linked = near[100 * both >= percent * (size[near] + size[y] - both)]
             for x in linked:
                 if part[x] != part[y]:
                     left.append(node[y])

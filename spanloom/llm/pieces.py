@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm import words as W
+from spanloom.llm.scratch import small_batches
 from spanloom.llm.tokens import path_of
 
 MARK = "▁"
@@ -185,6 +186,7 @@ def encode(docs: DataFrame, model: str, *, threads: int = 2, ids: bool = True, i
     Nulls: a null text counts as an empty one; ids may be null or repeated; other columns are ignored; an empty table
     gives an empty one.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
     schema = f"id {kind}, n_tokens long, ids_crc32 long, decoded string, round_trip boolean" + ", ids array<int>" * ids

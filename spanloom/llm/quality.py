@@ -108,7 +108,7 @@ def votes(text: pa.Array) -> np.ndarray:
 def _voter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     digit = np.array(["C", "J", "-"])
     for batch in batches:
-        for part in W.slices(batch):
+        for part in W.slices(batch, most=W.SLICE_BYTES // 2):
             yield pa.RecordBatch.from_arrays([part["id"], part["tag"], pa.array(["".join(digit[v]) for v in votes(part["text"])], type=pa.string())], names=["id", "tag", "pattern"])
 
 
@@ -182,7 +182,7 @@ def features(text: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 def _featured(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.slices(batch):
+            for part in W.slices(batch, most=W.SLICE_BYTES // 2):
                 slot, value, at = features(part["text"], bits)
                 packed = [[x[a:b].tobytes() for a, b in pairwise(at)] for x in (slot.astype("<i4"), value.astype("<f4"))]
                 yield pa.RecordBatch.from_arrays([part["tag"], part["pattern"], *(pa.array(x, type=pa.binary()) for x in packed)], names=["tag", "pattern", "slots", "vals"])
@@ -217,7 +217,7 @@ def fit_scorer(rows: list, posterior: dict[str, float], config: QualityConfig) -
 def _scored(weight: np.ndarray, bias: float, config: QualityConfig) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.slices(batch):
+            for part in W.slices(batch, most=W.SLICE_BYTES // 2):
                 slot, value, at = features(part["text"], config.bits)
                 row = np.repeat(np.arange(part.num_rows), np.diff(at))
                 odds = np.bincount(row, weights=value * weight[slot], minlength=part.num_rows) + bias

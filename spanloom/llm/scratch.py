@@ -25,11 +25,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Rows of an Arrow batch at most. Rows here hold whole texts; a batch is in memory several times on its way.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS if they are larger."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 class Scratch:
     """Tables of one operator run, each under its own name."""
 
     def __init__(self, spark: SparkSession, owner: str) -> None:
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared_folder(spark)}/{owner}-{uuid.uuid4().hex[:12]}"
 
     def path(self, name: str) -> str:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm import words as W
+from spanloom.llm.scratch import small_batches
 
 #: Bytes of one call of a tokenizer, and the length from which a text is split.
 CALL_BYTES = 256 << 10
@@ -135,6 +136,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, *, id_colum
     treated as the library does by default. A null text counts as an empty one; ids may be null or repeated; other
     columns are ignored; an empty table gives an empty one.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
     counted = texts.mapInArrow(_counter(tokenizer, limit), f"id {kind}, n_bytes long, n_tokens long, over_limit boolean")

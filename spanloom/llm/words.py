@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Text that is worked on at a time, in bytes; it bounds a worker's memory whatever the batch holds.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -27,6 +27,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         to = max(at + 1, int(np.searchsorted(size, size[at] + most, side="right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    pa.default_memory_pool().release_unused()
 
 
 def split(text: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
