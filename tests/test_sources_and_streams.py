@@ -52,10 +52,10 @@ def test_registry_gold_and_predictions(spark, tmp_path):
 
 
 def test_registry_builder_and_paths(spark):
-    labels = spark.createDataFrame([("kep/a/d1", "label_v2.json"), ("kep/a/d1", "label_v2_normalized.json"), ("kep/d2", "label_v2.json"), ("kep/d3", "odd.json"), ("kep/d4", "label_v2.json")], "dir string, name string")
+    labels = spark.createDataFrame([("set/a/d1", "label_v2.json"), ("set/a/d1", "label_v2_normalized.json"), ("set/d2", "label_v2.json"), ("set/d3", "odd.json"), ("set/d4", "label_v2.json")], "dir string, name string")
     docs = spark.createDataFrame([("x/d1", "README.md"), ("y/d2", "README.md"), ("z/d2", "README.md"), ("x/d4", "other.md")], "dir string, name string")
     rows = scans.build_registry(labels, docs).collect()
-    assert [tuple(r) for r in rows] == [("d1", "kep/a", "x/d1/README.md", "kep/a/d1/label_v2_normalized.json", True)]
+    assert [tuple(r) for r in rows] == [("d1", "set/a", "x/d1/README.md", "set/a/d1/label_v2_normalized.json", True)]
     files = spark.createDataFrame([("root/d1/p_d1.json",), ("root/d9/p_d9.json",)], "path string")
     found = scans.prediction_paths(spark.createDataFrame([("d1",), ("d2",)], "doc_id string"), files, "root", "p_{doc_id}.json").collect()
     assert [tuple(r) for r in found] == [("d1", "root/d1/p_d1.json")]
