@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.functions import text as T
 from spanloom.operators import evaluate as E
 from spanloom.operators import schema as S
 from spanloom.sources import sinks
@@ -32,7 +33,7 @@ class Evaluation:
 
 def check_metrics(names: list[str]) -> tuple[list[str], list[str]]:
     """Matching metrics and diagnostics; an unknown name is an error."""
-    diagnostics = ("structure_anomaly_rate", "grounding_accuracy")
+    diagnostics = ("structure_anomaly_rate", *(f"grounding_{s}_rate" for s in T.STATUSES))
     if unknown := [n for n in names if n not in (*E.METRICS, *diagnostics)]:
         raise ValueError(f"unknown metrics: {unknown}")
     return [n for n in names if n in E.METRICS], [n for n in names if n in diagnostics]

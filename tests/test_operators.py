@@ -212,7 +212,7 @@ def test_macro_errors_and_reports(spark):
     assert "## Micro Results" in report and "### Key Risks" in report
     change = evaluation.compare(done, evaluation.evaluate(g.withColumn("alignment_status", F.lit("match_exact")), g, compatibility=False))
     assert change.summary.first()["overall_assessment"] == E.VERDICTS[0] and "ΔF1=" in change.report()
-    assert evaluation.check_metrics(["class_strict", "grounding_accuracy"]) == (["class_strict"], ["grounding_accuracy"])
+    assert evaluation.check_metrics(["class_strict", "grounding_match_none_rate"]) == (["class_strict"], ["grounding_match_none_rate"])
     with pytest.raises(ValueError):
         evaluation.check_metrics(["odd"])
     assert evaluation.gate(done)["passed"]
