@@ -102,3 +102,15 @@ def response_schema(examples: DataFrame) -> DataFrame:
     """(class, attribute, is_list) over example extractions: what a schema of the output must allow."""
     each = examples.select("class", F.explode_outer("attributes").alias("attribute", "value"))
     return each.groupBy("class", "attribute").agg(F.max(F.coalesce(F.col("value").startswith("["), F.lit(False))).alias("is_list"))
+
+
+def json_schema(rows: list) -> dict:
+    """A JSON schema of the output contract from the rows of response_schema: every class may be there, as text, with an
+    object of its attributes."""
+    properties: dict = {}
+    for r in sorted(rows, key=lambda r: (r["class"], r["attribute"] or "")):
+        properties[r["class"]] = {"type": "string"}
+        own = properties.setdefault(r["class"] + ATTRIBUTES, {"type": "object", "properties": {}, "nullable": True})
+        if r["attribute"] is not None:
+            own["properties"][r["attribute"]] = {"type": "array", "items": {"type": "string"}} if r["is_list"] else {"type": "string"}
+    return {"type": "object", "properties": {WRAPPER: {"type": "array", "items": {"type": "object", "properties": properties}}}, "required": [WRAPPER]}

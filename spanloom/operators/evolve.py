@@ -55,7 +55,8 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    """0 where either vector has no length."""
+    return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b))), F.lit(0.0))
 
 
 def nearest(queries: DataFrame, index: DataFrame, k: int = 20, index_name: str = "index", query_block: int = 10_000) -> DataFrame:
@@ -157,3 +158,16 @@ def eligible(buckets: DataFrame, min_docs: int = 2, min_signals: int = 5) -> Dat
     """Buckets (status, docs, signals) that may be proposed; they are stable from then on."""
     fit = (F.col("docs") >= min_docs) & (F.col("signals") >= min_signals) & F.col("status").isin("incubating", "stable")
     return buckets.where(fit).withColumn("status", F.lit("stable"))
+
+
+def bucket_states(mappings: DataFrame, signals: DataFrame) -> DataFrame:
+    """(bucket_id, members, signals, docs, created_at, updated_at) of mappings (signal_id, bucket_id, assigned_at), of which
+    each signal's last one counts, and signals (signal_id, doc_ref)."""
+    last = latest(mappings, "signal_id", F.struct("assigned_at", "bucket_id"))
+    rows = last.select("signal_id", "bucket_id", "assigned_at").join(signals.select("signal_id", "doc_ref").distinct(), "signal_id", "left")
+    return rows.groupBy("bucket_id").agg(F.sort_array(F.collect_set("signal_id")).alias("members"), F.countDistinct("signal_id").alias("signals"), F.countDistinct("doc_ref").alias("docs"), F.min("assigned_at").alias("created_at"), F.max("assigned_at").alias("updated_at"))
+
+
+def of_bucket(rows: DataFrame, bucket_id: str) -> DataFrame:
+    """Mappings or proposals of one bucket."""
+    return rows.where(F.col("bucket_id") == bucket_id)

@@ -115,6 +115,32 @@ class Router:
         raise ValueError(f"no provider named {name!r}")
 
 
+    def load_plugins(self, group: str = "spanloom.providers") -> list[str]:
+        """Registers the providers that installed packages offer under an entry point group; their names. An entry point
+        gives the maker, whose patterns and priority are attributes of it."""
+        from importlib.metadata import entry_points
+
+        found = list(entry_points(group=group))
+        for entry in found:
+            make = entry.load()
+            self.register(entry.name, make, *getattr(make, "patterns", (f"^{entry.name}",)), priority=getattr(make, "priority", 0))
+        return [entry.name for entry in found]
+
+
+def load_template(path: str) -> Template:
+    """A template of a YAML or JSON file: description, and examples of text and extractions."""
+    with open(path, encoding="utf-8") as file:
+        text = file.read()
+    if path.endswith(".json"):
+        given = json.loads(text)
+    else:
+        import yaml
+
+        given = yaml.safe_load(text)
+    items = lambda e: tuple((x["extraction_class"], x["extraction_text"], x.get("attributes") or {}) for x in e.get("extractions", ()))
+    return Template(given["description"], tuple(Example(e["text"], items(e)) for e in given.get("examples", ())))
+
+
 def ask(rows: DataFrame, provider: Provider, *, batch: int = 10, workers: int = 1) -> DataFrame:
     """rows (cache_key, prompt) with output and error. A failing batch has errors on its rows, not an exception.
 

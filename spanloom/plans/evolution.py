@@ -13,7 +13,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.functions import text as T
 from spanloom.operators import evolve as V
+from spanloom.operators import intervals as I
+from spanloom.operators import residual as R
 
 
 @dataclass
@@ -50,6 +53,29 @@ def check_arguments(arguments: dict, schema: dict) -> list[str]:
     return out
 
 
+def document_tools(docs: DataFrame, blocks: DataFrame, extractions: DataFrame, doc_id, level: str = "medium") -> Tools:
+    """The tools of one document's triage, over tables keyed by doc_id: text around blocks, extractions near them, and the
+    text of the section that a heading opens. docs: doc_id, text; blocks: residual blocks; extractions: class, text, start,
+    end. Only what the asked blocks need is brought to the driver."""
+    doc, own, spans = (x.where(F.col("doc_id") == F.lit(doc_id)) for x in (docs, blocks, extractions))
+    headings = I.heading_rows(I.fence_lines(I.line_rows(doc)))
+    of = lambda ids: own.where(F.col("block_id").isin(ids))
+
+    def text(ids: list[int], arguments: dict) -> dict[int, str]:
+        rows = R.neighbour_texts(doc, of(ids), arguments.get("level", level), drop_fences=bool(arguments.get("drop_fences")))
+        return {r["block_id"]: json.dumps({"before": r["before"], "after": r["after"]}, ensure_ascii=False) for r in rows.collect()}
+
+    def near(ids: list[int], arguments: dict) -> dict[int, str]:
+        rows = I.neighbours(of(ids), spans, T.CONTEXT_SIZES[arguments.get("level", level)])
+        return {r["block_id"]: json.dumps([{"class": n["class"], "text": n["text"]} for n in r["neighbours"]], ensure_ascii=False) for r in rows.collect()}
+
+    def section(ids: list[int], arguments: dict) -> dict[int, str]:
+        found = I.section_text(doc, headings, arguments["heading"]).first()
+        return dict.fromkeys(ids, found["section"] if found else "")
+
+    return {"neighbor_text": text, "neighbor_extractions": near, "section_text": section}
+
+
 def triage(blocks: dict[int, str], provider, tools: Tools, config: TriageConfig | None = None) -> TriageState:
     """Asks about the active blocks of one document until all have conclusions, nothing changes or the turns are used up.
 

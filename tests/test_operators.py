@@ -292,6 +292,16 @@ def test_triage_and_proposals():
     assert evolution.check_arguments({"a": 1, "c": 2}, {"properties": {"a": {"type": "string"}}, "required": ["b"]}) == ["missing b", "a is no string", "unknown c"]
 
 
+def test_document_tools(spark):
+    docs = spark.createDataFrame([(1, "## H\nbefore block after\n## I\n")], "doc_id int, text string")
+    blocks = spark.createDataFrame([(1, 0, 12, 17, "block", [])], "doc_id int, block_id int, start int, end int, text string, tree array<string>")
+    spans = spark.createDataFrame([(1, "c", "after", 18, 23)], "doc_id int, class string, text string, start int, end int")
+    tools = evolution.document_tools(docs, blocks, spans, 1, "small")
+    assert json.loads(tools["neighbor_text"]([0], {})[0])["after"] == " after\n## I\n"
+    assert json.loads(tools["neighbor_extractions"]([0], {})[0]) == [{"class": "c", "text": "after"}]
+    assert tools["section_text"]([0], {"heading": "## H"})[0] == "## H\nbefore block after\n"
+
+
 # --- inference and extraction ---
 
 

@@ -79,3 +79,9 @@ def test_remote_services(spark):
     assert remote.download("u", transport=lambda *_: "é".encode("latin-1")) == "é"
     rows_, news = N.infer(spark.createDataFrame([(1, "p")], "k int, prompt string"), N.Lookup({"p": "1"}))
     assert rows_.first()["output"] == "1" and news.count() == 1
+
+
+def test_template_file(tmp_path):
+    put(tmp_path / "t.json", {"description": "d", "examples": [{"text": "x y", "extractions": [item("x", "c", k="v")]}]})
+    assert N.load_template(str(tmp_path / "t.json")).examples[0].extractions == (("c", "x", {"k": "v"}),)
+    assert N.Router().load_plugins("no.such.group") == []

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from spanloom import catalog
+from spanloom.operators import evolve as V
 from spanloom.operators import intervals as I
 from spanloom.sources import scans, sinks
 from spanloom.streaming import ingest
@@ -104,6 +105,17 @@ def test_signal_stream(spark, tmp_path):
     assert {r["bucket_id"]: r["docs"] for r in state.support().collect()} == {2: 1, 3: 1}
 
 
+def test_routing_stream(spark, tmp_path):
+    schema = "signal_id string, doc_ref string, source_embedding_text string, reason_embedding_text string, created_at long"
+    router = ingest.Router(spark, str(tmp_path), V.RouteConfig(similarity="cosine", threshold=0.5))
+    router.route(spark.createDataFrame([("a", "d1", "red green blue", "why not", 1), ("b", "d2", "", "", 1)], schema), 0)
+    router.route(spark.createDataFrame([("c", "d2", "red green blue", "why not", 2), ("d", "d3", "other words here", "no idea", 2)], schema), 1)
+    found = {r["signal_id"]: r["bucket_id"] for r in router.mappings.current().collect()}
+    assert found == {"a": "bucket_a", "b": "bucket_b", "c": "bucket_a", "d": "bucket_d"}
+    router.route(spark.createDataFrame([("c", "d2", "red green blue", "why not", 2)], schema), 1)  # the batch again
+    assert {r["bucket_id"]: (r["members"], r["docs"]) for r in router.buckets().collect()}["bucket_a"] == (["a", "c"], 2)
+
+
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_query_against_sql(spark, name):
     import duckdb

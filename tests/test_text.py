@@ -216,6 +216,8 @@ def test_render_round_trip(spark):
     assert [(r["class"], r["text"], r["attributes"]) for r in back] == [("a", 'say "x"\n', {"k": "v"}), ("b", "y", {})]
     schema = {(r["class"], r["attribute"]): r["is_list"] for r in P.response_schema(spark.createDataFrame([("a", {"k": "[1]"}), ("b", None)], "class string, attributes map<string,string>")).collect()}
     assert schema == {("a", "k"): True, ("b", None): False}
+    made = P.json_schema([{"class": c, "attribute": k, "is_list": v} for (c, k), v in schema.items()])
+    assert made["properties"]["extractions"]["items"]["properties"]["a_attributes"]["properties"]["k"]["type"] == "array"
 
 
 def test_nfkc_matches_python(spark):
