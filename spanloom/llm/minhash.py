@@ -107,8 +107,8 @@ def _sketcher(config: MinHashConfig) -> Callable[[Iterator[pa.RecordBatch]], Ite
 def _sets(config: MinHashConfig) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.slices(batch):
-                members, at, check = shingle_sets(part["text"], config.shingle)
+            for part in W.slices(batch, "squeezed", W.SLICE_BYTES // 2):
+                members, at, check = shingle_sets(W.unsqueezed(part["squeezed"]), config.shingle)
                 high, low = _keys(members, at, check)
                 same = (high.view(np.int64) == np.asarray(part["high"])) & (low.view(np.int64) == np.asarray(part["low"]))
                 for k in np.flatnonzero(same):
@@ -250,7 +250,7 @@ def near_duplicates(docs: DataFrame, config: MinHashConfig | None = None, *, id_
     met = bucket.select("node").distinct()
     sigs = scratch.put(member.select("id", "n_shingles", "sig", "bands").join(met, F.col("id") == met["node"], "left_semi").dropDuplicates(["id"]), "sigs")
     needed = scratch.put(classes.join(met, "node", "left_semi"), "needed")
-    sets = scratch.put(texts.join(needed, texts["id"] == needed["node"]).select("id", "text", "high", "low").mapInArrow(_sets(config), "id long, members binary").dropDuplicates(["id"]), "sets")
+    sets = scratch.put(texts.mapInArrow(W.squeeze, "id long, squeezed binary").join(needed, F.col("id") == F.col("node")).select("id", "squeezed", "high", "low").mapInArrow(_sets(config), "id long, members binary").dropDuplicates(["id"]), "sets")
 
     def with_sets(pairs: DataFrame) -> DataFrame:
         a, b = sets.select(F.col("id").alias("a"), F.col("members").alias("members_a")), sets.select(F.col("id").alias("b"), F.col("members").alias("members_b"))

@@ -14,7 +14,6 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,20 +113,6 @@ def _loose(kind: str, one: tuple) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist([{"kind": kind, "id": one[0], "tag": one[1], "text": one[2]}], schema=_KINDS)
 
 
-def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text compressed by itself: the rows are about to be moved as a whole."""
-    press = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        for part in W.slices(batch):
-            yield pa.RecordBatch.from_arrays([part["id"], part["tag"], pa.array([press.compress(t.as_buffer()) if t.is_valid else None for t in part["text"].cast(pa.binary())], type=pa.binary())], names=["id", "tag", "squeezed"])
-
-
-def _texts(part: pa.RecordBatch) -> pa.Array:
-    """The texts again; a null is an empty one."""
-    press = zstandard.ZstdDecompressor()
-    return pa.array([press.decompress(x).decode() if x is not None else "" for x in part["squeezed"].to_pylist()], type=pa.string())
-
-
 def _walk(config: SpotConfig) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Over the sorted rows of a partition. Its first and its last row are also given with their texts: the row that
     follows the last one is in another partition."""
@@ -136,7 +121,7 @@ def _walk(config: SpotConfig) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
         held = None
         for batch in batches:
             for part in W.slices(batch, "squeezed", W.SLICE_BYTES // 2):
-                text = _texts(part)
+                text = W.unsqueezed(part["squeezed"])
                 now = list(zip(part["id"].to_pylist(), part["tag"].to_pylist(), text.to_pylist(), spots(text, config), strict=True))
                 if held is None:
                     yield _loose("first", now[0])
@@ -190,7 +175,7 @@ def fingerprints(docs: DataFrame, config: SpotConfig | None = None, *, id_column
     config = config or SpotConfig()
     scratch = Scratch(docs.sparkSession, "spotsigs")
     text = F.col(text_column).cast("string")
-    ordered = docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text).alias("tag"), text.alias("text")).mapInArrow(_squeeze, "id long, tag long, squeezed binary").repartitionByRange("id", "tag").sortWithinPartitions("id", "tag")
+    ordered = docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text).alias("tag"), text.alias("text")).mapInArrow(W.squeeze, "id long, tag long, squeezed binary").repartitionByRange("id", "tag").sortWithinPartitions("id", "tag")
     walked = scratch.put(ordered.mapInArrow(_walk(config), _SCHEMA), "walked")
     ends = walked.where("kind <> 'row'").select("kind", "id", "tag", "text").repartition(1).sortWithinPartitions("id", "tag", "kind")
     rows = walked.where("kind = 'row'").unionByName(ends.mapInArrow(_join_ends(config), _SCHEMA))

@@ -90,9 +90,8 @@ def _first_level(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return run
 
 
-def _candidates(part: pa.RecordBatch | pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+def _candidates(text: pa.Array, anchors: pa.Array | pa.ChunkedArray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     """n-word windows whose anchor is repeated: places, both hashes; and the row bounds and words."""
-    text, anchors = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (part["text"], part["anchors"]))
     flat, at = W.split(text)
     first, second = W.hashes(flat)
     starts, anchor = _anchors(first, at, n)
@@ -121,17 +120,17 @@ def _distinct(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 def _second_level(n: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows of two kinds: the texts of a chunk, and for each bucket the chunk's distinct windows."""
-    kinds = {"chunk": pa.string(), "id": pa.int64(), "high": pa.int64(), "low": pa.int64(), "text": pa.string(), "anchors": pa.list_(pa.int64()), "copied": pa.bool_(), "bucket": pa.int32(), "windows": pa.binary(), "twice": pa.binary()}
+    kinds = {"chunk": pa.string(), "id": pa.int64(), "high": pa.int64(), "low": pa.int64(), "squeezed": pa.binary(), "anchors": pa.list_(pa.int64()), "copied": pa.bool_(), "bucket": pa.int32(), "windows": pa.binary(), "twice": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.slices(batch, most=CHUNK_BYTES):
+            for part in W.slices(batch, "squeezed", CHUNK_BYTES // 2):
                 order = pc.sort_indices(pa.Table.from_batches([part]), sort_keys=[("id", "ascending"), ("high", "ascending"), ("low", "ascending")])
                 part = pa.Table.from_batches([part]).take(order).combine_chunks().to_batches()[0]
                 name = hashlib.sha256(b"".join(np.asarray(part[c].fill_null(0)).tobytes() for c in ("id", "high", "low"))).hexdigest()[:32]
-                rows = {c: part[c] for c in ("id", "high", "low", "text", "anchors", "copied")}
+                rows = {c: part[c] for c in ("id", "high", "low", "squeezed", "anchors", "copied")}
                 yield pa.RecordBatch.from_arrays([pa.array([name] * part.num_rows) if c == "chunk" else rows.get(c, pa.nulls(part.num_rows, t)) for c, t in kinds.items()], names=list(kinds))
-                starts, x, y, at, _ = _candidates(part, n)
+                starts, x, y, at, _ = _candidates(W.unsqueezed(part["squeezed"]), part["anchors"], n)
                 if not len(starts):
                     continue
                 pairs, number, twice = _distinct(x, y)
@@ -171,7 +170,7 @@ def _cover(n: int, buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         if not texts.num_rows:
             return pa.table({"high": pa.array([], pa.int64()), "low": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept_text": pa.array([], pa.string()), "spans": pa.array([], pa.list_(pa.int32()))})
         texts = texts.sort_by([("id", "ascending"), ("high", "ascending"), ("low", "ascending")]).combine_chunks()
-        starts, x, y, at, flat = _candidates(texts, n)
+        starts, x, y, at, flat = _candidates(W.unsqueezed(texts["squeezed"]), texts["anchors"].combine_chunks(), n)
         covered = np.zeros(len(flat) + 1, dtype=np.int64)
         if len(starts):
             pairs, number, _ = _distinct(x, y)
@@ -221,12 +220,12 @@ def _repeats(texts: DataFrame, n: int, scratch: Scratch) -> tuple[DataFrame, Dat
 
     size = survivors.agg(F.coalesce(F.sum(F.size("anchors")), F.lit(0))).first()[0]
     buckets = max(1, -(-size * (n - levels(n)[0]) // 2 // BUCKET_WINDOWS))
-    kinds = "chunk string, id long, high long, low long, text string, anchors array<long>, copied boolean, bucket int, windows binary, twice binary"
-    left = texts.select(F.col("id").alias("own"), F.col("tag").alias("own_tag"), "text")
-    moved = left.join(survivors, F.col("own").eqNullSafe(F.col("id")) & (F.col("own_tag") == F.col("tag"))).select("id", "high", "low", "copied", "anchors", "text")
+    kinds = "chunk string, id long, high long, low long, squeezed binary, anchors array<long>, copied boolean, bucket int, windows binary, twice binary"
+    left = texts.mapInArrow(W.squeeze, "id long, tag long, squeezed binary").select(F.col("id").alias("own"), F.col("tag").alias("own_tag"), "squeezed")
+    moved = left.join(survivors, F.col("own").eqNullSafe(F.col("id")) & (F.col("own_tag") == F.col("tag"))).select("id", "high", "low", "copied", "anchors", "squeezed")
     second = scratch.put(moved.mapInArrow(_second_level(n, buckets), kinds), "level-2")
     bits = second.where("bucket IS NOT NULL").select("chunk", "bucket", "windows", "twice").groupBy("bucket").applyInArrow(_count, "chunk string, bucket int, repeated binary")
-    chunks = second.where("bucket IS NULL").select("chunk", "id", "high", "low", "text", "anchors", "copied")
+    chunks = second.where("bucket IS NULL").select("chunk", "id", "high", "low", "squeezed", "anchors", "copied")
     cut = chunks.groupBy("chunk").cogroup(bits.groupBy("chunk")).applyInArrow(_cover(n, buckets), "high long, low long, n_removed long, kept_text string, spans array<int>")
     return level, classes.where("copied").select("high", "low"), cut.where("n_removed > 0")
 

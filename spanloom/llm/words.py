@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 
 #: Text that is worked on at a time, in bytes; it bounds a worker's memory whatever the batch holds.
 SLICE_BYTES = 2 << 20
@@ -85,3 +86,19 @@ def whole(word: np.ndarray, at: np.ndarray) -> np.ndarray:
 def signed(x: np.ndarray) -> pa.Array:
     """Unsigned 64-bit values as Spark's long."""
     return pa.array(np.ascontiguousarray(x).view(np.int64))
+
+
+def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The column text compressed, each text by itself, as squeezed: for rows that are about to be moved as a whole."""
+    press = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        for part in slices(batch):
+            packed = pa.array([press.compress(t.as_buffer()) if t.is_valid else None for t in part["text"].cast(pa.binary())], type=pa.binary())
+            names = [c for c in part.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(part[c] for c in names), packed], names=[*names, "squeezed"])
+
+
+def unsqueezed(column: pa.Array | pa.ChunkedArray) -> pa.Array:
+    """The texts again; a null is an empty one."""
+    press = zstandard.ZstdDecompressor()
+    return pa.array([press.decompress(x).decode() if x is not None else "" for x in column.to_pylist()], type=pa.string())
