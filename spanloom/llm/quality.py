@@ -214,33 +214,41 @@ def fit_scorer(rows: list, posterior: dict[str, float], config: QualityConfig) -
     return weight, bias
 
 
+def junk_probability(text: pa.Array, weight: np.ndarray, bias: float, bits: int) -> np.ndarray:
+    """By the scorer; 0 for texts without words."""
+    slot, value, at = features(text, bits)
+    odds = np.bincount(np.repeat(np.arange(len(text)), np.diff(at)), weights=value * weight[slot], minlength=len(text)) + bias
+    return np.where(np.diff(at) > 0, np.round(1 / (1 + np.exp(-np.clip(odds, -30, 30))), 6), 0.0)
+
+
 def _scored(weight: np.ndarray, bias: float, config: QualityConfig) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.slices(batch, most=W.SLICE_BYTES // 2):
-                slot, value, at = features(part["text"], config.bits)
-                row = np.repeat(np.arange(part.num_rows), np.diff(at))
-                odds = np.bincount(row, weights=value * weight[slot], minlength=part.num_rows) + bias
-                junk = np.where(np.diff(at) > 0, 1 / (1 + np.exp(-np.clip(odds, -30, 30))), 0.0)
-                names = [c for c in part.schema.names if c != "text"]
-                yield pa.RecordBatch.from_arrays([*(part[c] for c in names), pa.array(np.round(junk, 6)), pa.array(junk < config.reject)], names=[*names, "p_junk", "kept"])
+                junk = junk_probability(part["text"], weight, bias, config.bits)
+                yield pa.RecordBatch.from_arrays([part["id"], part["tag"], pa.array(junk), pa.array(junk < config.reject)], names=["id", "tag", "p_junk", "kept"])
 
     return run
 
 
-def classify(docs: DataFrame, config: QualityConfig | None = None, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, tag, p_junk, kept, pattern) for each row of docs; tag is a hash of its text.
+def _passed(weight: np.ndarray, bias: float, config: QualityConfig, text_column: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Whole rows whose texts aren't rejected."""
 
-    pattern has a letter for each labeller: J, C or - (no vote). All rows are counted for the labellers' accuracies; the
-    scorer is fitted on at most config.sample rows and judges all.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in W.slices(batch, text_column, W.SLICE_BYTES // 2):
+                yield part.filter(pa.array(junk_probability(part[text_column], weight, bias, config.bits) < config.reject))
 
-    Nulls: a null or empty text has no features, gets p_junk 0 and is kept; null ids and repeated rows are rows like
-    others (equal texts get equal results). Other columns are ignored; an empty table gives an empty one.
-    """
-    config = config or QualityConfig()
-    scratch = Scratch(docs.sparkSession, "quality")
+    return run
+
+
+def _texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     text = F.col(text_column).cast("string")
-    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text).alias("tag"), text.alias("text"))
+    return docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text).alias("tag"), text.alias("text"))
+
+
+def fit(texts: DataFrame, config: QualityConfig, scratch: Scratch) -> tuple[DataFrame, np.ndarray, float]:
+    """The votes on all texts (id, tag, pattern), and the scorer's weights and bias."""
     voted = scratch.put(texts.mapInArrow(_voter, "id long, tag long, pattern string"), "votes")
     counts = [(r["pattern"], r["count"]) for r in voted.groupBy("pattern").count().orderBy("pattern").collect()]  # at most 3 to the number of labellers
     posterior, _ = expectation_maximisation(counts)
@@ -248,12 +256,29 @@ def classify(docs: DataFrame, config: QualityConfig | None = None, *, id_column:
     fitted_on = texts.join(F.broadcast(drawn), "tag").dropDuplicates(["tag"]).select("tag", "pattern", "text")  # at most config.sample small rows
     rows = sorted(fitted_on.mapInArrow(_featured(config.bits), "tag long, pattern string, slots binary, vals binary").collect(), key=lambda r: r["tag"])
     weight, bias = fit_scorer(rows, posterior, config)
-    scored = texts.mapInArrow(_scored(weight.astype(np.float32), float(bias), config), "id long, tag long, p_junk double, kept boolean")
+    return voted, weight.astype(np.float32), float(bias)
+
+
+def classify(docs: DataFrame, config: QualityConfig | None = None, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, tag, p_junk, kept, pattern) for each row of docs; tag is a hash of its text.
+
+    pattern has a letter for each labeller: J, C or - (no vote). All rows are counted for the labellers' accuracies; the
+    scorer is fitted on at most config.sample rows and judges all.
+
+    Nulls: a null or empty text has no features, gets p_junk 0 and is kept; null ids and repeated rows are rows like
+    others (equal texts get equal results). Other columns are ignored; an empty table gives an empty one.
+    """
+    config = config or QualityConfig()
+    texts = _texts(docs, id_column, text_column)
+    voted, weight, bias = fit(texts, config, Scratch(docs.sparkSession, "quality"))
+    scored = texts.mapInArrow(_scored(weight, bias, config), "id long, tag long, p_junk double, kept boolean")
     patterns = voted.select("tag", "pattern").distinct()
     return scored.join(patterns, "tag").select(F.col("id").alias(id_column), "tag", "p_junk", "kept", "pattern")
 
 
 def keep_good(docs: DataFrame, config: QualityConfig | None = None, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """docs without the rows that the classifier rejects."""
-    bad = classify(docs, config, id_column=id_column, text_column=text_column).where(~F.col("kept")).select(F.col("tag").alias("_tag")).distinct()
-    return docs.join(bad, F.xxhash64(F.col(text_column).cast("string")) == F.col("_tag"), "left_anti")
+    """docs without the rows that the classifier rejects. The rows are filtered where they lie, without a shuffle."""
+    config = config or QualityConfig()
+    docs = docs if docs.schema[text_column].dataType.typeName() == "string" else docs.withColumn(text_column, F.col(text_column).cast("string"))
+    _, weight, bias = fit(_texts(docs, id_column, text_column), config, Scratch(docs.sparkSession, "quality"))
+    return docs.mapInArrow(_passed(weight, bias, config, text_column), docs.schema)
