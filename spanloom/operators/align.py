@@ -45,9 +45,11 @@ def _lowered(text: str) -> list[str]:
 def _best_window(source: list[str], wanted: list[str], threshold: float) -> tuple[int, int] | None:
     """The window that holds most of the wanted tokens in order: the smallest such, then the leftmost."""
     n, need = len(wanted), int(len(wanted) * threshold)
-    count, index = Counter(wanted), {}
-    for k, t in enumerate(source):
-        index.setdefault(t, []).append(k)
+    count = Counter(wanted)
+    whole = Counter(source)
+    most = sum(min(c, whole[t]) for t, c in count.items())  # no window holds more
+    if most < need:
+        return None
     matcher = difflib.SequenceMatcher(autojunk=False, b=wanted)
     best, found = 0.0, None
     for size in range(n, len(source) + 1):
@@ -66,7 +68,7 @@ def _best_window(source: list[str], wanted: list[str], threshold: float) -> tupl
                 score = sum(b.size for b in matcher.get_matching_blocks()) / n
                 if score > best:
                     best, found = score, (at, at + size)
-        if best == 1.0:
+        if best * n >= most:
             break
     return found if best >= threshold else None
 
