@@ -250,7 +250,7 @@ def near_duplicates(docs: DataFrame, config: MinHashConfig | None = None, *, id_
     met = bucket.select("node").distinct()
     sigs = scratch.put(member.select("id", "n_shingles", "sig", "bands").join(met, F.col("id") == met["node"], "left_semi").dropDuplicates(["id"]), "sigs")
     needed = scratch.put(classes.join(met, "node", "left_semi"), "needed")
-    sets = scratch.put(texts.mapInArrow(W.squeeze, "id long, squeezed binary").join(needed, F.col("id") == F.col("node")).select("id", "squeezed", "high", "low").mapInArrow(_sets(config), "id long, members binary").dropDuplicates(["id"]), "sets")
+    sets = scratch.put(texts.mapInArrow(W.squeeze, "id long, squeezed binary").join(needed.hint("merge"), F.col("id") == F.col("node")).select("id", "squeezed", "high", "low").mapInArrow(_sets(config), "id long, members binary").dropDuplicates(["id"]), "sets")
 
     def with_sets(pairs: DataFrame) -> DataFrame:
         a, b = sets.select(F.col("id").alias("a"), F.col("members").alias("members_a")), sets.select(F.col("id").alias("b"), F.col("members").alias("members_b"))

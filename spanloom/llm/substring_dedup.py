@@ -29,7 +29,7 @@ from spanloom.llm import words as W
 from spanloom.llm.scratch import Scratch
 
 #: Text of one chunk, and distinct windows of one counting bucket; both bound a task's memory, not the data.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 BUCKET_WINDOWS = 1 << 20
 
 
@@ -222,7 +222,7 @@ def _repeats(texts: DataFrame, n: int, scratch: Scratch) -> tuple[DataFrame, Dat
     buckets = max(1, -(-size * (n - levels(n)[0]) // 2 // BUCKET_WINDOWS))
     kinds = "chunk string, id long, high long, low long, squeezed binary, anchors array<long>, copied boolean, bucket int, windows binary, twice binary"
     left = texts.mapInArrow(W.squeeze, "id long, tag long, squeezed binary").select(F.col("id").alias("own"), F.col("tag").alias("own_tag"), "squeezed")
-    moved = left.join(survivors, F.col("own").eqNullSafe(F.col("id")) & (F.col("own_tag") == F.col("tag"))).select("id", "high", "low", "copied", "anchors", "squeezed")
+    moved = left.join(survivors.hint("merge"), F.col("own").eqNullSafe(F.col("id")) & (F.col("own_tag") == F.col("tag"))).select("id", "high", "low", "copied", "anchors", "squeezed")
     second = scratch.put(moved.mapInArrow(_second_level(n, buckets), kinds), "level-2")
     bits = second.where("bucket IS NOT NULL").select("chunk", "bucket", "windows", "twice").groupBy("bucket").applyInArrow(_count, "chunk string, bucket int, repeated binary")
     chunks = second.where("bucket IS NULL").select("chunk", "id", "high", "low", "squeezed", "anchors", "copied")
