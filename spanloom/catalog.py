@@ -341,15 +341,25 @@ def neighbor_text(spark, sf):
     return R.neighbour_texts(table(spark, sf, "documents"), blocks, "medium").select("doc_id", "span_id", "before", "after")
 
 
-@query(f"""WITH b AS (SELECT doc_id, span_id AS block_id, greatest("start" - 100, 0) AS s, "end" + 100 AS e FROM ({_SPANS}) x WHERE span_id < 2)
-SELECT b.doc_id, b.block_id::INT AS block_id, count(x.doc_id)::BIGINT AS n FROM b LEFT JOIN ({_SPANS}) x ON x.doc_id = b.doc_id AND x."start" < b.e AND b.s < x."end" AND x."start" < x."end" GROUP BY ALL""")
-def neighbor_extractions(spark, sf):
+def _near_blocks(spark: SparkSession, sf: str, which: str) -> DataFrame:
     spans = span_rows(spark, sf)
-    blocks = spans.where("span_id < 2").withColumn("block_id", F.col("span_id").cast("int"))
+    blocks = spans.where(which).withColumn("block_id", F.col("span_id").cast("int"))
     near = spans.select("doc_id", "start", "end", F.lit("x").alias("class"), F.col("span_id").cast("string").alias("text"))
     return I.neighbours(blocks, near, 100).select("doc_id", "block_id", F.size("neighbours").cast("long").alias("n"))
 
 
+@query(f"""WITH b AS (SELECT doc_id, span_id AS block_id, greatest("start" - 100, 0) AS s, "end" + 100 AS e FROM ({_SPANS}) x WHERE span_id < 2)
+SELECT b.doc_id, b.block_id::INT AS block_id, count(x.doc_id)::BIGINT AS n FROM b LEFT JOIN ({_SPANS}) x ON x.doc_id = b.doc_id AND x."start" < b.e AND b.s < x."end" AND x."start" < x."end" GROUP BY ALL""")
+def neighbor_extractions(spark, sf):
+    return _near_blocks(spark, sf, "span_id < 2")
+
+
+@query()
+def neighbor_extractions_all(spark, sf):
+    """Every span of every document as a block; neighbor_extractions has the first two of each, as its SQL."""
+    return _near_blocks(spark, sf, "true")
+
+
 @query()
 def heading_trees(spark, sf):
     return I.heading_trees(I.heading_rows(I.fence_lines(I.line_rows(markdown_rows(spark, sf))))).select("doc_id", "start", F.array_join("tree", " > ").alias("tree"))

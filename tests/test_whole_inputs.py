@@ -26,3 +26,17 @@ def test_align_status_aligns_every_chunk(spark, tmp_path):
     assert len(chunks[1]) > 3 and len(chunks[2]) > 1
     rows = catalog.QUERIES["align_status"](spark, str(tmp_path)).collect()
     assert len(rows) == len(wanted) and {(r["doc_id"], r["chunk"], r["ord"]): (r["status"], r["start"], r["end"]) for r in rows} == wanted
+
+
+def test_neighbor_extractions_all_takes_every_span_as_a_block(spark, tmp_path):
+    texts = {1: "x" * 5000, 2: "y" * 300, 3: "z" * 40, 4: "", 5: None, 6: "w" * 12000}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    wanted = {}
+    for doc, text in texts.items():
+        n = len(text or "")
+        at = [(doc * 37 + k * 211) % max(n, 1) for k in range(6)]
+        spans = [(a, min(n, a + 20 + (doc * 13 + k * 7) % 80)) for k, a in enumerate(at)]
+        for k, (a, b) in enumerate(spans):
+            wanted[doc, k] = sum(s < b + 100 and max(a - 100, 0) < e and s < e for s, e in spans)
+    rows = catalog.QUERIES["neighbor_extractions_all"](spark, str(tmp_path)).collect()
+    assert len(rows) == len(wanted) == 36 and {(r["doc_id"], r["block_id"]): r["n"] for r in rows} == wanted
