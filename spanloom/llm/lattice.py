@@ -26,8 +26,8 @@ from spanloom.llm.scratch import Scratch
 class LatticeConfig:
     """A pair of cosine 0.9 that is otherwise random meets with probability over 0.99; nearer pairs more surely.
 
-    blocks: E8 points of a cell; scale: size of a lattice cell on the unit sphere; block: vectors of one task's part of
-    a hot cell."""
+    blocks: E8 points of a cell; scale: size of a lattice cell on the unit sphere for vectors of 64 or more components,
+    larger for shorter ones, of which a projection keeps more; block: vectors of one task's part of a hot cell."""
 
     cosine: float = 0.9
     tables: int = 10
@@ -71,6 +71,11 @@ def _cell(points: np.ndarray) -> np.ndarray:
     return out
 
 
+def _scale(n: int, config: LatticeConfig) -> float:
+    """Size of a lattice cell for n components: in cells, a pair's projections lie as far apart as at 64."""
+    return config.scale * float(np.sqrt(64 / min(max(n, 8 * config.blocks), 64)))
+
+
 def cells(unit: np.ndarray, config: LatticeConfig) -> tuple[np.ndarray, np.ndarray]:
     """Home cells (vectors x tables) and probed cells (vectors x tables x probes) as hashes that differ by table."""
     draw, short = np.random.default_rng([config.seed, unit.shape[1]]), roots()
@@ -81,7 +86,7 @@ def cells(unit: np.ndarray, config: LatticeConfig) -> tuple[np.ndarray, np.ndarr
         plane, _ = np.linalg.qr(draw.normal(size=(max(unit.shape[1], 8 * config.blocks), 8 * config.blocks)))
         plane = plane[: unit.shape[1]]
         shift = draw.random(8 * config.blocks) * 2
-        y = unit @ plane / config.scale + shift
+        y = unit @ plane / _scale(unit.shape[1], config) + shift
         codes, moved, gain = [], [], []
         for b in range(config.blocks):
             part = y[:, 8 * b : 8 * b + 8]
