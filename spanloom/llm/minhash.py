@@ -241,22 +241,24 @@ def near_duplicates(docs: DataFrame, config: MinHashConfig | None = None, *, id_
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
     sketch = scratch.put(texts.mapInArrow(_sketcher(config), "id long, n_shingles long, high long, low long, bands array<long>, sig binary"), "sketch")
 
-    classes = scratch.put(sketch.where("n_shingles > 0 AND id IS NOT NULL").groupBy("high", "low").agg(F.min("id").alias("node")), "classes")
-    member = sketch.join(classes, (sketch["id"] == classes["node"]) & (sketch["high"] == classes["high"]) & (sketch["low"] == classes["low"]), "left_semi")
-    banded = member.select("id", F.posexplode("bands").alias("band", "h"))
-    shared = banded.groupBy("h").agg(F.min("id").alias("hub"), F.max("id").alias("far")).where("hub <> far").select("h", "hub")
-    bucket = scratch.put(banded.join(shared, "h").select("h", "band", F.col("id").alias("node"), "hub"), "buckets")
+    # a class has a number of its own, as one id with several texts can be the least of several classes
+    classes = sketch.where("n_shingles > 0 AND id IS NOT NULL").groupBy("high", "low").agg(F.min("id").alias("least"))
+    classes = scratch.put(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    member = sketch.join(classes.withColumnRenamed("least", "id"), ["id", "high", "low"])
+    banded = member.select("node", F.posexplode("bands").alias("band", "h"))
+    shared = banded.groupBy("h").agg(F.min("node").alias("hub"), F.max("node").alias("far")).where("hub <> far").select("h", "hub")
+    bucket = scratch.put(banded.join(shared, "h").select("h", "band", "node", "hub"), "buckets")
 
     met = bucket.select("node").distinct()
-    sigs = scratch.put(member.select("id", "n_shingles", "sig", "bands").join(met, F.col("id") == met["node"], "left_semi").dropDuplicates(["id"]), "sigs")
+    sigs = scratch.put(member.select("node", "n_shingles", "sig", "bands").join(met, "node", "left_semi").dropDuplicates(["node"]), "sigs")
     needed = scratch.put(classes.join(met, "node", "left_semi"), "needed")
-    sets = scratch.put(texts.mapInArrow(W.squeeze, "id long, squeezed binary").join(needed.hint("merge"), F.col("id") == F.col("node")).select("id", "squeezed", "high", "low").mapInArrow(_sets(config), "id long, members binary").dropDuplicates(["id"]), "sets")
+    sets = scratch.put(texts.mapInArrow(W.squeeze, "id long, squeezed binary").join(needed.hint("merge"), F.col("id") == F.col("least")).select(F.col("node").alias("id"), "squeezed", "high", "low").mapInArrow(_sets(config), "id long, members binary").dropDuplicates(["id"]), "sets")
 
     def with_sets(pairs: DataFrame) -> DataFrame:
         a, b = sets.select(F.col("id").alias("a"), F.col("members").alias("members_a")), sets.select(F.col("id").alias("b"), F.col("members").alias("members_b"))
         return pairs.join(a, "a").join(b, "b").select("a", "b", "members_a", "members_b")
 
-    a, b = sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"))
+    a, b = sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"))
     stars = bucket.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     least = config.percent / 100 - config.slack
     agreed = stars.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_agreement(k), "a long, b long, share double").where(F.col("share") >= least)
@@ -268,7 +270,7 @@ def near_duplicates(docs: DataFrame, config: MinHashConfig | None = None, *, id_
     mixed = placed.groupBy("h").agg(F.min("component").alias("hub"), F.max("component").alias("far"), F.count("*").alias("n")).where("hub <> far")
     open_ = scratch.put(placed.join(mixed, "h").select("h", "band", "node", "component", "hub", "n"), "open")
     differ = with_sets(open_.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()).mapInArrow(_differences, "a long, b long, hub_size long, minus binary, plus binary")
-    differ = scratch.put(differ.withColumnsRenamed({"a": "node", "b": "hub"}).join(sigs.withColumnRenamed("id", "node"), "node"), "differ")
+    differ = scratch.put(differ.withColumnsRenamed({"a": "node", "b": "hub"}).join(sigs, "node"), "differ")
     blocked = (
         open_.withColumn("blocks", F.ceil(F.col("n") / config.block).cast("int"))
         .withColumn("side", F.pmod(F.xxhash64("node", F.lit(config.seed)), F.col("blocks")).cast("int"))
@@ -279,7 +281,8 @@ def near_duplicates(docs: DataFrame, config: MinHashConfig | None = None, *, id_
     more = scratch.put(blocked.groupBy("h", "i", "j").applyInArrow(_link(k, config.bands, config.percent, least), "a long, b long"), "links-2")
     both = connected_components(links.unionByName(more), scratch, "last")
 
-    grouped = classes.join(both, "node", "left").select("high", "low", F.coalesce("component", "node").alias("component"))
+    first = both.join(classes, "node").groupBy("component").agg(F.min("least").alias("first"))
+    grouped = classes.join(both.join(first, "component").select("node", "first"), "node", "left").select("high", "low", F.coalesce("first", "least").alias("component"))
     rows = sketch.select("id", "n_shingles", "high", "low").join(grouped, ["high", "low"], "left")
     component = F.when(F.col("id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "id"))
     scratch.drop("buckets", "sigs", "needed", "sets", "placed", "open", "differ")
