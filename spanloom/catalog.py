@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import parsing as P
@@ -62,9 +62,13 @@ def gold_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("attributes", F.when(F.col("kind").isNotNull(), F.create_map(F.lit("definition_type"), F.col("kind"))))
 
 
+def _distorted() -> Column:
+    t, x = F.col("turn"), F.col("text")
+    return F.when(t % 5 == 0, F.lower(x)).when(t % 4 == 3, F.substring(x, F.lit(1), F.greatest(F.length(x) - 10, F.lit(1)))).otherwise(x)
+
+
 def pred_rows(spark: SparkSession, sf: str) -> DataFrame:
-    gold, t, x = gold_rows(spark, sf), F.col("turn"), F.col("text")
-    text = F.when(t % 5 == 0, F.lower(x)).when(t % 4 == 3, F.substring(x, F.lit(1), F.greatest(F.length(x) - 10, F.lit(1)))).otherwise(x)
+    gold, t, text = gold_rows(spark, sf), F.col("turn"), _distorted()
     status = F.when(t % 4 == 0, "match_exact").when(t % 4 == 1, " Match_Lesser ").when(t % 4 == 2, "match_fuzzy")
     cls = F.when(t % 6 == 5, "risk").when(t % 11 == 10, "tale").otherwise(F.col("class"))
     first = gold.where(t % 7 != 3).withColumn("class", cls).withColumn("text", text).withColumn("alignment_status", status)
@@ -209,7 +213,17 @@ def compare_runs(spark, sf):
 c AS (SELECT doc_id, idx, len(a) AS na, len(b) AS nb, list_sum(list_transform(list_distinct(b), lambda t: least(len(list_filter(a, lambda x: x = t)), len(list_filter(b, lambda x: x = t))))) AS n FROM pairs)
 SELECT doc_id, idx, coalesce(n, 0)::BIGINT AS shared, CASE WHEN na > 0 THEN round(coalesce(n, 0) / na, 6) ELSE 0 END AS over_a, CASE WHEN nb > 0 THEN round(coalesce(n, 0) / nb, 6) ELSE 0 END AS over_b FROM c""")
 def token_overlap_pairs(spark, sf):
-    rows = gold_rows(spark, sf).select("doc_id", "idx", T.eval_tokens(T.normal_text(F.col("text"), False)).alias("a"), T.eval_tokens(T.normal_text(F.lower(F.substring("text", 1, 60)), False)).alias("b"))
+    return _token_overlaps(gold_rows(spark, sf), F.lower(F.substring("text", 1, 60)))
+
+
+@query()
+def token_overlap_pairs_whole(spark, sf):
+    """Each turn against its whole distorted text; token_overlap_pairs has its first 60 characters, as its SQL."""
+    return _token_overlaps(gold_rows(spark, sf), _distorted())
+
+
+def _token_overlaps(gold: DataFrame, other: Column) -> DataFrame:
+    rows = gold.select("doc_id", "idx", T.eval_tokens(T.normal_text(F.col("text"), False)).alias("a"), T.eval_tokens(T.normal_text(other, False)).alias("b"))
     n = T.bag_overlap(F.col("b"), F.col("a"))
     return rows.select("doc_id", "idx", n.cast("long").alias("shared"), F.round(T.safe_ratio(n, F.size("a")), 6).alias("over_a"), F.round(T.safe_ratio(n, F.size("b")), 6).alias("over_b"))
 

@@ -1,6 +1,7 @@
 """Registered queries without SQL over whole inputs, against plain loops on small tables."""
 
 import re
+from collections import Counter
 
 from spanloom import catalog
 from spanloom.operators import align as A
@@ -40,3 +41,18 @@ def test_neighbor_extractions_all_takes_every_span_as_a_block(spark, tmp_path):
             wanted[doc, k] = sum(s < b + 100 and max(a - 100, 0) < e and s < e for s, e in spans)
     rows = catalog.QUERIES["neighbor_extractions_all"](spark, str(tmp_path)).collect()
     assert len(rows) == len(wanted) == 36 and {(r["doc_id"], r["block_id"]): r["n"] for r in rows} == wanted
+
+
+def test_token_overlap_pairs_whole_measures_whole_turns(spark, tmp_path):
+    words = "One two Three four two five six. Seven, eight nine ten eleven".split()
+    rows = [(c, t, "user", " ".join(words[(c + t + k) % len(words)] for k in range(4 * t + 40))) for c in range(2) for t in range(12)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    tokens = lambda x: Counter(re.findall(r"[A-Za-z0-9_.:/-]+|\S", x.lower().strip()))
+    wanted = {}
+    for c, t, _, text in rows:
+        other = text.lower() if t % 5 == 0 else text[:-10] if t % 4 == 3 else text
+        a, b = tokens(text), tokens(other)
+        n = (a & b).total()
+        wanted[c, t] = (n, round(n / a.total(), 6), round(n / b.total(), 6))
+    found = catalog.QUERIES["token_overlap_pairs_whole"](spark, str(tmp_path)).collect()
+    assert len(found) == len(wanted) and {(r["doc_id"], r["idx"]): (r["shared"], r["over_a"], r["over_b"]) for r in found} == wanted
