@@ -344,8 +344,18 @@ def highlight_events(spark, sf):
 @query(f"""WITH t AS (SELECT doc_id, span_id, "start" AS "at" FROM ({_SPANS}) s), h AS (SELECT doc_id, span_id * 100 AS "start", 'state ' || span_id AS state FROM ({_SPANS}) s WHERE span_id % 2 = 1)
 SELECT t.doc_id, t.span_id, h.state FROM t ASOF LEFT JOIN h ON t.doc_id = h.doc_id AND t."at" >= h."start" """)
 def heading_asof(spark, sf):
+    return _states(spark, sf, "span_id % 2 = 1")
+
+
+@query()
+def heading_asof_all(spark, sf):
+    """Every span as a state; heading_asof has the odd ones, as its SQL."""
+    return _states(spark, sf, "true")
+
+
+def _states(spark: SparkSession, sf: str, which: str) -> DataFrame:
     points = span_rows(spark, sf).select("doc_id", "span_id", "start")
-    states = span_rows(spark, sf).where("span_id % 2 = 1").select("doc_id", (F.col("span_id") * 100).cast("int").alias("start"), F.concat(F.lit("state "), F.col("span_id").cast("string")).alias("state"))
+    states = span_rows(spark, sf).where(which).select("doc_id", (F.col("span_id") * 100).cast("int").alias("start"), F.concat(F.lit("state "), F.col("span_id").cast("string")).alias("state"))
     return I.as_of(points, states, "state").select("doc_id", "span_id", "state")
 
 
