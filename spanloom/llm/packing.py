@@ -1,8 +1,8 @@
 """Best-fit-decreasing packing of token sequences, certified by dual-feasible-function bounds.
 
 Each partition packs its pieces by best fit decreasing and bounds the bins it needs from below. A partition that meets
-its bound is certified optimal and done. Partitions with a gap deal their pieces out anew among each other and pack
-again, as long as that saves bins.
+its bound is certified optimal and done. Partitions with a gap keep their full bins and exchange the pieces of their
+emptiest ones, in a number that follows from the gap; those are packed again, as long as that saves bins.
 """
 
 from __future__ import annotations
@@ -21,8 +21,9 @@ from spanloom.llm.tokens import encoder
 
 #: Pieces dealt to one partition: it bounds a task's memory, and is large enough that best fit meets its bound.
 PARTITION_PIECES = 1 << 17
-#: Exchanges at most; each goes on only with partitions that have a gap, and only while bins are saved.
-ROUNDS = 4
+#: Bins that a partition gives up for each bin of its gap; never more than half of its bins or pieces, so that all
+#: exchanges together move no more pieces than there are.
+GIVEN = 4
 
 
 def _pieces(tokenizer: str, capacity: int, end: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -89,31 +90,70 @@ def best_fit(length: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return bins, place, used
 
 
+_PACKED = ("id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "part", "bins", "bound", "given", "rest_bins", "rest_bound")
+
+
+def emptiest(fill: np.ndarray, pieces: np.ndarray, gap: int) -> np.ndarray:
+    """Which bins to give up: the emptiest GIVEN for each bin of the gap, of at most half of all bins and pieces; one at
+    least. None without a gap."""
+    give = np.zeros(len(fill), dtype=bool)
+    if gap:
+        order = np.argsort(fill, kind="stable")[: max(1, min(GIVEN * gap, len(fill) // 2))]
+        few = np.cumsum(pieces[order]) * 2 <= pieces.sum()
+        few[0] = True
+        give[order[few]] = True
+    return give
+
+
 def _pack(capacity: int, turn: int) -> Callable[[pa.Table], pa.Table]:
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("length", "descending"), ("id", "ascending"), ("piece", "ascending")])
         length = np.asarray(rows["length"])
         bins, place, used = best_fit(length, capacity)
-        gap = used - lower_bound(np.bincount(length, minlength=capacity + 1), capacity)
+        bound = lower_bound(np.bincount(length, minlength=capacity + 1), capacity)
+        give = emptiest(np.bincount(bins, weights=length, minlength=used), np.bincount(bins, minlength=used), used - bound)
+        given = give[bins]
+        rest_bound = lower_bound(np.bincount(length[~given], minlength=capacity + 1), capacity)
         part = np.asarray(rows["part"]).astype(np.int64)
-        new = {"sequence_id": pa.array((turn << 56) + (part << 32) + bins), "offset": pa.array(place), "bins": pa.array(np.full(len(length), used)), "gap": pa.array(np.full(len(length), gap))}
-        return pa.table({c: new.get(c, rows[c] if c in rows.column_names else None) for c in ("id", "piece", "start", "length", "ids_crc32", "part", "sequence_id", "offset", "bins", "gap")})
+        of_part = {"bins": used, "bound": bound, "rest_bins": used - int(give.sum()), "rest_bound": rest_bound}
+        new = {
+            "sequence_id": pa.array((turn << 56) + (part << 32) + bins),
+            "offset": pa.array(place),
+            "given": pa.array(given),
+            **{c: pa.array(np.full(len(length), n, dtype=np.int64)) for c, n in of_part.items()},
+        }
+        return pa.table({c: new[c] if c in new else rows[c] for c in _PACKED})
 
     return run
 
 
 def _packed(rows: DataFrame, capacity: int, turn: int, parts: int) -> DataFrame:
     dealt = rows.select("id", "piece", "start", "length", "ids_crc32").withColumn("part", F.pmod(F.xxhash64("id", "piece", F.lit(turn)), F.lit(parts)).cast("int"))
-    schema = "id long, piece int, start long, length long, ids_crc32 long, part int, sequence_id long, offset long, bins long, gap long"
+    schema = (
+        "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, "
+        "part int, bins long, bound long, given boolean, rest_bins long, rest_bound long"
+    )
     return dealt.groupBy("part").applyInArrow(_pack(capacity, turn), schema)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: int = 2, *, id_column: str = "doc_id", text_column: str = "text", partition_pieces: int = PARTITION_PIECES, rounds: int = ROUNDS) -> DataFrame:
-    """(id, piece, start, length, ids_crc32, sequence_id, offset) for each piece of each row.
+def pack(
+    docs: DataFrame,
+    tokenizer: str,
+    capacity: int = 1024,
+    end: int = 2,
+    *,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    partition_pieces: int = PARTITION_PIECES,
+    rounds: int | None = None,
+) -> DataFrame:
+    """(id, piece, start, length, ids_crc32, sequence_id, offset, part_bins, part_bound) for each piece of each row.
 
     A text is its ids by the tokenizer and then the id `end`; a longer one than capacity is cut into pieces of
     capacity, of which the first may be shorter. Pieces of a sequence follow each other without gaps from 0.
-    The tokens are made once and written; packing moves only lengths.
+    The tokens are made once and written; packing moves only lengths. part_bins and part_bound are the certificate of
+    the group of sequences that a piece was packed in: the bins it takes, and the number no packing of it can go below.
+    rounds: exchanges at most; None goes on until all is certified or an exchange saves nothing.
 
     Nulls: a null text is an empty one, just `end`; null ids and repeated rows are packed like others. A hot text or
     source makes no difference, pieces are dealt by hash. Other columns are ignored; an empty table gives no rows.
@@ -121,32 +161,43 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: int = 2, *,
     scratch = Scratch(docs.sparkSession, "packing")
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
     rows = scratch.put(texts.mapInArrow(_pieces(tokenizer, capacity, end), "id long, piece int, start long, length long, ids_crc32 long"), "pieces")
+    packed = pack_pieces(rows, capacity, scratch, partition_pieces, rounds)
+    scratch.drop("pieces")
+    return packed.withColumnRenamed("id", id_column)
+
+
+def pack_pieces(rows: DataFrame, capacity: int, scratch: Scratch, partition_pieces: int = PARTITION_PIECES, rounds: int | None = None) -> DataFrame:
+    """rows: id, piece, start, length (1 to capacity), ids_crc32; for each its sequence_id, offset, part_bins, part_bound.
+
+    An exchange takes only the given bins of partitions with a gap, and deals their pieces to fewer partitions than they
+    come from; where it saves nothing, the bins stay as they were.
+    """
+    columns = ("id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
     done, turn = [], 0
-    parts = max(1, -(-rows.count() // partition_pieces))
-    last = scratch.put(_packed(rows, capacity, turn, parts), "round-0")
-    while turn < rounds:
-        used, open_parts, pieces = _open(last)
+    last = scratch.put(_packed(rows, capacity, turn, max(1, -(-rows.count() // partition_pieces))), "round-0")
+    while rounds is None or turn < rounds:
+        given, open_parts, pieces = _given(last)
         if open_parts < 2:
             break
         turn += 1
-        again = scratch.put(_packed(last.where("gap > 0"), capacity, turn, max(1, min(open_parts - 1, -(-pieces // partition_pieces)))), f"round-{turn}")
-        if _bins(again) >= used:
+        parts = max(1, min(open_parts - 1, -(-pieces // partition_pieces)))
+        again = scratch.put(_packed(last.where("given"), capacity, turn, parts), f"round-{turn}")
+        if _bins(again) >= given:
+            scratch.drop(f"round-{turn}")
             break
-        done.append(last.where("gap = 0"))
+        done.append(last.where("NOT given").select(*columns, F.col("rest_bins").alias("part_bins"), F.col("rest_bound").alias("part_bound")))
         last = again
-    done.append(last)
-    scratch.drop("pieces")
-    out = done[0]
-    for more in done[1:]:
+    out = last.select(*columns, F.col("bins").alias("part_bins"), F.col("bound").alias("part_bound"))
+    for more in done:
         out = out.unionByName(more)
-    return out.select(F.col("id").alias(id_column), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return out
 
 
 def _bins(packed: DataFrame) -> int:
     return packed.groupBy("part").agg(F.first("bins").alias("bins")).agg(F.coalesce(F.sum("bins"), F.lit(0))).first()[0]
 
 
-def _open(packed: DataFrame) -> tuple[int, int, int]:
-    """Of the partitions with a gap: bins, number, pieces."""
-    of = packed.where("gap > 0").groupBy("part").agg(F.first("bins").alias("bins"), F.count("*").alias("n"))
+def _given(packed: DataFrame) -> tuple[int, int, int]:
+    """Of the partitions with a gap: bins given up, number of partitions, pieces in those bins."""
+    of = packed.where("given").groupBy("part").agg((F.first("bins") - F.first("rest_bins")).alias("bins"), F.count("*").alias("n"))
     return tuple(of.agg(F.coalesce(F.sum("bins"), F.lit(0)), F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first())
