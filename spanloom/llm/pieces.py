@@ -133,7 +133,7 @@ class Pieces:
         ids: list[np.ndarray] = []
         at = size = 0
         for k, piece in enumerate(flat):
-            size += len(piece)
+            size += len(piece) if piece.isascii() else len(piece.encode())
             if size >= CALL_BYTES or k + 1 == len(flat):
                 ids += [np.asarray(x.ids, dtype="<u4") for x in self.own.encode_batch_fast(flat[at : k + 1], add_special_tokens=False)]
                 at, size = k + 1, 0
