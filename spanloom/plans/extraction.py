@@ -51,10 +51,13 @@ def extract_pass(chunks: DataFrame, template: N.Template, provider: N.Provider,
     its chunk gives nothing."""
     asked, news = N.infer(N.prompts(chunks, template), provider, memo, model=model, batch=config.batch, workers=config.workers)
     parsed = P.parse_outputs(asked)
-    problem = F.coalesce("error", "parse_error")
+    problem = F.coalesce("error", "parse_error", P.first_value_error(F.col("groups"), config.index_suffix))
+    parsed = parsed.withColumn("problem", problem)
     if not config.suppress_parse_errors:
-        fail = F.raise_error(F.concat(F.lit("chunk "), F.col("doc_id").cast("string"), F.lit("/"), F.col("chunk").cast("string"), F.lit(": "), problem)).cast(P.GROUPS)
-        parsed = parsed.withColumn("groups", F.when(problem.isNotNull(), fail).otherwise(F.col("groups")))
+        fail = F.raise_error(F.concat(F.lit("chunk "), F.col("doc_id").cast("string"), F.lit("/"), F.col("chunk").cast("string"), F.lit(": "), F.col("problem"))).cast(P.GROUPS)
+        parsed = parsed.withColumn("groups", F.when(F.col("problem").isNotNull(), fail).otherwise(F.col("groups")))
+    else:
+        parsed = parsed.where("problem IS NULL")
     flat = P.flatten(parsed, ["doc_id", "chunk"], config.index_suffix).withColumnRenamed("extraction_index", "ord")
     return align_rows(chunks, flat, config.alignment), news
 
