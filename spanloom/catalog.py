@@ -45,8 +45,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 _GOLD = """SELECT conv_id AS doc_id, CAST(turn AS INT) AS idx, CASE turn % 3 WHEN 0 THEN 'goal' WHEN 1 THEN 'risk' ELSE 'definition' END AS class, text,
   CASE WHEN turn % 3 = 2 AND conv_id % 5 <> 0 THEN CASE WHEN turn % 2 = 0 THEN 'term' ELSE 'unheard' END END AS kind, turn FROM conversations"""
+_DISTORTED = "CASE WHEN turn % 5 = 0 THEN lower(text) WHEN turn % 4 = 3 THEN substr(text, 1, greatest(length(text) - 10, 1)) ELSE text END"
 _PRED = f"""SELECT doc_id, idx, CASE WHEN turn % 6 = 5 THEN 'risk' WHEN turn % 11 = 10 THEN 'tale' ELSE class END AS class,
-  CASE WHEN turn % 5 = 0 THEN lower(text) WHEN turn % 4 = 3 THEN substr(text, 1, greatest(length(text) - 10, 1)) ELSE text END AS text, kind,
+  {_DISTORTED} AS text, kind,
   CASE turn % 4 WHEN 0 THEN 'match_exact' WHEN 1 THEN ' Match_Lesser ' WHEN 2 THEN 'match_fuzzy' END AS alignment_status, turn FROM ({_GOLD}) g WHERE turn % 7 <> 3
 UNION ALL SELECT doc_id, idx + 1000, class, text, kind, 'match_exact', turn FROM ({_GOLD}) g WHERE turn % 5 = 1"""
 #: The evaluation's normal text without compatibility forms.
@@ -150,6 +151,13 @@ def eval_strict_macro_class(spark, sf):
     return E.micro(E.document_counts(*_sides(spark, sf), "detection_strict", by_class=True), ("class", "metric"), digits=6)
 
 
+@query(_micro_sql("detection_strict", ""))
+def eval_detection_strict_nfkc(spark, sf):
+    """With compatibility forms; the conversations hold none, so the SQL is that of the plain query."""
+    pred, gold = (E.normalised(x) for x in (pred_rows(spark, sf), gold_rows(spark, sf)))
+    return E.micro(E.document_counts(pred, gold, E.scored_documents(pred, gold)[0], "detection_strict"), digits=6)
+
+
 @query()
 def eval_all_micro(spark, sf):
     done = evaluation.evaluate(pred_rows(spark, sf), gold_rows(spark, sf), compatibility=False)
@@ -209,16 +217,11 @@ def compare_runs(spark, sf):
     return evaluation.compare(evaluation.evaluate(pred, gold, compatibility=False), evaluation.evaluate(better, gold, compatibility=False)).summary
 
 
-@query(f"""WITH pairs AS (SELECT doc_id, idx, regexp_extract_all({_NORM.format('text')}, '[A-Za-z0-9_.:/-]+|\\S') AS a, regexp_extract_all({_NORM.format('lower(substr(text, 1, 60))')}, '[A-Za-z0-9_.:/-]+|\\S') AS b FROM ({_GOLD}) g),
+@query(f"""WITH pairs AS (SELECT doc_id, idx, regexp_extract_all({_NORM.format('text')}, '[A-Za-z0-9_.:/-]+|\\S') AS a, regexp_extract_all({_NORM.format(_DISTORTED)}, '[A-Za-z0-9_.:/-]+|\\S') AS b FROM ({_GOLD}) g),
 c AS (SELECT doc_id, idx, len(a) AS na, len(b) AS nb, list_sum(list_transform(list_distinct(b), lambda t: least(len(list_filter(a, lambda x: x = t)), len(list_filter(b, lambda x: x = t))))) AS n FROM pairs)
 SELECT doc_id, idx, coalesce(n, 0)::BIGINT AS shared, CASE WHEN na > 0 THEN round(coalesce(n, 0) / na, 6) ELSE 0 END AS over_a, CASE WHEN nb > 0 THEN round(coalesce(n, 0) / nb, 6) ELSE 0 END AS over_b FROM c""")
 def token_overlap_pairs(spark, sf):
-    return _token_overlaps(gold_rows(spark, sf), F.lower(F.substring("text", 1, 60)))
-
-
-@query()
-def token_overlap_pairs_whole(spark, sf):
-    """Each turn against its whole distorted text; token_overlap_pairs has its first 60 characters, as its SQL."""
+    """Each turn against its whole distorted text."""
     return _token_overlaps(gold_rows(spark, sf), _distorted())
 
 
@@ -238,18 +241,32 @@ def tokens_by_type(spark, sf):
     return rows.select("doc_id", T.token_kind(F.col("t")).alias("kind")).where(F.col("kind") != T.PUNCTUATION).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
 
 
-@query()
+#: The tokens of the documents by their pattern; runs of one symbol are joined by windows.
+_TOKENS = r"""p AS (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS k FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[\p{L}\p{M}]+|\p{Nd}+|[\s\x0B\x{85}\p{Z}]+|(?s:.)') AS l FROM documents) x),
+q AS (SELECT *, regexp_matches(t, '^[\s\x0B\x{85}\p{Z}]') AS sp, regexp_matches(t, '^[^\p{L}\p{M}\p{Nd}\s\x0B\x{85}\p{Z}]') AS sym, lag(t) OVER (PARTITION BY doc_id ORDER BY k) AS pt FROM p),
+r AS (SELECT *, sum(CASE WHEN sym AND pt = t THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY k) AS g FROM q),
+s AS (SELECT doc_id, g, string_agg(t, '' ORDER BY k) AS t, bool_or(sp) AS sp, bool_or(sym) AS sym FROM r GROUP BY doc_id, g),
+u AS (SELECT *, sum(length(t)) OVER (PARTITION BY doc_id ORDER BY g) AS e, lag(CASE WHEN sp THEN t END) OVER (PARTITION BY doc_id ORDER BY g) AS gap FROM s),
+v AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS idx FROM u WHERE NOT sp),
+tok AS (SELECT doc_id, idx::INT AS idx, t AS token, CASE WHEN sym THEN 2 WHEN regexp_matches(t, '^\p{Nd}') THEN 1 ELSE 0 END AS kind, (e - length(t))::INT AS "start", e::INT AS "end", idx > 0 AND coalesce(regexp_matches(gap, '[\n\r]'), false) AS nl FROM v)"""
+_SENTENCES = r"""e AS (SELECT *, kind = 2 AND regexp_matches(token, '[.?!。！？।]["''”’»)\]}]*$') AND coalesce(lag(token) OVER (PARTITION BY doc_id ORDER BY idx) || token, token) NOT IN ('Mr.', 'Mrs.', 'Ms.', 'Dr.', 'Prof.', 'St.') AS ends FROM tok),
+c AS (SELECT *, kind = 2 AND token IN ('"', chr(39), '”', '’', '»', ')', ']', '}') AND NOT ends AS closes FROM e),
+d AS (SELECT *, closes AND coalesce(last_value(CASE WHEN NOT closes THEN ends END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY idx), false) AS drawn FROM c),
+l AS (SELECT *, (ends OR drawn OR coalesce(lead(nl AND NOT regexp_matches(token, '^\p{Ll}')) OVER w, false)) AND NOT coalesce(lead(drawn) OVER w, false) AS stops, lead(idx) OVER w IS NOT NULL AS inner_ FROM d WINDOW w AS (PARTITION BY doc_id ORDER BY idx))"""
+
+
+@query(f'WITH {_TOKENS} SELECT doc_id, idx, token, kind, "start", "end", nl FROM tok')
 def token_spans(spark, sf):
     return K.token_rows(table(spark, sf, "documents"))
 
 
-@query()
+@query(f"WITH {_TOKENS}, {_SENTENCES} SELECT doc_id, 1 + coalesce(sum((stops AND inner_)::INT), 0)::BIGINT AS sentences, count(*)::BIGINT AS tokens FROM l GROUP BY doc_id")
 def sentences_per_doc(spark, sf):
     rows = K.sentence_rows(K.token_rows(table(spark, sf, "documents")))
     return rows.groupBy("doc_id").agg((F.max("sentence") + 1).cast("long").alias("sentences"), F.count("*").alias("tokens"))
 
 
-@query()
+@query(f"""WITH {_TOKENS} SELECT x.doc_id, x.span_id, x."start", x."end", min(idx) AS first_token, (max(idx) + 1)::INT AS end_token FROM ({_SPANS}) x JOIN tok ON tok.doc_id = x.doc_id AND tok."start" < x."end" AND x."start" < tok."end" GROUP BY ALL""")
 def spans_to_tokens(spark, sf):
     return K.spans_to_tokens(span_rows(spark, sf), K.token_rows(table(spark, sf, "documents")))
 
@@ -341,21 +358,12 @@ def highlight_events(spark, sf):
     return I.highlight_events(span_rows(spark, sf))
 
 
-@query(f"""WITH t AS (SELECT doc_id, span_id, "start" AS "at" FROM ({_SPANS}) s), h AS (SELECT doc_id, span_id * 100 AS "start", 'state ' || span_id AS state FROM ({_SPANS}) s WHERE span_id % 2 = 1)
+@query(f"""WITH t AS (SELECT doc_id, span_id, "start" AS "at" FROM ({_SPANS}) s), h AS (SELECT doc_id, span_id * 100 AS "start", 'state ' || span_id AS state FROM ({_SPANS}) s)
 SELECT t.doc_id, t.span_id, h.state FROM t ASOF LEFT JOIN h ON t.doc_id = h.doc_id AND t."at" >= h."start" """)
 def heading_asof(spark, sf):
-    return _states(spark, sf, "span_id % 2 = 1")
-
-
-@query()
-def heading_asof_all(spark, sf):
-    """Every span as a state; heading_asof has the odd ones, as its SQL."""
-    return _states(spark, sf, "true")
-
-
-def _states(spark: SparkSession, sf: str, which: str) -> DataFrame:
+    """Every span is a point and a state."""
     points = span_rows(spark, sf).select("doc_id", "span_id", "start")
-    states = span_rows(spark, sf).where(which).select("doc_id", (F.col("span_id") * 100).cast("int").alias("start"), F.concat(F.lit("state "), F.col("span_id").cast("string")).alias("state"))
+    states = span_rows(spark, sf).select("doc_id", (F.col("span_id") * 100).cast("int").alias("start"), F.concat(F.lit("state "), F.col("span_id").cast("string")).alias("state"))
     return I.as_of(points, states, "state").select("doc_id", "span_id", "state")
 
 
@@ -365,31 +373,39 @@ def neighbor_text(spark, sf):
     return R.neighbour_texts(table(spark, sf, "documents"), blocks, "medium").select("doc_id", "span_id", "before", "after")
 
 
-def _near_blocks(spark: SparkSession, sf: str, which: str) -> DataFrame:
+@query(f"""WITH b AS (SELECT doc_id, span_id AS block_id, greatest("start" - 100, 0) AS s, "end" + 100 AS e FROM ({_SPANS}) x)
+SELECT b.doc_id, b.block_id::INT AS block_id, count(x.doc_id)::BIGINT AS n FROM b LEFT JOIN ({_SPANS}) x ON x.doc_id = b.doc_id AND x."start" < b.e AND b.s < x."end" AND x."start" < x."end" GROUP BY ALL""")
+def neighbor_extractions(spark, sf):
+    """Every span of every document is a block."""
     spans = span_rows(spark, sf)
-    blocks = spans.where(which).withColumn("block_id", F.col("span_id").cast("int"))
+    blocks = spans.withColumn("block_id", F.col("span_id").cast("int"))
     near = spans.select("doc_id", "start", "end", F.lit("x").alias("class"), F.col("span_id").cast("string").alias("text"))
     return I.neighbours(blocks, near, 100).select("doc_id", "block_id", F.size("neighbours").cast("long").alias("n"))
 
 
-@query(f"""WITH b AS (SELECT doc_id, span_id AS block_id, greatest("start" - 100, 0) AS s, "end" + 100 AS e FROM ({_SPANS}) x WHERE span_id < 2)
-SELECT b.doc_id, b.block_id::INT AS block_id, count(x.doc_id)::BIGINT AS n FROM b LEFT JOIN ({_SPANS}) x ON x.doc_id = b.doc_id AND x."start" < b.e AND b.s < x."end" AND x."start" < x."end" GROUP BY ALL""")
-def neighbor_extractions(spark, sf):
-    return _near_blocks(spark, sf, "span_id < 2")
+#: The Markdown of markdown_rows, its lines, and its headings outside fences.
+_HEADINGS = r"""md AS (SELECT doc_id, '# ' || coalesce(source, '') || chr(10) || chr(10) || '## Contents' || chr(10) || '- [a](#a)' || chr(10) || '- [b](#b)' || chr(10) || chr(10) ||
+  array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i: CASE (i - 1) % 4 WHEN 0 THEN chr(10) || '## ' || substr(x, 1, 20) || chr(10) WHEN 1 THEN '- ' WHEN 2 THEN chr(10) ELSE '### sub' || chr(10) END || x || chr(10)), '')
+  || '```' || chr(10) || 'code # not a heading' || chr(10) || '```' || chr(10) || '| a | b |' || chr(10) || '| 1 | 2 |' || chr(10) AS text FROM documents),
+ln AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM md) x),
+pl AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) AS e, regexp_matches(line, '^\s*(```|~~~)') AS mark FROM ln),
+fl AS (SELECT *, mark OR sum(mark::INT) OVER (PARTITION BY doc_id ORDER BY k) % 2 = 1 AS fenced FROM pl),
+h AS (SELECT doc_id, (e - length(line) - 1)::INT AS "start", e::INT AS "end", length(regexp_extract(trim(line), '^(#+)', 1)) AS level, regexp_replace(trim(line), '\s+$', '') AS heading, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS n
+  FROM fl WHERE NOT fenced AND regexp_matches(line, '^\s*#{1,6}\s+\S'))"""
 
 
-@query()
-def neighbor_extractions_all(spark, sf):
-    """Every span of every document as a block; neighbor_extractions has the first two of each, as its SQL."""
-    return _near_blocks(spark, sf, "true")
-
-
-@query()
+@query(f"""WITH RECURSIVE {_HEADINGS}, t AS (SELECT doc_id, n, "start", [heading] AS tree FROM h WHERE n = 1 UNION ALL
+  SELECT h.doc_id, h.n, h."start", list_append(t.tree[1:h.level - 1], h.heading) FROM t JOIN h ON h.doc_id = t.doc_id AND h.n = t.n + 1)
+SELECT doc_id, "start", array_to_string(tree, ' > ') AS tree FROM t""")
 def heading_trees(spark, sf):
     return I.heading_trees(I.heading_rows(I.fence_lines(I.line_rows(markdown_rows(spark, sf))))).select("doc_id", "start", F.array_join("tree", " > ").alias("tree"))
 
 
-@query()
+@query(f"""WITH {_HEADINGS}, f AS (SELECT doc_id, min("start") AS s FROM h WHERE heading = '### sub' GROUP BY doc_id),
+z AS (SELECT h.doc_id, min(h."start") AS stop FROM h JOIN f ON h.doc_id = f.doc_id WHERE h."start" > s AND level <= 3 GROUP BY h.doc_id),
+w AS (SELECT *, lead("start") OVER (PARTITION BY doc_id ORDER BY "start") AS next FROM h)
+SELECT w.doc_id, string_agg(CASE WHEN w."start" = s THEN substr(text, s + 1, coalesce(next, length(text)) - s) ELSE substr(text, w."start" + 1, w."end" - w."start") END, '' ORDER BY w."start") AS section
+FROM w JOIN f ON f.doc_id = w.doc_id LEFT JOIN z ON z.doc_id = w.doc_id JOIN md ON md.doc_id = w.doc_id WHERE w."start" >= s AND (stop IS NULL OR w."start" < stop) GROUP BY w.doc_id""")
 def section_content(spark, sf):
     docs = markdown_rows(spark, sf)
     return I.section_text(docs, I.heading_rows(I.fence_lines(I.line_rows(docs))), "### sub")
@@ -401,7 +417,12 @@ def residual_blocks_clean(spark, sf):
     return R.residual_blocks(markdown_rows(spark, sf), spans, fences=True).withColumn("tree", F.array_join("tree", " > "))
 
 
-@query()
+@query(f"""WITH RECURSIVE o AS (SELECT doc_id, span_id, (span_id % 3)::INT AS pass, "start" AS s, "end" AS e, row_number() OVER (PARTITION BY doc_id ORDER BY span_id % 3, span_id) AS n FROM ({_SPANS}) x WHERE "start" < "end"),
+t AS (SELECT doc_id, n, [{{'span_id': span_id, 'pass': pass, 's': s, 'e': e}}] AS kept FROM o WHERE n = 1 UNION ALL
+  SELECT o.doc_id, o.n, CASE WHEN o.pass > 0 AND len(list_filter(t.kept, lambda k: k.s < o.e AND o.s < k.e)) > 0 THEN t.kept ELSE list_append(t.kept, {{'span_id': o.span_id, 'pass': o.pass, 's': o.s, 'e': o.e}}) END
+  FROM t JOIN o ON o.doc_id = t.doc_id AND o.n = t.n + 1),
+a AS (SELECT doc_id, unnest(max_by(kept, n)) AS k FROM t GROUP BY doc_id)
+SELECT doc_id, k.span_id AS span_id, k.pass AS pass, k.s AS "start", k.e AS "end" FROM a""")
 def passes_merged(spark, sf):
     spans = span_rows(spark, sf).where("start < end").withColumn("pass", (F.col("span_id") % 3).cast("int")).withColumn("ord", F.col("span_id"))
     return I.kept_passes(spans).select("doc_id", "span_id", "pass", "start", "end")

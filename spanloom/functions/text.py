@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, MapType, StringType, StructField, StructType
 
 # --- tokens -----------------------------------------------------------------------------------------------------------
 
@@ -87,6 +89,7 @@ def cut(text: Column, most: int) -> Column:
     return F.substring(text, 1, most)
 
 
+#: Fixed values.
 CONTEXT_SIZES = {"small": 100, "medium": 200, "large": 300}
 
 
@@ -177,8 +180,12 @@ def is_url_text(text: Column) -> Column:
     return (core != "") & core.rlike(URL)
 
 
+#: Fixed marks of a table of contents.
+TOC_OPEN, TOC_CLOSE = "<!-- toc -->", "<!-- /toc -->"
+
+
 def is_toc_text(text: Column) -> Column:
-    return text.contains("<!-- toc -->") | text.contains("<!-- /toc -->") | (F.size(F.regexp_extract_all(text, F.lit(TOC_LINK), 0)) >= 2)
+    return text.contains(TOC_OPEN) | text.contains(TOC_CLOSE) | (F.size(F.regexp_extract_all(text, F.lit(TOC_LINK), 0)) >= 2)
 
 
 def leading_heading(text: Column) -> Column:
@@ -195,6 +202,7 @@ def is_heading_text(text: Column) -> Column:
 
 #: Fixed pattern of the evaluation's tokens.
 EVAL_TOKENS = r"[A-Za-z0-9_.:/-]+|[^\s]"
+#: Fixed values of the alignment status.
 STATUSES = ("match_exact", "match_lesser", "match_fuzzy", "match_none")
 
 
@@ -248,16 +256,80 @@ def overlap_stats(pred: pd.Series, label: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["precision", "recall", "f1", "lccs"])
 
 
+def relaxed_match(pred: Column, label: Column, f1: float, precision: float, recall: float, lccs: float) -> Column:
+    """The F1 of two normal texts if they match, else null: one holds the other and shares enough of its tokens, or both
+    F1 and longest run are over their bounds. The run is only looked for where it decides."""
+    split = re.compile(EVAL_TOKENS).findall
+
+    @F.arrow_udf(DoubleType())
+    def matched(preds: pa.Array, labels: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(preds.to_pylist(), labels.to_pylist(), strict=True):
+            a, b = split(x or ""), split(y or "")
+            both = (Counter(a) & Counter(b)).total()
+            if not both:
+                out.append(None)
+                continue
+            p, r = both / len(a), both / len(b)
+            f = 2 * p * r / (p + r)
+            near = (x in y and r > recall) or (y in x and p > precision)
+            near = near or (f > f1 and (a == b or _longest_run(a, b) / min(len(a), len(b)) > lccs))
+            out.append(f if near else None)
+        return pa.array(out, type=pa.float64())
+
+    return matched(pred, label)
+
+
 def status_name(status: Column) -> Column:
     low = F.lower(F.trim(status))
     return F.when(low.isin(*STATUSES), low).otherwise("match_none")
 
 
+def _normal(value: object) -> object:
+    """A value of JSON with all its texts in normal form."""
+    if isinstance(value, str):
+        return re.sub(r"\s+", " ", re.sub(r'\\+"', '"', unicodedata.normalize("NFKC", value))).strip().lower()
+    if isinstance(value, list):
+        return [_normal(x) for x in value]
+    return {str(k): _normal(v) for k, v in value.items()} if isinstance(value, dict) else value
+
+
+def _normal_json(value: str | None) -> str | None:
+    """As _normal, for text that may be the JSON of a list or an object."""
+    if value is None:
+        return None
+    if value.lstrip()[:1] in ("[", "{"):
+        try:
+            return json.dumps(_normal(json.loads(value)), ensure_ascii=False, sort_keys=True)
+        except ValueError:
+            pass
+    return _normal(value)
+
+
+@F.arrow_udf(MapType(StringType(), StringType()))
+def _normal_values(maps: pa.Array) -> pa.Array:
+    rows = [None if m is None else [(k, _normal_json(v)) for k, v in m] for m in maps.to_pylist()]
+    return pa.array(rows, type=pa.map_(pa.string(), pa.string()))
+
+
+def normal_attributes(attributes: Column, compatibility: bool = True) -> Column:
+    """Attributes with normal values, those of lists and objects inside too. Null is empty. Without compatibility forms it
+    stays in the JVM and takes a list's JSON as one text."""
+    whole = F.coalesce(attributes, F.create_map().cast("map<string,string>"))
+    if compatibility:
+        return _normal_values(whole)
+    return F.transform_values(whole, lambda _, v: F.when(v.isNotNull(), normal_text(v, False)))
+
+
+def normal_attributes_within(a: Column, b: Column, ignored: tuple[str, ...] = ()) -> Column:
+    """Has b every key of a that isn't ignored, with an equal value? For normal attributes; not symmetric."""
+    keys = F.map_keys(a) if not ignored else F.filter(F.map_keys(a), lambda k: ~k.isin(*ignored))
+    return F.forall(keys, lambda k: F.map_contains_key(b, k) & F.element_at(a, k).eqNullSafe(F.element_at(b, k)))
+
+
 def attributes_within(a: Column, b: Column) -> Column:
     """Has b every key of a with an equal normal value? Both map<string,string>; null is empty. Not symmetric."""
-    a, b = F.coalesce(a, F.create_map().cast("map<string,string>")), F.coalesce(b, F.create_map().cast("map<string,string>"))
-    same = lambda k: F.map_contains_key(b, k) & normal_text(F.element_at(a, k), False).eqNullSafe(normal_text(F.element_at(b, k), False))
-    return F.forall(F.map_keys(a), same)
+    return normal_attributes_within(normal_attributes(a, False), normal_attributes(b, False))
 
 
 def shown_attributes(attributes: Column) -> Column:

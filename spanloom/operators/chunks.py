@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
 from spanloom.operators.tokens import Tokens, scan
+from spanloom.sources import shared
 
 # --- sentence chunks ----------------------------------------------------------------------------------------------------
 
@@ -67,7 +68,8 @@ def sentence_chunks(tokens: Tokens, limit: int) -> list[tuple[int, int]]:
 
 _KINDS = [(kind, re.compile(pattern)) for kind, pattern in (("heading", T.HEADING), ("code_fence", T.FENCE), ("checklist_item", T.CHECKLIST), ("numbered_item", T.NUMBERED), ("bullet_item", T.BULLET), ("blockquote", T.QUOTE))]
 _PATTERN = dict(_KINDS)
-_LINK = re.compile(r"\[[^\]]+\]\(#[^)]+\)")
+#: A link to an anchor of the same text. Fixed pattern.
+_LINK = re.compile(r"\[[^\]]+\]\(#[-a-z0-9_]+\)", re.IGNORECASE)
 
 
 def _kind(line: str) -> str:
@@ -159,7 +161,9 @@ class ChunkPolicy:
 
 
 #: Fixed values of the table-of-contents rule.
-TOC_TITLES, TOC_OPEN, TOC_CLOSE = ("table of contents", "contents"), ("<!-- toc -->",), ("<!-- /toc -->",)
+TOC_TITLES = ("table of contents", "contents")
+TOC_OPEN = ("<!-- toc -->", "<!--toc-->")
+TOC_CLOSE = ("<!-- /toc -->", "<!--/toc-->")
 
 
 def _toc_entry(block: Block) -> bool:
@@ -377,19 +381,23 @@ def with_previous(chunks: DataFrame, size: int, id_column: str = "doc_id") -> Da
 
 
 def batches(chunks: DataFrame, size: int, id_column: str = "doc_id") -> DataFrame:
-    """chunks with a batch number: fixed-size batches across documents, in order."""
+    """chunks with a batch number: fixed-size batches across documents, in the order of ids (null first) and chunks."""
     counts = chunks.groupBy(id_column).agg(F.count("*").alias("_n"))
-    ranked = _running(counts, id_column, "_n")
+    ranked = _running(counts, id_column, "_n").select(F.col(id_column).alias("_id"), "_before")
     place = F.row_number().over(Window.partitionBy(id_column).orderBy("chunk")) - 1
-    return chunks.withColumn("_place", place).join(ranked.select(id_column, "_before"), id_column).withColumn("batch", F.floor((F.col("_before") + F.col("_place")) / size).cast("int")).drop("_place", "_before")
-
-
-def _running(counts: DataFrame, key: str, n: str, parts: int = 64) -> DataFrame:
-    """counts with _before, the sum over lesser keys: ranges of keys are summed first, then each range within itself."""
-    bounds = counts.agg(F.percentile_approx(key, [k / parts for k in range(1, parts)])).first()[0] or []
-    part = sum((F.when(F.col(key) >= b, 1).otherwise(0) for b in sorted(set(bounds))), F.lit(0))
-    ranged = counts.withColumn("_part", part)
-    sums = ranged.groupBy("_part").agg(F.sum(n).alias("_sum"))  # at most `parts` rows
-    before = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_base")
-    inside = F.coalesce(F.sum(n).over(Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return ranged.withColumn("_inside", inside).join(before, "_part").withColumn("_before", F.col("_base") + F.col("_inside")).drop("_part", "_base", "_inside")
+    joined = chunks.withColumn("_place", place).join(ranked, F.col(id_column).eqNullSafe(F.col("_id")))
+    return joined.withColumn("batch", F.floor((F.col("_before") + F.col("_place")) / size).cast("int")).drop("_place", "_before", "_id")
+
+
+def _running(counts: DataFrame, key: str, n: str, most: int = 1_000_000) -> DataFrame:
+    """counts with _before, the sum over lesser keys of any type that can be ordered.
+
+    The rows are dealt to ranges of about `most` keys and written; each range is summed by itself, and the sums of the
+    ranges alone, one row each, are added up in one task."""
+    parts = max(1, -(-counts.count() // most))
+    ranged = shared.written(counts.repartitionByRange(parts, key).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = ranged.groupBy("_part").agg(F.sum(n).alias("_sum")).select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    inside = F.sum(n).over(Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1))
+    rows = ranged.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(base, "_part")
+    return rows.withColumn("_before", F.col("_base") + F.col("_inside")).drop("_part", "_base", "_inside")

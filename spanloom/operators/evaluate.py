@@ -11,21 +11,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
 from spanloom.operators import schema as S
+from spanloom.sources import shared
 
+#: Fixed values of the relaxed text match, and the metrics' names.
 THRESHOLDS = {"text_relaxed_f1": 0.8, "substring_precision": 0.8, "substring_recall": 0.8, "lccs_ratio": 0.7}
 #: Fixed values of the comparison's verdicts: better, worse, little change; and of the core metric.
 VERDICTS = ("candidate 相比 baseline 呈现明确提升", "candidate 相比 baseline 存在回归风险", "candidate 相比 baseline 变化有限")
 CORE = ("核心结构化指标提升", "核心结构化指标退化", "核心结构化指标持平")
 METRICS = ("detection_strict", "detection_relaxed", "class_strict", "class_relaxed", "structured_strict", "structured_relaxed")
+#: Metrics that need a matching, and the kind of pairs each matches.
+MATCHED = {"structured_strict": "strict", "detection_relaxed": "relaxed", "class_relaxed": "relaxed", "structured_relaxed": "relaxed"}
 
 
 def normalised(rows: DataFrame, compatibility: bool = True) -> DataFrame:
-    return rows.withColumn("norm", T.normal_text(F.col("text"), compatibility))
+    """rows with norm, the normal text, and norm_attributes."""
+    return rows.withColumn("norm", T.normal_text(F.col("text"), compatibility)).withColumn("norm_attributes", T.normal_attributes(F.col("attributes"), compatibility))
 
 
 def totals(pred: DataFrame, gold: DataFrame, docs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -56,12 +62,13 @@ def _rarest(rows: DataFrame, idx: str, norm: str, share: float) -> DataFrame:
 
 
 def _with_sides(pairs: DataFrame, pred: DataFrame, gold: DataFrame) -> DataFrame:
-    side = lambda x, s: x.select("doc_id", F.col("idx").alias(f"{s}_idx"), F.col("class").alias(f"{s}_class"), F.col("norm").alias(f"{s}_norm"), F.col("attributes").alias(f"{s}_attributes"))
+    side = lambda x, s: x.select("doc_id", F.col("idx").alias(f"{s}_idx"), F.col("class").alias(f"{s}_class"), F.col("norm").alias(f"{s}_norm"), F.col("norm_attributes").alias(f"{s}_attributes"))
     return pairs.join(side(pred, "pred"), ["doc_id", "pred_idx"]).join(side(gold, "gold"), ["doc_id", "gold_idx"])
 
 
-def legal_pairs(pred: DataFrame, gold: DataFrame, *, relaxed: bool, thresholds: dict[str, float] | None = None) -> DataFrame:
-    """(doc_id, pred_idx, gold_idx, class, same_class, attributes_ok, weight) of the pairs whose texts match.
+def legal_pairs(pred: DataFrame, gold: DataFrame, *, relaxed: bool, thresholds: dict[str, float] | None = None, ignored: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, pred_idx, gold_idx, class, same_class, attributes_ok, weight) of the pairs whose texts match. ignored:
+    attribute keys that the domain's policy doesn't score.
 
     Strict ones share the normal text. Relaxed ones share more than a least part of the longer side's tokens, so both
     sides' rarest tokens meet first; then they are verified. The thresholds of the substring tests are swapped against
@@ -71,17 +78,13 @@ def legal_pairs(pred: DataFrame, gold: DataFrame, *, relaxed: bool, thresholds:
         share = min(tau["text_relaxed_f1"] / (2 - tau["text_relaxed_f1"]), tau["substring_precision"], tau["substring_recall"])
         named = lambda x, s: x.select("doc_id", F.col("idx").alias(f"{s}_idx"), F.col("norm").alias(f"{s}_norm"))
         met = _rarest(named(pred, "pred"), "pred_idx", "pred_norm", share).join(_rarest(named(gold, "gold"), "gold_idx", "gold_norm", share), ["doc_id", "_t"])
-        pairs = _with_sides(met.select("doc_id", "pred_idx", "gold_idx").distinct(), pred, gold).withColumn("_s", T.overlap_stats(F.col("gold_norm"), F.col("pred_norm")))
-        near = (
-            (F.col("pred_norm").contains(F.col("gold_norm")) & (F.col("_s.recall") > tau["substring_recall"]))
-            | (F.col("gold_norm").contains(F.col("pred_norm")) & (F.col("_s.precision") > tau["substring_precision"]))
-            | ((F.col("_s.f1") > tau["text_relaxed_f1"]) & (F.col("_s.lccs") > tau["lccs_ratio"]))
-        )
-        pairs = pairs.where(near).withColumn("weight", F.col("_s.f1")).where("weight > 0")
+        pairs = _with_sides(met.select("doc_id", "pred_idx", "gold_idx").distinct(), pred, gold)
+        near = T.relaxed_match(F.col("gold_norm"), F.col("pred_norm"), tau["text_relaxed_f1"], tau["substring_precision"], tau["substring_recall"], tau["lccs_ratio"])
+        pairs = pairs.withColumn("weight", near).where("weight IS NOT NULL")
     else:
         same = pred.select("doc_id", "norm", F.col("idx").alias("pred_idx")).join(gold.select("doc_id", "norm", F.col("idx").alias("gold_idx")), ["doc_id", "norm"])
         pairs = _with_sides(same.select("doc_id", "pred_idx", "gold_idx"), pred, gold).withColumn("weight", F.lit(1.0))
-    fit = T.attributes_within(F.col("pred_attributes"), F.col("gold_attributes"))
+    fit = T.normal_attributes_within(F.col("pred_attributes"), F.col("gold_attributes"), ignored)
     return pairs.select("doc_id", "pred_idx", "gold_idx", F.col("gold_class").alias("class"), (F.col("pred_class") == F.col("gold_class")).alias("same_class"), fit.alias("attributes_ok"), "weight")
 
 
@@ -111,31 +114,41 @@ def _assign(weight: np.ndarray) -> list[tuple[int, int]]:
     return [(b, a) if turned else (a, b) for a, b in pairs if weight[(b, a) if turned else (a, b)] > 0]
 
 
-def _match(edges: pd.DataFrame) -> pd.DataFrame:
-    """The matched edges of one group, component by component."""
-    parent: dict = {}
+def _matched(pred: np.ndarray, gold: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which edges of one group are matched, component by component."""
+    p, g = np.unique(pred, return_inverse=True)[1], np.unique(gold, return_inverse=True)[1]
+    n = int(p.max()) + 1 if len(p) else 0
+    parent = list(range(n + (int(g.max()) + 1 if len(g) else 0)))
 
-    def root(x):
-        while parent.setdefault(x, x) != x:
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
             x = parent[x]
         return x
 
-    for p, g in zip(edges["pred_idx"], edges["gold_idx"], strict=True):
-        a, b = root(("p", p)), root(("g", g))
+    for x, y in zip(p.tolist(), g.tolist(), strict=True):
+        a, b = root(x), root(n + y)
         if a != b:
-            parent[a] = b
-    of = [root(("p", p)) for p in edges["pred_idx"]]
-    kept = []
-    for _, part in edges.groupby(pd.Series(of, index=edges.index).map(str), sort=False):
+            parent[max(a, b)] = min(a, b)
+    of = np.array([root(x) for x in p.tolist()], dtype=np.int64)
+    order = np.argsort(of, kind="stable")
+    out = np.zeros(len(p), dtype=bool)
+    for part in np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if len(p) else ():
         if len(part) == 1:
-            kept.append(part)
+            out[part] = True
             continue
-        ps, gs = sorted(part["pred_idx"].unique()), sorted(part["gold_idx"].unique())
-        weight = np.zeros((len(ps), len(gs)))
-        weight[[ps.index(x) for x in part["pred_idx"]], [gs.index(x) for x in part["gold_idx"]]] = part["weight"]
-        chosen = {(ps[a], gs[b]) for a, b in _assign(weight)}
-        kept.append(part[[(a, b) in chosen for a, b in zip(part["pred_idx"], part["gold_idx"], strict=True)]])
-    return pd.concat(kept) if kept else edges
+        rows, r = np.unique(p[part], return_inverse=True)
+        cols, c = np.unique(g[part], return_inverse=True)
+        dense = np.zeros((len(rows), len(cols)))
+        dense[r, c] = weight[part]
+        chosen = set(_assign(dense))
+        out[part] = [(a, b) in chosen for a, b in zip(r.tolist(), c.tolist(), strict=True)]
+    return out
+
+
+def _match(edges: pd.DataFrame) -> pd.DataFrame:
+    """The matched edges of one group."""
+    return edges[_matched(edges["pred_idx"].to_numpy(), edges["gold_idx"].to_numpy(), edges["weight"].to_numpy())]
 
 
 def matches(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -165,6 +178,60 @@ def document_counts(pred: DataFrame, gold: DataFrame, docs: DataFrame, metric: s
     return rows.select("doc_id", *by, F.lit(metric).alias("metric"), "tp", (F.col("n_pred") - F.col("tp")).alias("fp"), (F.col("n_gold") - F.col("tp")).alias("fn"))
 
 
+def matched_edges(pred: DataFrame, gold: DataFrame, *, metrics: tuple[str, ...] = METRICS, thresholds: dict[str, float] | None = None, ignored: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, pred_idx, gold_idx, class, and for each metric of MATCHED whether the pair is matched by it) of all pairs
+    that any of those metrics matches. Pairs are made once, and one call matches all metrics of a document."""
+    asked = [m for m in MATCHED if m in metrics]
+    kinds = [legal_pairs(pred, gold, relaxed=k == "relaxed", thresholds=thresholds, ignored=ignored).withColumn("kind", F.lit(k)) for k in sorted({MATCHED[m] for m in asked})]
+    ids = [f"{c} {kinds[0].schema[c].dataType.simpleString()}" for c in ("doc_id", "pred_idx", "gold_idx", "class")] if kinds else ["doc_id string", "pred_idx int", "gold_idx int", "class string"]
+    schema = ", ".join([*ids, *(f"{m} boolean" for m in MATCHED)])
+    if not kinds:
+        return pred.sparkSession.createDataFrame([], schema)
+    pairs = kinds[0] if len(kinds) == 1 else kinds[0].where("same_class AND attributes_ok" if sorted({MATCHED[m] for m in asked})[0] == "strict" else "true").unionByName(kinds[1].where("same_class AND attributes_ok"))
+
+    def run(rows: pa.Table) -> pa.Table:
+        p, g, weight = (np.asarray(rows[c]) for c in ("pred_idx", "gold_idx", "weight"))
+        kind, same, fit = np.asarray(rows["kind"].to_pylist()), *(np.asarray(rows[c].fill_null(False)) for c in ("same_class", "attributes_ok"))
+        flags = {m: np.zeros(len(p), dtype=bool) for m in MATCHED}
+        for m in asked:
+            own = kind == MATCHED[m]
+            own &= same if m.split("_")[0] != "detection" else True
+            own &= fit if m.split("_")[0] == "structured" else True
+            at = np.flatnonzero(own)
+            flags[m][at] = _matched(p[at], g[at], weight[at])
+        some = np.any(list(flags.values()), axis=0)
+        table = rows.select(["doc_id", "pred_idx", "gold_idx", "class"])
+        for m, f in flags.items():
+            table = table.append_column(m, pa.array(f))
+        return table.filter(pa.array(some))
+
+    return pairs.select("doc_id", "pred_idx", "gold_idx", "class", "same_class", "attributes_ok", "weight", "kind").groupBy("doc_id").applyInArrow(run, schema)
+
+
+def all_counts(pred: DataFrame, gold: DataFrame, docs: DataFrame, edges: DataFrame, metrics: tuple[str, ...] = METRICS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, metric, tp, fp, fn) and (doc_id, class, metric, tp, fp, fn) of all metrics over edges of matched_edges.
+
+    By class, extractions are only matched with those of their class: that makes detection the class metric there."""
+    side = lambda x, p, g: x.select("doc_id", "norm", "class", F.lit(p).alias("p"), F.lit(g).alias("g"))
+    texts = side(pred, 1, 0).unionByName(side(gold, 0, 1)).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    texts = texts.groupBy("doc_id", "norm", "class").agg(F.sum("p").alias("p"), F.sum("g").alias("g"))
+    of = lambda m: F.sum(F.col(m).cast("long")).alias(m)
+    found = edges.groupBy("doc_id", "class").agg(*map(of, MATCHED))
+    by_class = texts.groupBy("doc_id", "class").agg(F.sum("p").alias("p"), F.sum("g").alias("g"), F.sum(F.least("p", "g")).alias("class_strict"))
+    by_class = by_class.join(found, ["doc_id", "class"], "left")
+    strict = texts.groupBy("doc_id", "norm").agg(F.sum("p").alias("p"), F.sum("g").alias("g")).groupBy("doc_id").agg(F.sum(F.least("p", "g")).alias("detection_strict"))
+    whole = by_class.groupBy("doc_id").agg(F.sum("p").alias("p"), F.sum("g").alias("g"), *(F.sum(c).alias(c) for c in ("class_strict", "class_relaxed", "structured_strict", "structured_relaxed")))
+    crossed = edges.groupBy("doc_id").agg(of("detection_relaxed"))
+    whole = whole.join(strict, "doc_id", "left").join(crossed, "doc_id", "left")
+    by_class = by_class.drop("detection_relaxed").withColumn("detection_strict", F.col("class_strict")).withColumn("detection_relaxed", F.col("class_relaxed"))
+
+    def long(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+        each = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.coalesce(m, F.lit(0)).cast("long").alias("tp")) for m in metrics)))
+        return rows.select(*keys, "p", "g", each.alias("_m")).select(*keys, "_m.metric", "_m.tp", (F.col("p") - F.col("_m.tp")).alias("fp"), (F.col("g") - F.col("_m.tp")).alias("fn"))
+
+    return long(whole, ("doc_id",)), long(by_class, ("doc_id", "class"))
+
+
 def _scores(digits: int | None) -> tuple[Column, Column, Column]:
     p, r = T.safe_ratio(F.col("tp"), F.col("tp") + F.col("fp")), T.safe_ratio(F.col("tp"), F.col("tp") + F.col("fn"))
     f1 = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
@@ -230,10 +297,13 @@ def duplicates(pred: DataFrame) -> DataFrame:
     return pred.withColumn("first_idx", F.first("idx").over(key)).where("idx <> first_idx").select("doc_id", "idx", "first_idx")
 
 
-def error_buckets(pred: DataFrame, gold: DataFrame, docs: DataFrame, thresholds: dict[str, float] | None = None, pairs: DataFrame | None = None) -> DataFrame:
-    """(bucket, doc_id, pred_idx, gold_idx). Drift and class errors are the same set by their definitions."""
-    pairs = pairs if pairs is not None else legal_pairs(pred, gold, relaxed=True, thresholds=thresholds)
-    d, c, s = (matches(metric_pairs(pairs, m)).select("doc_id", "pred_idx", "gold_idx") for m in ("detection_relaxed", "class_relaxed", "structured_relaxed"))
+def error_buckets(pred: DataFrame, gold: DataFrame, docs: DataFrame, thresholds: dict[str, float] | None = None, edges: DataFrame | None = None) -> DataFrame:
+    """(bucket, doc_id, pred_idx, gold_idx). Drift and class errors are the same set by their definitions.
+
+    edges: of matched_edges with the relaxed metrics; made and written here if not at hand, as five buckets read them."""
+    relaxed = ("detection_relaxed", "class_relaxed", "structured_relaxed")
+    edges = edges if edges is not None else shared.written(matched_edges(pred, gold, metrics=relaxed, thresholds=thresholds), "edges")
+    d, c, s = (edges.where(m).select("doc_id", "pred_idx", "gold_idx") for m in relaxed)
     null = F.lit(None).cast("int")
     scored = docs.select("doc_id").distinct()
     miss = gold.join(scored, "doc_id", "left_semi").select("doc_id", F.col("idx").alias("gold_idx")).join(d, ["doc_id", "gold_idx"], "left_anti").select(F.lit("miss").alias("bucket"), "doc_id", null.alias("pred_idx"), "gold_idx")

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Domain:
-    """required and optional attribute keys by class; values: closed lists by class and key, None for free text."""
+    """required and optional attribute keys by class; values: closed lists by class and key, None for free text;
+    ignored: keys that matching doesn't score."""
 
     classes: tuple[str, ...]
     keys: dict[str, tuple[str, ...]]
     values: dict[str, dict[str, tuple[str, ...] | None]]
     optional: dict[str, tuple[str, ...]]
+    ignored: tuple[str, ...] = ()
 
     def _by_class(self, cls: Column, table: dict, empty: Column) -> Column:
         out = empty

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
+from spanloom.operators.intervals import CELL
 
 
 def token_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -38,8 +39,11 @@ def sentence_rows(tokens: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
 
 def spans_to_tokens(spans: DataFrame, tokens: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """spans (id, span_id, start, end) with the smallest token range [first, last) that touches each."""
-    hit = spans.withColumnsRenamed({"start": "from", "end": "to"}).join(tokens, id_column).where((F.col("start") < F.col("to")) & (F.col("from") < F.col("end")))
+    """spans (id, span_id, start, end) with the smallest token range [first, last) that touches each. Spans and tokens meet
+    in cells of the text, so a long text is no quadratic group."""
+    cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / CELL), F.floor(F.greatest(F.col(b) - 1, F.col(a)) / CELL)))
+    named = spans.withColumnsRenamed({"start": "from", "end": "to"}).withColumn("_cell", cells("from", "to"))
+    hit = named.join(tokens.withColumn("_cell", cells("start", "end")), [id_column, "_cell"]).where((F.col("start") < F.col("to")) & (F.col("from") < F.col("end")))
     return hit.groupBy(id_column, "span_id", "from", "to").agg(F.min("idx").alias("first_token"), (F.max("idx") + 1).alias("end_token")).withColumnsRenamed({"from": "start", "to": "end"})
 
 

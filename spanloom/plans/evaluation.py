@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import text as T
 from spanloom.operators import evaluate as E
 from spanloom.operators import schema as S
-from spanloom.sources import sinks
+from spanloom.sources import shared, sinks
 
 
 @dataclass
@@ -40,17 +39,19 @@ def check_metrics(names: list[str]) -> tuple[list[str], list[str]]:
 
 
 def evaluate(pred: DataFrame, gold: DataFrame, *, metrics: tuple[str, ...] = E.METRICS, thresholds: dict[str, float] | None = None, domain: S.Domain = S.DEFAULT, compatibility: bool = True) -> Evaluation:
-    """Scores predictions on the gold documents that have any."""
-    pred, gold = E.normalised(pred, compatibility), E.normalised(gold, compatibility)
+    """Scores predictions on the gold documents that have any.
+
+    Normal forms, matched pairs and counts are written to the shared folder once; the bundle's tables read those."""
+    pred, gold = (shared.written(E.normalised(x, compatibility), "side") for x in (pred, gold))
     docs, coverage = E.scored_documents(pred, gold)
+    docs = shared.written(docs, "scored")
     pred = pred.join(docs, "doc_id", "left_semi")
-    pairs = {how: E.legal_pairs(pred, gold, relaxed=how == "relaxed", thresholds=thresholds).persist() for how in ("strict", "relaxed")}
-    count = lambda m, by_class: E.document_counts(pred, gold, docs, m, by_class=by_class, thresholds=thresholds, pairs=pairs[m.split("_")[1]])
-    documents = reduce(DataFrame.unionByName, [count(m, False) for m in metrics])
-    by_class = reduce(DataFrame.unionByName, [count(m, True) for m in metrics])
+    relaxed = ("detection_relaxed", "class_relaxed", "structured_relaxed")  # the error buckets need these
+    edges = shared.written(E.matched_edges(pred, gold, metrics=(*metrics, *relaxed), thresholds=thresholds, ignored=domain.ignored), "edges")
+    documents, by_class = (shared.written(x, "counts") for x in E.all_counts(pred, gold, docs, edges, metrics))
     rate = E.anomaly_rate(pred, domain=domain).select(F.lit("structure_anomaly_rate").alias("metric"), "value", "numerator", "denominator")
     ground = E.grounding(pred).select(F.concat(F.lit("grounding_"), "status", F.lit("_rate")).alias("metric"), "value", "numerator", "denominator")
-    errors = E.error_buckets(pred, gold, docs, thresholds, pairs["relaxed"])
+    errors = E.error_buckets(pred, gold, docs, edges=edges)
     return Evaluation(E.micro(documents), E.macro(documents), E.micro(by_class, ("class", "metric")), documents, rate.unionByName(ground), errors, E.error_samples(errors), coverage)
 
 

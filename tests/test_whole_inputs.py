@@ -39,7 +39,7 @@ def test_neighbor_extractions_all_takes_every_span_as_a_block(spark, tmp_path):
         spans = [(a, min(n, a + 20 + (doc * 13 + k * 7) % 80)) for k, a in enumerate(at)]
         for k, (a, b) in enumerate(spans):
             wanted[doc, k] = sum(s < b + 100 and max(a - 100, 0) < e and s < e for s, e in spans)
-    rows = catalog.QUERIES["neighbor_extractions_all"](spark, str(tmp_path)).collect()
+    rows = catalog.QUERIES["neighbor_extractions"](spark, str(tmp_path)).collect()
     assert len(rows) == len(wanted) == 36 and {(r["doc_id"], r["block_id"]): r["n"] for r in rows} == wanted
 
 
@@ -54,7 +54,7 @@ def test_token_overlap_pairs_whole_measures_whole_turns(spark, tmp_path):
         a, b = tokens(text), tokens(other)
         n = (a & b).total()
         wanted[c, t] = (n, round(n / a.total(), 6), round(n / b.total(), 6))
-    found = catalog.QUERIES["token_overlap_pairs_whole"](spark, str(tmp_path)).collect()
+    found = catalog.QUERIES["token_overlap_pairs"](spark, str(tmp_path)).collect()
     assert len(found) == len(wanted) and {(r["doc_id"], r["idx"]): (r["shared"], r["over_a"], r["over_b"]) for r in found} == wanted
 
 
@@ -62,5 +62,5 @@ def test_heading_asof_all_takes_every_span_as_a_state(spark, tmp_path):
     texts = {1: "x" * 5000, 2: "y" * 300, 3: "z" * 40, 4: "", 5: None, 6: "w" * 12000}
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     wanted = {(d, k): f"state {min(5, ((d * 37 + k * 211) % max(len(t or ''), 1)) // 100)}" for d, t in texts.items() for k in range(6)}
-    rows = catalog.QUERIES["heading_asof_all"](spark, str(tmp_path)).collect()
+    rows = catalog.QUERIES["heading_asof"](spark, str(tmp_path)).collect()
     assert len(rows) == len(wanted) == 36 and {(r["doc_id"], r["span_id"]): r["state"] for r in rows} == wanted
