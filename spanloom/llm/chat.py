@@ -61,57 +61,76 @@ def _quoted(literal: str) -> str:
 
 
 def chain(rows: DataFrame, tree: str, order: str, role: str, text: str) -> DataFrame:
-    """Messages of linear conversations: each row answers the one before it. Rows of one turn follow by role and text."""
+    """Messages of linear conversations: each row answers the one before it. Rows of one turn follow by role and text; null
+    trees are one conversation, null turns, roles and texts come first."""
     place = F.row_number().over(Window.partitionBy("tree").orderBy("turn", "role", "text"))
     named = rows.select(F.col(tree).alias("tree"), F.col(order).alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
     return named.withColumn("message", place.cast("long")).select("tree", "message", F.when(F.col("message") > 1, F.col("message") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
+def _once(messages: DataFrame, *more: str) -> DataFrame:
+    """One row for each (tree, message): of repeated ones the least by parent, the other columns and score. node is the
+    key of a message; nulls in it are values like others."""
+    rest = ("parent", *more, "score")
+    least = F.min(F.struct(*rest)).alias("x")
+    rows = messages.where("message IS NOT NULL").select("tree", "message", *rest).groupBy("tree", "message").agg(least)
+    return rows.select("tree", "message", F.struct("tree", "message").alias("node"), *(F.col(f"x.{c}").alias(c) for c in rest))
+
+
 def branches(messages: DataFrame, keep: int | None = None) -> DataFrame:
     """(tree, leaf, rank, score, depth, message) with a row for each message of each chosen root-to-leaf path.
 
-    messages: tree, message, parent (null or unknown: a root), score. Jump pointers of 1, 2, 4, ... replies are made by
-    self-joins until none is left; going down from the widest, the leaves reach each of their ancestors exactly once.
-    So a path of n messages takes log n joins, and no more rows than the paths have. keep: branches of each tree, best
-    first; ties go to the lesser leaf; None keeps all.
+    messages: tree, message, parent (null or unknown: a root), score. Jumps of 1, 2, 4, ... replies and the scores along
+    them are made by self-joins until every message has reached its root or is known to have none; so branches are ranked
+    before any path is written out. Going down from the widest jump, the chosen leaves reach each of their ancestors
+    exactly once. A path of n messages takes log n joins, and no more rows than the chosen paths have. keep: branches of
+    each tree, best first; ties go to the lesser leaf; None keeps all.
 
-    Null trees are one tree. Repeated (tree, message) rows count once. Messages on or below a cycle of replies have no
-    root and are on no path.
+    Null trees are one tree, a null score counts 0. Of repeated (tree, message) rows the least by parent and score counts.
+    Messages on or below a cycle of replies have no root and are on no path. No messages, no rows.
     """
-    spark = messages.sparkSession
-    scratch = Scratch(spark, "chat")
-    key = lambda m: F.concat_ws("#", F.coalesce(F.col("tree").cast("string"), F.lit("~")), F.col(m).cast("string"))
-    nodes = messages.where("message IS NOT NULL").dropDuplicates(["tree", "message"])
-    nodes = nodes.select("tree", "message", F.coalesce("score", F.lit(0.0)).alias("score"), key("message").alias("node"), F.when(F.col("parent").isNotNull(), key("parent")).alias("up"))
-    nodes = scratch.put(nodes, "nodes")
-    jumps = [scratch.put(nodes.select("node", "up").join(nodes.select(F.col("node").alias("up")), "up", "left_semi").select("node", "up"), "jump-0")]
+    return _paths(_once(messages), keep, Scratch(messages.sparkSession, "chat"))
+
+
+def _paths(once: DataFrame, keep: int | None, scratch: Scratch) -> DataFrame:
+    up = F.when(F.col("parent").isNotNull(), F.struct("tree", F.col("parent").alias("message")))
+    nodes = scratch.put(once.select("node", up.alias("up"), F.coalesce("score", F.lit(0.0)).alias("total")), "nodes")
+    known = nodes.select(F.col("node").alias("above"))
+    first = nodes.join(known, F.col("up") == F.col("above"), "left").select("node", F.col("above").alias("up"), "total", F.lit(1).cast("long").alias("covers"))
+    # up: the ancestor 2^k replies above, null past the root; total and covers: of the messages before it
+    states = [scratch.put(first, "jump-0")]
     rows = nodes.count()
-    while (1 << len(jumps)) <= rows and not jumps[-1].isEmpty():
-        last = jumps[-1]
-        jumps.append(scratch.put(last.join(last.select(F.col("node").alias("up"), F.col("up").alias("over")), "up").select("node", F.col("over").alias("up")), f"jump-{len(jumps)}"))
-    leaves = nodes.join(jumps[0].select(F.col("up").alias("node")).distinct(), "node", "left_anti")
-    reached = leaves.select("tree", F.col("node").alias("leaf_node"), F.col("message").alias("leaf"), "node", F.lit(0).cast("long").alias("back"))
-    for k in range(len(jumps) - 1, -1, -1):
-        over = reached.join(jumps[k], "node").select("tree", "leaf_node", "leaf", F.col("up").alias("node"), (F.col("back") + (1 << k)).alias("back"))
-        reached = scratch.put(reached.unionByName(over), f"reached-{k}")
-    rooted = reached.join(jumps[0].select("node"), "node", "left_anti").select("leaf_node", F.col("back").alias("top"))
-    path = reached.join(rooted, "leaf_node").join(nodes.select("node", "message", "score"), "node")
-    total = path.groupBy("tree", "leaf_node", "leaf").agg(F.sum("score").alias("total"))
-    ranked = total.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), "leaf")))
-    chosen = ranked.where(F.col("rank") <= keep) if keep is not None else ranked
-    return path.select("leaf_node", "message", (F.col("top") - F.col("back")).alias("depth")).join(chosen, "leaf_node").select("tree", "leaf", "rank", F.col("total").alias("score"), "depth", "message")
+    while (1 << len(states)) <= 2 * rows and not states[-1].where("up IS NOT NULL").isEmpty():
+        last = states[-1]
+        over = last.select(F.col("node").alias("at"), F.col("up").alias("over"), F.col("total").alias("more"), F.col("covers").alias("longer"))
+        joined = last.join(over, F.col("up") == F.col("at"), "left")
+        total, covers = F.col("total") + F.coalesce("more", F.lit(0.0)), F.col("covers") + F.coalesce("longer", F.lit(0))
+        states.append(scratch.put(joined.select("node", F.col("over").alias("up"), total.alias("total"), covers.alias("covers")), f"jump-{len(states)}"))
+    answered = states[0].where("up IS NOT NULL").select(F.col("up").alias("node")).distinct()
+    leaves = states[-1].where("up IS NULL").join(answered, "node", "left_anti")
+    leaves = leaves.select(F.col("node.tree").alias("tree"), F.col("node.message").alias("leaf"), "node", F.col("total").alias("score"), "covers")
+    ranked = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
+    chosen = scratch.put(ranked.where(F.col("rank") <= keep) if keep is not None else ranked, "chosen")
+    reached = chosen.select(F.col("node").alias("end"), "node", F.lit(0).cast("long").alias("back"))
+    for k in range(len(states) - 1, -1, -1):
+        jump = states[k].where("up IS NOT NULL").select("node", "up")
+        reached = scratch.put(reached.unionByName(reached.join(jump, "node").select("end", F.col("up").alias("node"), (F.col("back") + (1 << k)).alias("back"))), f"reached-{k}")
+    path = reached.join(chosen.withColumnRenamed("node", "end"), "end")
+    return path.select("tree", "leaf", "rank", "score", (F.col("covers") - 1 - F.col("back")).alias("depth"), F.col("node.message").alias("message"))
 
 
 def format_trees(messages: DataFrame, template: ChatTemplate | None = None, keep: int | None = None) -> DataFrame:
     """(tree, leaf, rank, score, formatted, loss) for each chosen branch.
 
     messages: tree, message, parent, role, text, score. loss: array of (start, length) in code points of formatted, from
-    0, in order: the escaped texts that are learnt. A null role or text is an empty one; no messages, no rows.
+    0, in order: the escaped texts that are learnt. A null role or text is an empty one; of repeated (tree, message) rows
+    the least by parent, role, text and score counts; other columns are ignored; no messages, no rows.
     """
     template = template or ChatTemplate()
-    said = messages.where("message IS NOT NULL").dropDuplicates(["tree", "message"]).select(F.col("tree").alias("of"), F.col("message").alias("said"), "role", "text")
-    path = branches(messages, keep)
-    turns = path.join(said, F.col("tree").eqNullSafe(F.col("of")) & (F.col("message") == F.col("said")))
+    scratch = Scratch(messages.sparkSession, "chat")
+    once = scratch.put(_once(messages, "role", "text"), "messages")
+    path = _paths(once, keep, scratch).withColumn("node", F.struct("tree", "message"))
+    turns = path.join(once.select("node", "role", "text"), "node")
     role, text = template.escape_role(F.col("role")), template.escape(F.col("text"))
     turns = turns.withColumn("head", F.concat(F.lit(template.start), role, F.lit(template.separator))).withColumn("body", text)
     before = Window.partitionBy("tree", "leaf").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)

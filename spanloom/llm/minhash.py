@@ -18,12 +18,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm import words as W
 from spanloom.llm.components import connected_components
-from spanloom.llm.scratch import Scratch
+from spanloom.llm.scratch import Scratch, unused
 
 
 @dataclass(frozen=True)
@@ -290,9 +290,18 @@ def near_duplicates(docs: DataFrame, config: MinHashConfig | None = None, *, id_
 
 
 def keep_one(docs: DataFrame, config: MinHashConfig | None = None, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """docs without all but one row of each group. Of rows with one id the first by text stays; null ids all stay."""
-    groups = near_duplicates(docs, config, id_column=id_column, text_column=text_column)
-    stays = groups.where(F.col("kept")).select(F.col(id_column).alias("_stays")).distinct()
-    kept = docs.join(stays, F.col(id_column).cast("long").eqNullSafe(F.col("_stays")), "left_semi")
-    turn = F.row_number().over(Window.partitionBy(id_column).orderBy(text_column))
-    return kept.withColumn("_turn", turn).where((F.col("_turn") == 1) | F.col(id_column).isNull()).drop("_turn")
+    """docs without all but one row of each group. Of rows with one id the first by a hash of the text, then the text,
+    stays; null ids, null texts and texts without words are linked with nothing and stay (but for repeated ids). Columns
+    stay as they are, whatever their names; an empty table stays empty.
+
+    Rows without an id take no part in the join, and only rows of repeated ids are gathered by id, combined before the
+    shuffle; so neither null ids nor one id of many rows make a large task."""
+    groups = near_duplicates(docs, config, id_column=id_column, text_column=text_column).where(F.col(id_column).isNotNull())
+    own, times, row = (unused(docs.columns, c) for c in ("_stays", "_times", "_row"))
+    stays = groups.groupBy(F.col(id_column).alias(own)).agg(F.count("*").alias(times), F.max("kept").alias("kept")).where("kept").select(own, times)
+    kept = docs.where(F.col(id_column).isNotNull()).join(stays, F.col(id_column).cast("long") == F.col(own))
+    text = F.col(text_column).cast("string")
+    least = F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.struct(F.xxhash64(text), text)).alias(row)
+    again = kept.where(F.col(times) > 1).groupBy(own).agg(least).select(*(F.col(f"{row}.`{c}`").alias(c) for c in docs.columns))
+    alone = kept.where(F.col(times) == 1).drop(own, times)
+    return alone.unionByName(again).unionByName(docs.where(F.col(id_column).isNull()))

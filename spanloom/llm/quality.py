@@ -277,8 +277,12 @@ def classify(docs: DataFrame, config: QualityConfig | None = None, *, id_column:
 
 
 def keep_good(docs: DataFrame, config: QualityConfig | None = None, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """docs without the rows that the classifier rejects. The rows are filtered where they lie, without a shuffle."""
+    """docs without the rows that the classifier rejects. The rows are filtered where they lie, without a shuffle.
+
+    Null and empty texts stay, as they have no features; null ids and repeated rows are rows like others; other columns
+    stay as they are, whatever their names; an empty table stays empty."""
     config = config or QualityConfig()
     docs = docs if docs.schema[text_column].dataType.typeName() == "string" else docs.withColumn(text_column, F.col(text_column).cast("string"))
     _, weight, bias = fit(_texts(docs, id_column, text_column), config, Scratch(docs.sparkSession, "quality"))
-    return docs.mapInArrow(_passed(weight, bias, config, text_column), docs.schema)
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    return plain.mapInArrow(_passed(weight, bias, config, f"c{docs.columns.index(text_column)}"), plain.schema).toDF(*docs.columns)

@@ -6,23 +6,19 @@ compressed, and can be dropped as soon as the next step has been written.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spanloom.sources.shared import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (as in local tests), a temporary one is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        context = spark.sparkContext
-        current = context._jsc.sc().getCheckpointDir()
-        if current.isEmpty():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="spanloom-"))
-            current = context._jsc.sc().getCheckpointDir()
-        folder = current.get()
-    return folder.rstrip("/")
+
+def unused(columns: list[str], name: str) -> str:
+    """The name, with as many underscores as it takes to be none of the columns, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 #: Rows of an Arrow batch at most. Rows here hold whole texts; a batch is in memory several times on its way.

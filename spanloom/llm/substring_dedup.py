@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm import words as W
-from spanloom.llm.scratch import Scratch
+from spanloom.llm.scratch import Scratch, unused
 
 #: Text of one chunk, and distinct windows of one counting bucket; both bound a task's memory, not the data.
 CHUNK_BYTES = 1 << 20
@@ -259,6 +259,8 @@ def cleaned(docs: DataFrame, window: int = 35, *, id_column: str = "doc_id", tex
     """docs with the text left after removal; texts that lose nothing stay exactly as they are.
 
     Rows of one word sequence that are copies of each other lose all of it. A text left without words is an empty one.
+    A null text stays null, null ids are rows like others, repeated rows lose what they repeat; other columns stay as they
+    are, whatever their names; an empty table stays empty.
     """
     scratch = Scratch(docs.sparkSession, "substring")
     texts = _texts(docs, id_column, text_column)
@@ -267,6 +269,7 @@ def cleaned(docs: DataFrame, window: int = 35, *, id_column: str = "doc_id", tex
     scratch.drop("level-2", "survivors")
     whole = copies.select("high", "low", F.lit("").alias("emptied"))
     news = level.select("id", "tag", "high", "low").join(whole, ["high", "low"], "left").join(changed, ["high", "low"], "left").where("emptied IS NOT NULL OR kept_text IS NOT NULL")
-    news = news.select(F.col("id").alias("_id"), F.col("tag").alias("_tag"), F.coalesce("emptied", "kept_text").alias("_new")).dropDuplicates(["_id", "_tag"])
-    same = F.col(id_column).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_column).cast("string")) == F.col("_tag"))
-    return docs.join(news, same, "left").withColumn(text_column, F.coalesce("_new", text_column)).select(*docs.columns)
+    own, tag, new = (unused(docs.columns, c) for c in ("_id", "_tag", "_new"))
+    news = news.select(F.col("id").alias(own), F.col("tag").alias(tag), F.coalesce("emptied", "kept_text").alias(new)).dropDuplicates([own, tag])
+    same = F.col(id_column).cast("long").eqNullSafe(F.col(own)) & (F.xxhash64(F.col(text_column).cast("string")) == F.col(tag))
+    return docs.join(news, same, "left").withColumn(text_column, F.coalesce(new, text_column)).drop(own, tag, new)
