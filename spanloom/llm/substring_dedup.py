@@ -267,11 +267,15 @@ def _survivors(placed: DataFrame, keys: list[str], scratch: Scratch, name: str)
 
 
 def _repeats(texts: DataFrame, n: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """First-level rows, word sequences that more than one row has, and texts with removed words."""
+    """First-level rows, word sequences that more than one row has (and whether they are hot), and texts with removed
+    words."""
     lengths = levels(n)
     level = scratch.put(texts.mapInArrow(_first_level(n), "id long, tag long, n_words long, high long, low long, sha string, anchors array<long>"), "level-0")
     classes = level.where(F.col("n_words") >= n).groupBy("high", "low").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tag")).alias("of"), F.count("*").alias("n"))
-    classes = scratch.put(classes.select("high", "low", F.col("of.id").alias("node"), F.col("of.tag").alias("node_tag"), (F.col("n") > 1).alias("copied")), "classes")
+    classes = scratch.put(classes.select("high", "low", F.col("of.id").alias("node"), F.col("of.tag").alias("node_tag"), (F.col("n") > 1).alias("copied"), "n"), "classes")
+    hot = F.col("n") * HOT >= F.lit(level.count())  # at most HOT classes
+    copies = classes.where("copied").select("high", "low", hot.alias("hot"))
+    classes = classes.drop("n")
     # one row stands for its class
     chosen = level.where(F.col("n_words") >= n).select("id", "tag", F.col("high").alias("p"), F.col("low").alias("q"), "anchors")
     ours = chosen.join(classes, (F.col("p") == F.col("high")) & (F.col("q") == F.col("low")) & F.col("id").eqNullSafe(F.col("node")) & (F.col("tag") == F.col("node_tag")))
@@ -290,7 +294,7 @@ def _repeats(texts: DataFrame, n: int, scratch: Scratch) -> tuple[DataFrame, Dat
         tables += [f"level-{k}", f"survivors-{k}", f"survivors-{k}-counts"]
     cut_schema = "high long, low long, n_removed long, kept_text string, spans array<int>"
     if survivors.isEmpty():
-        return level, classes.where("copied").select("high", "low"), texts.sparkSession.createDataFrame([], cut_schema)
+        return level, copies, texts.sparkSession.createDataFrame([], cut_schema)
 
     size = survivors.agg(F.sum(F.size("anchors"))).first()[0]
     buckets = max(1, -(-size * (n - used + 1) // 2 // BUCKET_WINDOWS))
@@ -300,7 +304,7 @@ def _repeats(texts: DataFrame, n: int, scratch: Scratch) -> tuple[DataFrame, Dat
     chunks = last.where("bucket IS NULL").select("chunk", *_TEXT)
     cut = chunks.groupBy("chunk").cogroup(bits.groupBy("chunk")).applyInArrow(_cover(n, used, buckets), cut_schema)
     scratch.drop(*tables)
-    return level, classes.where("copied").select("high", "low"), cut.where("n_removed > 0")
+    return level, copies, cut.where("n_removed > 0")
 
 
 def removed(docs: DataFrame, window: int = 35, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -318,9 +322,12 @@ def removed(docs: DataFrame, window: int = 35, *, id_column: str = "doc_id", tex
     level, copies, cut = _repeats(texts, window, scratch)
     some = scratch.put(cut.select("high", "low", "n_removed", "kept_text").mapInArrow(_plain, "high long, low long, n_removed long, sha string"), "cut").dropDuplicates(["high", "low"])
     scratch.drop("last")
-    whole = copies.withColumn("whole", F.lit(True))
-    rows = level.select("id", "n_words", "high", "low", F.col("sha").alias("own")).join(whole, ["high", "low"], "left").join(some, ["high", "low"], "left")
-    return rows.select(
+    rows = level.select("id", "n_words", "high", "low", F.col("sha").alias("own"))
+    whole = lambda hot: copies.where("hot" if hot else "NOT hot").select("high", "low", F.lit(True).alias("whole"))
+    # rows of a hot class, which lose all, are marked in place; all others meet what is known of their class
+    full = rows.join(F.broadcast(whole(True)), ["high", "low"]).withColumn("n_removed", F.col("n_words")).withColumn("sha", F.lit(None).cast("string"))
+    rest = rows.join(F.broadcast(whole(True)), ["high", "low"], "left_anti").join(whole(False), ["high", "low"], "left").join(some, ["high", "low"], "left")
+    return full.unionByName(rest).select(
         F.col("id").alias(id_column),
         "n_words",
         F.when(F.col("whole"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
@@ -340,8 +347,11 @@ def cleaned(docs: DataFrame, window: int = 35, *, id_column: str = "doc_id", tex
     level, copies, cut = _repeats(texts, window, scratch)
     changed = scratch.put(cut.select("high", "low", "kept_text"), "cut").dropDuplicates(["high", "low"])
     scratch.drop("last")
-    whole = copies.select("high", "low", F.lit("").alias("emptied"))
-    news = level.select("id", "tag", "high", "low").join(whole, ["high", "low"], "left").join(changed, ["high", "low"], "left").where("emptied IS NOT NULL OR kept_text IS NOT NULL")
+    rows = level.select("id", "tag", "high", "low")
+    whole = lambda hot: copies.where("hot" if hot else "NOT hot").select("high", "low", F.lit("").alias("emptied"))
+    full = rows.join(F.broadcast(whole(True)), ["high", "low"]).withColumn("kept_text", F.lit(None).cast("string"))
+    rest = rows.join(F.broadcast(whole(True)), ["high", "low"], "left_anti").join(whole(False), ["high", "low"], "left").join(changed, ["high", "low"], "left")
+    news = full.unionByName(rest).where("emptied IS NOT NULL OR kept_text IS NOT NULL")
     own, tag, new = (unused(docs.columns, c) for c in ("_id", "_tag", "_new"))
     news = news.select(F.col("id").alias(own), F.col("tag").alias(tag), F.coalesce("emptied", "kept_text").alias(new)).dropDuplicates([own, tag])
     same = F.col(id_column).cast("long").eqNullSafe(F.col(own)) & (F.xxhash64(F.col(text_column).cast("string")) == F.col(tag))

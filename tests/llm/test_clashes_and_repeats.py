@@ -104,3 +104,19 @@ def test_long_texts_of_unlike_sizes(spark):
     assert quality.classify(frame(spark, [*rows, rows[0]])).count() == 5
     assert {r["n_chars"] for r in spotsigs.fingerprints(frame(spark, rows)).collect()} == {len(t) for _, t in rows}
     assert {r["n_tokens"] for r in lm.scores(frame(spark, rows)).collect()} == {len(t.split()) + 1 for _, t in rows}
+
+
+def test_levels_double_and_stop(spark):
+    assert substring_dedup.levels(35) == (9, 18, 35) and substring_dedup.levels(1) == (1,) and substring_dedup.levels(2) == (1, 2)
+    assert all(b <= 2 * a for n in range(1, 80) for a, b in zip(substring_dedup.levels(n), substring_dedup.levels(n)[1:], strict=False))
+    unlike = [(k, lines(100 + k, 60)) for k in range(5)]
+    assert all(r["n_removed"] == 0 for r in substring_dedup.removed(frame(spark, unlike)).collect())
+
+
+def test_hot_copies_and_passages(spark):
+    passage = lines(31, 40)
+    rows = [(k, f"{lines(200 + k, 3)} {passage} {lines(300 + k, 3)}") for k in range(30)] + [(100 + k, lines(32, 50)) for k in range(40)] + [(200, lines(33, 50))]
+    found = {r["doc_id"]: r["n_removed"] for r in substring_dedup.removed(frame(spark, rows)).collect()}
+    assert found == {k: 40 for k in range(30)} | {100 + k: 50 for k in range(40)} | {200: 0}
+    left = {r["doc_id"]: r["text"] for r in substring_dedup.cleaned(frame(spark, rows)).collect()}
+    assert all(len(left[k].split()) == 6 for k in range(30)) and all(left[100 + k] == "" for k in range(40)) and left[200] == lines(33, 50)
