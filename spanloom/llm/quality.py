@@ -59,8 +59,24 @@ def _classes() -> np.ndarray:
     return table
 
 
-def votes(text: pa.Array) -> np.ndarray:
+@dataclass(frozen=True)
+class Words:
+    """The words of all rows, split once for labellers and features: distinct ones, each place's, and row bounds."""
+
+    listed: list[str]
+    code: np.ndarray
+    at: np.ndarray
+
+    @staticmethod
+    def of(text: pa.Array) -> Words:
+        flat, at = W.split(text)
+        coded = flat.dictionary_encode()
+        return Words(coded.dictionary.to_pylist(), np.asarray(coded.indices, dtype=np.int64), at)
+
+
+def votes(text: pa.Array, words: Words | None = None) -> np.ndarray:
     """One row per text and one column per labeller. Texts that are too short for a labeller get no vote of it."""
+    words = words or Words.of(text)
     text = pc.fill_null(text, "")
     data = text.cast(pa.binary())
     raw, at = np.frombuffer(b"".join(data.to_pylist()), dtype=np.uint8), np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(text), dtype=np.int64))])
@@ -70,10 +86,9 @@ def votes(text: pa.Array) -> np.ndarray:
     marks = np.concatenate([[0], np.cumsum((raw == 124) | (raw == 33), dtype=np.int64)])
     marks = marks[at[1:]] - marks[at[:-1]]
     chars = np.maximum(np.diff(at), 1)
-    flat, bound = W.split(text)
-    coded = flat.dictionary_encode()
-    code, n = np.asarray(coded.indices, dtype=np.int64), np.diff(bound)
-    known = np.array([w.strip(".,;:!?").lower() in COMMON for w in coded.dictionary.to_pylist()], dtype=bool)
+    bound, code = words.at, words.code
+    n = np.diff(bound)
+    known = np.array([w.strip(".,;:!?").lower() in COMMON for w in words.listed], dtype=bool)
     row = np.repeat(np.arange(len(n)), n)
     common = np.bincount(row, weights=known[code] if len(code) else None, minlength=len(n)) if len(code) else np.zeros(len(n))
     same = (code[1:] == code[:-1]) & (row[1:] == row[:-1])
@@ -105,11 +120,13 @@ def votes(text: pa.Array) -> np.ndarray:
     )
 
 
+_DIGIT = np.array(["C", "J", "-"])
+
+
 def _voter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    digit = np.array(["C", "J", "-"])
     for batch in batches:
         for part in W.slices(batch, most=W.SLICE_BYTES // 2):
-            yield pa.RecordBatch.from_arrays([part["id"], part["tag"], pa.array(["".join(digit[v]) for v in votes(part["text"])], type=pa.string())], names=["id", "tag", "pattern"])
+            yield pa.RecordBatch.from_arrays([part["id"], part["tag"], pa.array(["".join(_DIGIT[v]) for v in votes(part["text"])], type=pa.string())], names=["id", "tag", "pattern"])
 
 
 def expectation_maximisation(patterns: list[tuple[str, int]], rounds: int = 200) -> tuple[dict[str, float], list[dict[str, float]]]:
@@ -148,15 +165,13 @@ def _shape(word: str) -> str:
     out = _RUNS[3].sub(r"\1\1", word)
     for k, sign in enumerate(("a", "A", "0")):
         out = _RUNS[k].sub(sign, out)
-    return out[:12]
+    return out
 
 
-def features(text: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed features of all texts: slots, values (each text's have length 1), and where each text's begin."""
-    flat, at = W.split(text)
-    n = np.diff(at)
-    coded = flat.dictionary_encode()
-    listed, code = coded.dictionary.to_pylist(), np.asarray(coded.indices, dtype=np.int64)
+def features(text: pa.Array, bits: int, words: Words | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed features of all texts: slots, values (shares of each text), and where each text's begin."""
+    words = words or Words.of(text)
+    listed, code, at = words.listed, words.code, words.at
     mask = (1 << bits) - 1
     shape = np.array([xxhash.xxh3_64_intdigest("s" + _shape(w)) & mask for w in listed], dtype=np.int64)
     own = np.array([xxhash.xxh3_64_intdigest("w" + w.lower()) & mask for w in listed], dtype=np.int64)
@@ -214,9 +229,9 @@ def fit_scorer(rows: list, posterior: dict[str, float], config: QualityConfig) -
     return weight, bias
 
 
-def junk_probability(text: pa.Array, weight: np.ndarray, bias: float, bits: int) -> np.ndarray:
+def junk_probability(text: pa.Array, weight: np.ndarray, bias: float, bits: int, words: Words | None = None) -> np.ndarray:
     """By the scorer; 0 for texts without words."""
-    slot, value, at = features(text, bits)
+    slot, value, at = features(text, bits, words)
     odds = np.bincount(np.repeat(np.arange(len(text)), np.diff(at)), weights=value * weight[slot], minlength=len(text)) + bias
     return np.where(np.diff(at) > 0, np.round(1 / (1 + np.exp(-np.clip(odds, -30, 30))), 6), 0.0)
 
@@ -225,8 +240,10 @@ def _scored(weight: np.ndarray, bias: float, config: QualityConfig) -> Callable[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.slices(batch, most=W.SLICE_BYTES // 2):
-                junk = junk_probability(part["text"], weight, bias, config.bits)
-                yield pa.RecordBatch.from_arrays([part["id"], part["tag"], pa.array(junk), pa.array(junk < config.reject)], names=["id", "tag", "p_junk", "kept"])
+                words = Words.of(part["text"])
+                junk = junk_probability(part["text"], weight, bias, config.bits, words)
+                pattern = pa.array(["".join(_DIGIT[v]) for v in votes(part["text"], words)], type=pa.string())
+                yield pa.RecordBatch.from_arrays([part["id"], part["tag"], pa.array(junk), pa.array(junk < config.reject), pattern], names=["id", "tag", "p_junk", "kept", "pattern"])
 
     return run
 
@@ -270,10 +287,9 @@ def classify(docs: DataFrame, config: QualityConfig | None = None, *, id_column:
     """
     config = config or QualityConfig()
     texts = _texts(docs, id_column, text_column)
-    voted, weight, bias = fit(texts, config, Scratch(docs.sparkSession, "quality"))
-    scored = texts.mapInArrow(_scored(weight, bias, config), "id long, tag long, p_junk double, kept boolean")
-    patterns = voted.select("tag", "pattern").distinct()
-    return scored.join(patterns, "tag").select(F.col("id").alias(id_column), "tag", "p_junk", "kept", "pattern")
+    _, weight, bias = fit(texts, config, Scratch(docs.sparkSession, "quality"))
+    scored = texts.mapInArrow(_scored(weight, bias, config), "id long, tag long, p_junk double, kept boolean, pattern string")
+    return scored.withColumnRenamed("id", id_column)
 
 
 def keep_good(docs: DataFrame, config: QualityConfig | None = None, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
