@@ -31,7 +31,8 @@ class MinHashConfig:
     """shingle: words in a shingle. percent: least similarity of a link in hundredths. bands x rows minima.
 
     With 25 bands of 5 rows a pair of similarity 0.85 shares no band once in two million times, one of 0.8 once in
-    24,000; slack is five standard deviations of the agreement of 125 minima.
+    24,000; slack is five standard deviations of the agreement of 125 minima. block, block_bytes: members of a band that
+    meet others in one task, and bytes of what tells them from their hub.
     """
 
     shingle: int = 5
@@ -40,6 +41,7 @@ class MinHashConfig:
     rows: int = 5
     slack: float = 0.17
     block: int = 4096
+    block_bytes: int = 32 << 20
     seed: int = 7
 
 
@@ -267,12 +269,14 @@ def near_duplicates(docs: DataFrame, config: MinHashConfig | None = None, *, id_
     reached = connected_components(links, scratch, "first")
 
     placed = scratch.put(bucket.join(reached, "node", "left").select("h", "band", "node", F.coalesce("component", "node").alias("component")).distinct(), "placed")
-    mixed = placed.groupBy("h").agg(F.min("component").alias("hub"), F.max("component").alias("far"), F.count("*").alias("n")).where("hub <> far")
-    open_ = scratch.put(placed.join(mixed, "h").select("h", "band", "node", "component", "hub", "n"), "open")
+    mixed = placed.groupBy("h").agg(F.min("component").alias("hub"), F.max("component").alias("far")).where("hub <> far")
+    open_ = scratch.put(placed.join(mixed, "h").select("h", "band", "node", "component", "hub"), "open")
     differ = with_sets(open_.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()).mapInArrow(_differences, "a long, b long, hub_size long, minus binary, plus binary")
     differ = scratch.put(differ.withColumnsRenamed({"a": "node", "b": "hub"}).join(sigs, "node"), "differ")
+    weighed = open_.join(differ.select("node", "hub", (F.octet_length("minus") + F.octet_length("plus") + F.octet_length("sig")).cast("long").alias("bytes")), ["node", "hub"])
+    sizes = weighed.groupBy("h").agg(F.ceil(F.greatest(F.count("*") / config.block, F.sum("bytes") / config.block_bytes)).cast("int").alias("blocks"))
     blocked = (
-        open_.withColumn("blocks", F.ceil(F.col("n") / config.block).cast("int"))
+        open_.join(sizes, "h")
         .withColumn("side", F.pmod(F.xxhash64("node", F.lit(config.seed)), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("h", "band", "node", "component", "hub", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))

@@ -120,3 +120,12 @@ def test_hot_copies_and_passages(spark):
     assert found == {k: 40 for k in range(30)} | {100 + k: 50 for k in range(40)} | {200: 0}
     left = {r["doc_id"]: r["text"] for r in substring_dedup.cleaned(frame(spark, rows)).collect()}
     assert all(len(left[k].split()) == 6 for k in range(30)) and all(left[100 + k] == "" for k in range(40)) and left[200] == lines(33, 50)
+
+
+def test_blocks_by_bytes_give_the_same_groups(spark):
+    import numpy as np
+
+    draw, base = np.random.default_rng(7), lines(41, 80).split()
+    rows = [(i, " ".join([f"x{draw.integers(9)}" if draw.random() < 0.06 else w for w in base])) for i in range(120)]
+    of = lambda c: sorted((r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(frame(spark, rows), c).collect())
+    assert of(minhash.MinHashConfig(shingle=3)) == of(minhash.MinHashConfig(shingle=3, block_bytes=2000))
