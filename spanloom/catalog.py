@@ -22,6 +22,7 @@ from spanloom.operators import residual as R
 from spanloom.operators import tokens as K
 from spanloom.operators.align import align_rows
 from spanloom.plans import evaluation, extraction
+from spanloom.sources import scans, shared, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -571,3 +572,174 @@ def signals_built(spark, sf):
 @query("SELECT page_id, regexp_full_match(url, 'https?://([A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)*|localhost)(:\\d{1,5})?(/\\S*)?(\\?\\S*)?(#\\S*)?') AS is_url FROM pages")
 def page_urls(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.is_url(F.col("url")).alias("is_url"))
+
+
+# --- files ----------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id::VARCHAR AS document_id, length(coalesce(text, ''))::INT AS n_chars, md5(coalesce(text, '')) AS digest FROM documents")
+def csv_documents(spark, sf):
+    """The documents as a delimited file and back."""
+    path = shared.new_path(spark, "documents") + ".csv"
+    rows = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang")
+    rows.write.option("header", True).option("sep", ";").option("quoteAll", True).option("escape", '"').csv(path)
+    text = F.coalesce("text", F.lit(""))
+    return scans.csv_documents(spark, path, id_key="doc_id", text_key="text", delimiter=";").select("document_id", F.length(text).alias("n_chars"), F.md5(text).alias("digest"))
+
+
+def _annotated(spark: SparkSession, sf: str) -> DataFrame:
+    gold = gold_rows(spark, sf).withColumn("ord", F.col("idx")).withColumn("status", F.lit("match_exact"))
+    docs = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.min("text").alias("text"))
+    return extraction.annotated(docs, gold)
+
+
+@query(f"""SELECT doc_id::VARCHAR AS doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1)::INT AS ord, class, text, kind FROM ({_GOLD}) g""")
+def annotated_files(spark, sf):
+    """Annotated documents written as JSON lines, read and exploded."""
+    path = shared.new_path(spark, "annotated")
+    sinks.write_annotated(_annotated(spark, sf).withColumn("token_interval", F.lit(None).cast("string")), path)
+    rows = scans.exploded(scans.annotated_documents(spark, path))
+    return rows.select("doc_id", "ord", "class", "text", F.try_element_at("attributes", F.lit("definition_type")).alias("kind"))
+
+
+@query(f"SELECT doc_id::VARCHAR AS document_id, min(text) AS text, count(*)::INT AS n FROM ({_GOLD}) g GROUP BY doc_id")
+def annotated_in_order(spark, sf):
+    return _annotated(spark, sf).select("document_id", "text", F.size("extractions").alias("n"))
+
+
+@query(f"SELECT bucket_id, conclusion, count(*)::BIGINT AS n FROM ({_SIGNALS}) s GROUP BY ALL")
+def json_stores(spark, sf):
+    """Signals appended to a store in two parts and read again."""
+    path, rows = shared.new_path(spark, "store"), signal_rows(spark, sf).select("event_id", "bucket_id", "conclusion")
+    sinks.append_json(rows.where("event_id % 2 = 0"), path)
+    sinks.append_json(rows.where("event_id % 2 <> 0"), path)
+    return scans.json_store(spark, path, "bucket_id long, conclusion string").groupBy("bucket_id", "conclusion").agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT s.doc_id::VARCHAR AS doc_ref, span_id::INT AS block_id, "start", "end", substr(text, "start" + 1, "end" - "start") AS text, 'a > b' AS tree FROM ({_SPANS}) s JOIN documents d USING (doc_id) WHERE "start" < "end" """)
+def residual_files(spark, sf):
+    """Blocks of each document as one JSON line, written and read again."""
+    path = shared.new_path(spark, "residual")
+    spans = span_rows(spark, sf).where("start < end").join(table(spark, sf, "documents").select("doc_id", F.col("text").alias("whole")), "doc_id")
+    blocks = spans.select("doc_id", F.col("span_id").cast("int").alias("block_id"), "start", "end", T.span(F.col("whole"), F.col("start"), F.col("end")).alias("text"), F.array(F.lit("a"), F.lit("b")).alias("tree"))
+    R.document_json(blocks).select("json").write.text(path)
+    return scans.residual_documents(spark, path, lines=True).select("doc_ref", "block_id", "start", "end", "text", F.array_join("tree", " > ").alias("tree"))
+
+
+@query("SELECT event_type AS run_id, count(*)::BIGINT AS n, sum(event_id)::BIGINT AS total FROM events GROUP BY event_type")
+def observer_files(spark, sf):
+    """Records of runs written by run and read again; a table without records isn't written."""
+    path = shared.new_path(spark, "observer")
+    rows = table(spark, sf, "events").select("event_id", F.col("event_type").alias("run_id"))
+    sinks.write_observer({"chunks": rows, "prompts": rows.where("false")}, path)
+    return scans.observed(spark, path, "chunks", "event_id long").groupBy("run_id").agg(F.count("*").alias("n"), F.sum("event_id").alias("total"))
+
+
+@query(f"SELECT doc_id::VARCHAR AS doc_id, class, text FROM ({_PRED}) p")
+def prediction_files(spark, sf):
+    """Prediction documents as JSON lines, read and exploded."""
+    path = shared.new_path(spark, "predictions") + ".jsonl"
+    item = F.struct(F.col("class").alias("extraction_class"), F.col("text").alias("extraction_text"))
+    pred_rows(spark, sf).groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.collect_list(item).alias("items")).write.json(path)
+    rows = scans.prediction_documents(spark, path).select("doc_id", F.explode("extractions").alias("e"))
+    return rows.select("doc_id", F.col("e.extraction_class").alias("class"), F.col("e.extraction_text").alias("text"))
+
+
+# --- more text functions and checks ---------------------------------------------------------------------------------------
+
+
+@query(r"""WITH w AS (SELECT item_id, lower(unnest(regexp_extract_all(text, '[\p{L}\p{M}]+'))) AS t FROM benchmark)
+SELECT item_id, CASE WHEN length(t) > 3 AND t LIKE '%s' AND t NOT LIKE '%ss' THEN substr(t, 1, length(t) - 1) ELSE t END AS stem, count(*)::BIGINT AS n FROM w GROUP BY ALL""")
+def token_stems(spark, sf):
+    rows = table(spark, sf, "benchmark").select("item_id", F.explode(T.lower_tokens(F.col("text"))).alias("t")).where(T.token_kind(F.col("t")) == T.WORD)
+    return rows.groupBy("item_id", T.stem(F.col("t")).alias("stem")).agg(F.count("*").alias("n"))
+
+
+@query(rf"""WITH {_HEADINGS}, b AS (SELECT doc_id, line, regexp_replace(regexp_replace(line, '^\s+', ''), '\s+$', '') AS s FROM ln),
+c AS (SELECT *, regexp_replace(regexp_replace(s, '^[\s\[\]()<>{{}}''"`*_#.,;:!?-]+', ''), '[\s\[\]()<>{{}}''"`*_#.,;:!?-]+$', '') AS core FROM b)
+SELECT doc_id, sum((s = '' OR regexp_full_match(s, '[\s\-\[\]()#>*_`~|:;,.!?/\\]+'))::INT)::BIGINT AS empty, sum(regexp_full_match(core, '(https?://\S+|www\.\S+)')::INT)::BIGINT AS url,
+  sum((len(regexp_extract_all(line, '\[[^\]]+\]\(#.+?\)')) >= 2)::INT)::BIGINT AS toc, sum(regexp_full_match(line, '\s*#{{1,6}}\s+[^\n]+')::INT)::BIGINT AS heading FROM c GROUP BY doc_id""")
+def text_tests(spark, sf):
+    """How many lines of each Markdown document are empty, an address, a table of contents or a lone heading."""
+    rows = markdown_rows(spark, sf).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    x, n = F.col("line"), lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    return rows.groupBy("doc_id").agg(n(T.is_empty_text(x)).alias("empty"), n(T.is_url_text(x)).alias("url"), n(T.is_toc_text(x)).alias("toc"), n(T.is_heading_text(x)).alias("heading"))
+
+
+@query(r"""WITH f AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents) SELECT doc_id, CASE WHEN length(t) <= 120 THEN t ELSE rtrim(substr(t, 1, 117)) || '...' END AS preview FROM f""")
+def previews(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.preview(F.col("text")).alias("preview"))
+
+
+@query(f"""SELECT doc_id, span_id, greatest(0, "end" - "start") AS n FROM ({_SPANS}) s""")
+def span_lengths(spark, sf):
+    return span_rows(spark, sf).select("doc_id", "span_id", T.span_length(F.col("start"), F.col("end")).alias("n"))
+
+
+@query(f"""SELECT doc_id, idx, kind IS NULL OR turn % 4 <> 1 AS forth, kind IS NOT NULL AND turn % 4 <> 1 AND turn % 4 <> 2 OR kind IS NULL AND turn % 4 <> 2 AS back FROM ({_GOLD}) g""")
+def attribute_matches(spark, sf):
+    """Attributes that differ by case and spaces, by value, or by a key on one side."""
+    t, kind = F.col("turn"), F.col("kind")
+    own = F.when(kind.isNotNull(), F.create_map(F.lit("definition_type"), kind)).otherwise(F.create_map().cast("map<string,string>"))
+    other = F.when(kind.isNotNull(), F.create_map(F.lit("definition_type"), F.when(t % 4 == 1, F.lit("unlike")).otherwise(F.concat(F.lit("  "), F.upper(kind))))).otherwise(F.create_map().cast("map<string,string>"))
+    other = F.when(t % 4 == 2, F.map_concat(other, F.create_map(F.lit("more"), F.lit("x")))).otherwise(other)
+    rows = gold_rows(spark, sf).select("doc_id", "idx", T.normal_attributes(own).alias("a"), T.normal_attributes(other).alias("b"))
+    return rows.select("doc_id", "idx", T.normal_attributes_within(F.col("a"), F.col("b")).alias("forth"), T.normal_attributes_within(F.col("b"), F.col("a")).alias("back"))
+
+
+@query(f"SELECT doc_id, idx, CASE turn % 4 WHEN 0 THEN 'a,b' WHEN 1 THEN 'b' WHEN 2 THEN 'b' ELSE 'b' END AS shown FROM ({_GOLD}) g")
+def shown_attributes(spark, sf):
+    t = F.col("turn")
+    value = F.when(t % 4 == 0, "x").when(t % 4 == 1, "").when(t % 4 == 2, "null")
+    rows = gold_rows(spark, sf).select("doc_id", "idx", T.shown_attributes(F.create_map(F.lit("a"), value, F.lit("b"), F.lit("y"))).alias("m"))
+    return rows.select("doc_id", "idx", F.array_join(F.map_keys("m"), ",").alias("shown"))
+
+
+@query(f"SELECT class, CASE WHEN kind IS NOT NULL THEN 'definition_type' END AS attribute, false AS is_list FROM ({_GOLD}) g GROUP BY ALL")
+def response_schema(spark, sf):
+    return P.response_schema(gold_rows(spark, sf))
+
+
+@query("""WITH d AS (SELECT event_id // 2 AS doc_id, CASE WHEN event_id % 7 <> 0 THEN event_type END AS domain FROM events)
+SELECT doc_id, 'duplicate_doc_id' AS problem FROM d GROUP BY doc_id HAVING count(*) > 1 UNION ALL SELECT doc_id, 'missing_domain' FROM d WHERE domain IS NULL""")
+def dataset_problems(spark, sf):
+    e = F.col("event_id")
+    return E.dataset_problems(table(spark, sf, "events").select(F.floor(e / 2).alias("doc_id"), F.when(e % 7 != 0, F.col("event_type")).alias("domain")))
+
+
+@query(f"""SELECT doc_id, count(*) FILTER (WHERE class = 'tale' OR (kind IS NOT NULL AND class <> 'definition') OR (class = 'definition' AND kind = 'unheard'))::BIGINT AS numerator, count(*)::BIGINT AS denominator FROM ({_PRED}) p GROUP BY doc_id""")
+def anomaly_rates(spark, sf):
+    return E.anomaly_rate(pred_rows(spark, sf), ("doc_id",)).select("doc_id", "numerator", "denominator")
+
+
+@query(f"""WITH a AS (SELECT doc_id, idx, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS k FROM ({_PRED}) p WHERE class = 'tale' OR (kind IS NOT NULL AND class <> 'definition') OR (class = 'definition' AND kind = 'unheard'))
+SELECT doc_id, idx FROM a WHERE k <= 20""")
+def anomaly_samples(spark, sf):
+    return E.anomaly_samples(pred_rows(spark, sf)).select("doc_id", "idx")
+
+
+@query(f"SELECT doc_id, count(*)::BIGINT AS n, count(DISTINCT class)::BIGINT AS classes, count(DISTINCT turn // 3)::BIGINT AS chunks FROM ({_GOLD}) g GROUP BY doc_id")
+def extraction_summary(spark, sf):
+    return extraction.summary(gold_rows(spark, sf).withColumn("chunk", F.floor(F.col("turn") / 3)))
+
+
+def _span_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    rows = span_rows(spark, sf).join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    return rows.select("doc_id", F.col("span_id").alias("chunk"), T.span(F.col("text"), F.col("start"), F.col("end")).alias("chunk_text"))
+
+
+@query(f"""WITH c AS (SELECT s.doc_id, span_id, substr(text, "start" + 1, "end" - "start") AS t FROM ({_SPANS}) s JOIN documents d USING (doc_id)), p AS (SELECT *, lag(t) OVER (PARTITION BY doc_id ORDER BY span_id) AS b FROM c)
+SELECT doc_id, span_id AS chunk, substr(b, greatest(length(b) - 29, 1), 30) AS previous FROM p""")
+def previous_text(spark, sf):
+    """The last 30 characters of the piece before each."""
+    return C.with_previous(_span_chunks(spark, sf), 30).select("doc_id", "chunk", "previous")
+
+
+@query(f"SELECT doc_id, span_id AS chunk, ((row_number() OVER (ORDER BY doc_id, span_id) - 1) // 10)::INT AS batch FROM ({_SPANS}) s")
+def batches_in_order(spark, sf):
+    return C.batches(_span_chunks(spark, sf), 10).select("doc_id", "chunk", "batch")
+
+
+@query(f"SELECT ord, doc_id, block_id FROM (SELECT doc_id, span_id::INT AS block_id FROM ({_SPANS}) s) b JOIN (VALUES (0, 4), (1, 0), (2, 5)) w(ord, block_id) USING (block_id)")
+def blocks_by_id(spark, sf):
+    return R.blocks_by_id(span_rows(spark, sf).select("doc_id", F.col("span_id").cast("int").alias("block_id")), [4, 0, 5]).select("ord", "doc_id", "block_id")

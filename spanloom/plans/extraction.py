@@ -79,6 +79,20 @@ def extract(docs: DataFrame, template: N.Template, provider: N.Provider, config:
     return I.kept_passes(numbered, "doc_id")
 
 
+def annotated(docs: DataFrame, extractions: DataFrame) -> DataFrame:
+    """(document_id, text, extractions) in the order of document ids: every document of docs (doc_id, text) with its
+    extractions (doc_id, ord, class, text, attributes, status) in their order, none for those without. A repeated id is
+    an error."""
+    item = F.struct(F.col("ord").cast("int").alias("extraction_index"), F.col("class").alias("extraction_class"), F.col("text").alias("extraction_text"), "attributes", F.col("status").alias("alignment_status"))
+    order = lambda a, b: a["extraction_index"] - b["extraction_index"]
+    listed = extractions.groupBy("doc_id").agg(F.array_sort(F.collect_list(item), order).alias("extractions"))
+    again = F.raise_error(F.concat(F.lit("repeated document id: "), F.col("doc_id").cast("string"))).cast("string")
+    once = docs.groupBy("doc_id").agg(F.count("*").alias("_n"), F.first("text").alias("_text"))
+    rows = once.join(listed, "doc_id", "left").withColumn("text", F.when(F.col("_n") > 1, again).otherwise(F.col("_text")))
+    none = F.array().cast(listed.schema["extractions"].dataType)
+    return rows.orderBy("doc_id").select(F.col("doc_id").cast("string").alias("document_id"), "text", F.coalesce("extractions", none).alias("extractions"))
+
+
 def summary(extractions: DataFrame) -> DataFrame:
     """Extractions, distinct classes and chunks of each document."""
     return extractions.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("class").alias("classes"), F.countDistinct("chunk").alias("chunks"))

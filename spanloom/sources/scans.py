@@ -109,10 +109,11 @@ def inferred_ids(files: DataFrame) -> DataFrame:
     return files.withColumn("doc_id", T.doc_id_of(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)))
 
 
-def residual_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_ref, extraction_doc_ref, block_id, text, start, end, tree); resblocks may be called blocks, refs in two ways."""
+def residual_documents(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
+    """(doc_ref, extraction_doc_ref, block_id, text, start, end, tree); resblocks may be called blocks, refs in two ways.
+    lines: files of one document a line, else one document a file."""
     block = f"array<struct<block_id:int,text:string,char_interval:{INTERVAL},heading_tree:array<string>>>"
-    rows = spark.read.schema(f"original_doc_ref string, original_doc string, extraction_doc_ref string, extraction_doc string, resblocks {block}, blocks {block}").option("multiLine", True).json(path)
+    rows = spark.read.schema(f"original_doc_ref string, original_doc string, extraction_doc_ref string, extraction_doc string, resblocks {block}, blocks {block}").option("multiLine", not lines).json(path)
     rows = rows.select(F.coalesce("original_doc_ref", "original_doc").alias("doc_ref"), F.coalesce("extraction_doc_ref", "extraction_doc").alias("extraction_doc_ref"), F.explode(F.coalesce("resblocks", "blocks")).alias("_b"))
     return rows.select("doc_ref", "extraction_doc_ref", "_b.block_id", "_b.text", F.col("_b.char_interval.start_pos").alias("start"), F.col("_b.char_interval.end_pos").alias("end"), F.col("_b.heading_tree").alias("tree"))
 
@@ -140,5 +141,10 @@ def observer_tables(spark: SparkSession, root: str, schemas: dict[str, str]) ->
     return out
 
 
+def observed(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
+    """The records of one table as write_observer keeps them, with their run_id."""
+    return spark.read.schema(f"{schema}, run_id string").json(f"{root}/{name}")
+
+
 def numbered(rows: DataFrame, by: str, order: str, name: str = "idx") -> DataFrame:
     return rows.withColumn(name, (F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1).cast("int"))
