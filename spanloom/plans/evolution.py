@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.functions import parsing as P
 from spanloom.functions import text as T
 from spanloom.operators import evolve as V
 from spanloom.operators import intervals as I
@@ -76,18 +77,44 @@ def document_tools(docs: DataFrame, blocks: DataFrame, extractions: DataFrame, d
     return {"neighbor_text": text, "neighbor_extractions": near, "section_text": section}
 
 
-def triage(blocks: dict[int, str], provider, tools: Tools, config: TriageConfig | None = None) -> TriageState:
+#: What a call of each tool may be given.
+_LEVEL = {"type": "string", "enum": list(T.CONTEXT_SIZES)}
+SCHEMAS = {
+    "neighbor_text": {"properties": {"level": _LEVEL, "drop_fences": {"type": "boolean"}}},
+    "neighbor_extractions": {"properties": {"level": _LEVEL}},
+    "section_text": {"properties": {"heading": {"type": "string"}}, "required": ["heading"]},
+}
+
+
+def call_arguments(signals: list[dict], block_ids: list[int]) -> dict:
+    """What the runtime adds to a tool call of a bucket's proposal: the one source document of the blocks asked for, their
+    one extraction document if they have any, and the blocks. signals: block_id, doc_ref, extraction_doc_ref, text, tree,
+    start, end."""
+    chosen = [s for s in signals if s["block_id"] in set(block_ids)]
+    if len(chosen) != len(block_ids):
+        raise ValueError(f"unknown blocks: {sorted(set(block_ids) - {s['block_id'] for s in chosen})}")
+    out: dict = {}
+    for name in ("doc_ref", "extraction_doc_ref"):
+        refs = {s.get(name) for s in chosen} - {None}
+        if len(refs) > 1 or (name == "doc_ref" and not refs):
+            raise ValueError(f"a tool call is about one {name}, not {sorted(refs)}")
+        out |= {name: ref for ref in refs}
+    return out | {"blocks": [{k: s.get(k) for k in ("block_id", "text", "tree", "start", "end")} for s in chosen]}
+
+
+def triage(blocks: dict[int, str], provider, tools: Tools, config: TriageConfig | None = None, schemas: dict[str, dict] | None = None) -> TriageState:
     """Asks about the active blocks of one document until all have conclusions, nothing changes or the turns are used up.
 
     An answer is JSON: conclusions [{block_id, conclusion, reason}] and tools [{name, block_ids, arguments}]. A tool call
-    costs each of its blocks one unit; blocks without budget are left out of it."""
-    config = config or TriageConfig()
+    costs each of its blocks one unit; blocks without budget are left out of it. A call whose arguments break its tool's
+    schema isn't made: what is wrong with it is the evidence. Answers may be fenced."""
+    config, schemas = config or TriageConfig(), SCHEMAS if schemas is None else schemas
     state = TriageState(set(blocks), dict.fromkeys(blocks, config.budget))
     for turn in range(config.turns):
         if not state.active:
             break
         asked = {"turn": turn, "blocks": [{"block_id": k, "text": blocks[k], "budget": state.budget[k], "evidence": state.evidence.get(k, [])} for k in sorted(state.active)]}
-        answer, changed = json.loads(provider.infer([json.dumps(asked, ensure_ascii=False)])[0]), False
+        answer, changed = P.load(provider.infer([json.dumps(asked, ensure_ascii=False)])[0]), False
         for c in answer.get("conclusions", []):
             if c["block_id"] in state.active:
                 state.conclusions.append(c)
@@ -96,7 +123,9 @@ def triage(blocks: dict[int, str], provider, tools: Tools, config: TriageConfig
         for call in answer.get("tools", []):
             able = [k for k in call["block_ids"] if k in state.active and state.budget[k] > 0]
             if able and call["name"] in tools:
-                for k, text in tools[call["name"]](able, call.get("arguments", {})).items():
+                given = call.get("arguments", {})
+                wrong = check_arguments(given, schemas[call["name"]]) if call["name"] in schemas else []
+                for k, text in (dict.fromkeys(able, "; ".join(wrong)) if wrong else tools[call["name"]](able, given)).items():
                     state.evidence.setdefault(k, []).append(text)
                 for k in able:
                     state.budget[k] -= 1
@@ -127,8 +156,8 @@ def propose(bucket: dict, provider, checker, config: ProposalConfig | None = Non
     config = config or ProposalConfig()
     feedback, draft, verdict = None, None, {}
     for _ in range(config.turns):
-        draft = json.loads(provider.infer([json.dumps({"bucket": bucket, "feedback": feedback}, ensure_ascii=False)])[0])
-        verdict = json.loads(checker.infer([json.dumps({"bucket": bucket, "draft": draft}, ensure_ascii=False)])[0])
+        draft = P.load(provider.infer([json.dumps({"bucket": bucket, "feedback": feedback}, ensure_ascii=False)])[0])
+        verdict = P.load(checker.infer([json.dumps({"bucket": bucket, "draft": draft}, ensure_ascii=False)])[0])
         if verdict.get("accepted") or verdict.get("split_required"):
             break
         feedback = verdict.get("reason")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -14,6 +15,9 @@ from spanloom.operators.align import AlignConfig, align, align_rows
 from spanloom.operators.chunks import ChunkPolicy, sentence_chunk_rows, structured_chunk_rows, with_previous
 
 
+log = logging.getLogger(__name__)
+
+
 @dataclass(frozen=True)
 class ExtractConfig:
     """structured: Markdown-aware chunks. previous: characters of the chunk before that a prompt shows."""
@@ -26,10 +30,31 @@ class ExtractConfig:
     workers: int = 1
     index_suffix: str | None = None
     suppress_parse_errors: bool = False
+    example_level: str = "warning"
+    strict_examples: bool = False
     policy: ChunkPolicy = field(default_factory=ChunkPolicy)
     alignment: AlignConfig = field(default_factory=AlignConfig)
 
 
+class ExampleError(ValueError):
+    """Examples that their own texts don't ground."""
+
+
+def guard_examples(template: N.Template, config: AlignConfig, level: str = "warning", *, strict: bool = False) -> list[str]:
+    """Applies a policy to the examples before anything is asked: off looks at nothing, warning logs what is wrong, error
+    stops at examples that aren't found (or, if strict, aren't found exactly). Gives what was logged."""
+    if level not in ("off", "warning", "error"):
+        raise ValueError(f"unknown level: {level}")
+    if level == "off":
+        return []
+    found = check_examples(template, config, strict=True)
+    for line in found:
+        log.warning("%s", line)
+    if level == "error" and (stops := check_examples(template, config, strict=strict)):
+        raise ExampleError(f"{len(stops)} example extractions can't be grounded, the first: {stops[0]}")
+    return found
+
+
 def check_examples(template: N.Template, config: AlignConfig, *, strict: bool = False) -> list[str]:
     """What is wrong with the examples: extractions that their own texts don't ground, or not exactly if strict."""
     out = []
@@ -68,6 +93,7 @@ def extract(docs: DataFrame, template: N.Template, provider: N.Provider, config:
     config = config or ExtractConfig()
     if not template.examples:
         raise ValueError("examples are needed")
+    guard_examples(template, config.alignment, config.example_level, strict=config.strict_examples)
     chunks = chunk_documents(docs, config)
     found = None
     for k in range(config.passes):

@@ -7,12 +7,13 @@ import json
 from dataclasses import dataclass
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.operators import evaluate as E
 from spanloom.plans import evaluation
-from spanloom.sources import scans
+from spanloom.sources import scans, sinks
 
 _PATHS = (("dataset", "registry_path"), ("prediction", "path"), ("baseline", "path"), ("candidate", "path"), ("report", "output_dir"))
 _COMMON = ("domain_plugin", "matcher", "metrics", "report")
@@ -89,15 +90,31 @@ def _write(config: dict, name: str, tables: dict[str, DataFrame], markdown: str,
             rows.write.mode("overwrite").json(str(out / title))
     if "markdown" in formats:
         (out / "summary_report.md").write_text(markdown, encoding="utf-8")
+        if "documents" in tables and "errors" in tables and "bucket" in tables["errors"].columns:
+            _write_documents(tables["documents"], tables["errors"], str(out / "document_reports"))
     (out / "run_config.json").write_text(json.dumps(config, ensure_ascii=False, indent=2), encoding="utf-8")
     return str(out)
 
 
+def _write_documents(counts: DataFrame, errors: DataFrame, path: str) -> None:
+    """A Markdown report for each document, one a row: written where the documents lie, so nothing is collected."""
+    own = counts.groupBy("doc_id").agg(F.collect_list(F.struct("metric", "tp", "fp", "fn")).alias("m"))
+    found = errors.groupBy("doc_id").agg(F.collect_list(F.struct("bucket")).alias("e"))
+
+    @F.arrow_udf("string")
+    def rendered(ids: pa.Array, metrics: pa.Array, buckets: pa.Array) -> pa.Array:
+        return pa.array([sinks.document_markdown(i, m, e or []) for i, m, e in zip(*(x.to_pylist() for x in (ids, metrics, buckets)), strict=True)], type=pa.string())
+
+    own.join(found, "doc_id", "left").select("doc_id", rendered(F.col("doc_id").cast("string"), "m", "e").alias("markdown")).write.mode("overwrite").json(path)
+
+
 def run_evaluation(spark: SparkSession, config: dict, stamp: str) -> str:
     """Evaluates as configured; the folder written. stamp: names the run, so that runs can be repeated."""
     if problems := config_problems(config):
         raise ValueError("; ".join(problems))
     done = _evaluated(spark, config, config["prediction"], _gold(spark, config))
+    for line in E.report_lines([r.asDict() for r in done.micro.collect()]):
+        print(line)
     tables = {"micro": done.micro, "macro_doc": done.macro_doc, "macro_class": done.macro_class, "documents": done.documents, "diagnostics": done.diagnostics, "errors": done.errors, "coverage": done.coverage}
     return _write(config, "eval", tables, done.report(), stamp)
 

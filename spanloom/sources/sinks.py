@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import json
+import math
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,46 +36,95 @@ def _line(name: str, r: dict) -> str:
     return f"- {name}: precision={r['precision']:.4f}, recall={r['recall']:.4f}, f1={r['f1']:.4f}, tp={r['tp']}, fp={r['fp']}, fn={r['fn']}"
 
 
+@dataclass(frozen=True)
+class Remark:
+    """A sentence about one figure of a report, given when the figure is at least `low` or at most `high`."""
+
+    figure: str
+    says: str
+    low: float = -math.inf
+    high: float = math.inf
+
+
+#: The bounds from which a figure counts as a strength, a risk, or asks for action; and how many buckets are named.
+USABLE_RELAXED, WEAK_STRICT = 0.5, 0.4
+HIGH_GROUNDING, LOW_ANOMALIES, MANY_ANOMALIES = 0.7, 0.05, 0.1
+TOP_BUCKETS = 3
+
+#: Fixed titles of the report.
+MICRO, MACRO_DOC, MACRO_CLASS = "Micro Results", "Macro Doc Results", "Macro Class Results"
+DIAGNOSTICS, BUCKETS, KEY_RISKS = "Diagnostic Results", "Error Buckets", "Key Risks"
+
+STRENGTHS = (
+    Remark("structured_relaxed", "matching by text and attributes has come to a usable level", low=USABLE_RELAXED),
+    Remark("grounding_match_exact_rate", "most extractions stand in the text word for word", low=HIGH_GROUNDING),
+    Remark("structure_anomaly_rate", "the schema is kept nearly always", high=LOW_ANOMALIES),
+)
+RISKS = (
+    Remark("structured_strict", "attributes are often wrong where texts are right", high=math.nextafter(WEAK_STRICT, 0)),
+    Remark("structure_anomaly_rate", "the schema is broken often enough to hold back a rollout", low=math.nextafter(MANY_ANOMALIES, 1)),
+)
+ACTIONS = (
+    Remark("structured_relaxed", "tune prompts and clean-up by this metric and its strict form"),
+    Remark("structure_anomaly_rate", "mend breaks of the schema before the matching", low=math.nextafter(0, 1)),
+)
+
+
+def _remarks(remarks: tuple[Remark, ...], figures: dict[str, float]) -> list[str]:
+    return [f"- {r.figure} = {figures[r.figure]:.4f}: {r.says}." for r in remarks if r.figure in figures and r.low <= figures[r.figure] <= r.high]
+
+
+def _section(title: str, lines: list[str], level: int = 2) -> list[str]:
+    return [f"{'#' * level} {title}", "", *lines, ""]
+
+
 def summary_markdown(summary: dict) -> str:
     """A report of collected metric tables: micro, macro_doc, macro_class, diagnostics, errors, samples, as lists of
-    dicts. It ends with what stands out, by fixed bounds."""
-    micro = {r["metric"]: r for r in summary["micro"]}
-    order = lambda r: METRICS.index(r["metric"])
-    out = ["# Evaluation Summary", ""]
-    for title, key in (("Micro Results", "micro"), ("Macro Doc Results", "macro_doc")):
-        out += [f"## {title}", *(_line(r["metric"], r) for r in sorted(summary[key], key=order)), ""]
-    out.append("## Macro Class Results")
-    for name in sorted({r["class"] for r in summary["macro_class"]}):
-        out += [f"### {name}", *(_line(r["metric"], r) for r in sorted((r for r in summary["macro_class"] if r["class"] == name), key=order)), ""]
-    out += ["## Diagnostic Results", *(f"- {r['metric']}: {r['value']:.4f} ({r['numerator']}/{r['denominator']})" for r in summary["diagnostics"]), ""]
-    out += ["## Error Buckets", *(f"- {r['bucket']}: {r['n']}" for r in summary["errors"]), ""]
+    dicts. It ends with what stands out, by fixed bounds, and what to do next."""
+    ranked = lambda rows: sorted(rows, key=lambda r: METRICS.index(r["metric"]))
+    metrics = lambda rows: [_line(r["metric"], r) for r in ranked(rows)]
+    classes: dict[str, list[dict]] = {}
+    for r in summary["macro_class"]:
+        classes.setdefault(r["class"], []).append(r)
+    out = ["# Evaluation", "", *_section(MICRO, metrics(summary["micro"])), *_section(MACRO_DOC, metrics(summary["macro_doc"])), *_section(MACRO_CLASS, [])]
+    for name in sorted(classes):
+        out += _section(name, metrics(classes[name]), 3)
+    out += _section(DIAGNOSTICS, [f"- {r['metric']}: {r['value']:.4f} ({r['numerator']}/{r['denominator']})" for r in summary["diagnostics"]])
+    out += _section(BUCKETS, [f"- {r['bucket']}: {r['n']}" for r in summary["errors"]])
     if summary.get("samples"):
-        out += ["## Error Samples", *(f"- {json.dumps(r, ensure_ascii=False, default=str)}" for r in summary["samples"]), ""]
-    return "\n".join([*out, *_conclusion(micro, {r["metric"]: r for r in summary["diagnostics"]}, summary["errors"])])
-
-
-def _conclusion(micro: dict, diagnostics: dict, errors: list[dict]) -> list[str]:
-    f1 = lambda m: micro.get(m, {}).get("f1", 0.0)
-    anomaly, exact = diagnostics.get("structure_anomaly_rate"), diagnostics.get("grounding_match_exact_rate")
-    good = [t for t, holds in (
-        ("Structured relaxed performance is at a usable level.", f1("structured_relaxed") >= 0.5),
-        ("Grounding exact rate is high, indicating stable span alignment.", bool(exact) and exact["value"] >= 0.7),
-        ("Structure anomaly rate is low, indicating stable schema adherence.", bool(anomaly) and anomaly["value"] <= 0.05),
-    ) if holds]
-    bad = [t for t, holds in (
-        ("Strict structured quality is still weak; attribute correctness remains a bottleneck.", f1("structured_strict") < 0.4),
-        ("Schema violations remain visible and should be reduced before production rollout.", bool(anomaly) and anomaly["value"] > 0.1),
-    ) if holds]
-    bad += [f"Error bucket `{r['bucket']}` contributes {r['n']} cases and should be analyzed." for r in sorted(errors, key=lambda r: (-r["n"], r["bucket"]))[:3] if r["n"]]
-    sections = (("Strengths", good or ["No clear strength stands out from the current report."]), ("Key Risks", bad or ["No dominant risk bucket was observed in this run."]))
-    return ["## Evaluation Conclusion", "", *(x for title, lines in sections for x in (f"### {title}", *(f"- {line}" for line in lines), ""))]
+        out += _section("Examples of errors", [f"- {json.dumps(r, ensure_ascii=False, default=str)}" for r in summary["samples"]])
+    figures = {r["metric"]: r["f1"] for r in summary["micro"]} | {r["metric"]: r["value"] for r in summary["diagnostics"]}
+    figures.setdefault("structured_strict", 0.0)
+    largest = [r for r in sorted(summary["errors"], key=lambda r: (-r["n"], r["bucket"]))[:TOP_BUCKETS] if r["n"]]
+    risks = _remarks(RISKS, figures) + [f"- {r['n']} errors are of the kind {r['bucket']}." for r in largest]
+    actions = _remarks(ACTIONS, figures) + [f"- look at the examples of {r['bucket']} before labels or schema are changed." for r in largest]
+    out += _section("What stands out", [])
+    out += _section("Strengths", _remarks(STRENGTHS, figures) or ["- none by the bounds of this report."], 3)
+    out += _section(KEY_RISKS, risks or ["- none by the bounds of this report."], 3)
+    out += _section("Next steps", actions or ["- none."], 3)
+    return "\n".join(out)
+
+
+def document_markdown(doc_id: object, rows: list[dict], errors: list[dict]) -> str:
+    """The report of one document: its metrics, and its errors by bucket."""
+    counts: dict[str, int] = {}
+    for r in errors:
+        counts[r["bucket"]] = counts.get(r["bucket"], 0) + 1
+    metrics = [f"- {r['metric']}: tp={r['tp']}, fp={r['fp']}, fn={r['fn']}" for r in sorted(rows, key=lambda r: METRICS.index(r["metric"]))]
+    return "\n".join([f"# Document {doc_id}", "", *_section("Metrics", metrics), *_section("Errors", [f"- {k}: {n}" for k, n in sorted(counts.items())])])
 
 
 def comparison_markdown(metrics: list[dict], verdict: dict) -> str:
-    """A report of micro deltas and the regression summary."""
-    rows = [f"- {r['metric']}: baseline F1={r['baseline_f1']:.4f}, candidate F1={r['candidate_f1']:.4f}, ΔF1={r['f1_delta']:+.4f}" for r in sorted(metrics, key=lambda r: METRICS.index(r["metric"]))]
-    counts = ", ".join(f"{k.split('_')[0]} metrics: {verdict[k]}" for k in ("improved_metric_count", "degraded_metric_count", "unchanged_metric_count"))
-    return "\n".join(["# Comparison Summary", "", "## Micro Deltas", *rows, "", "## Comparison Conclusion", "", f"- {verdict['overall_assessment']}.", f"- {verdict['core_metric_assessment']}.", f"- {counts}.", ""])
+    """A report of micro deltas, the regression summary, and how to read them."""
+    change = {r["metric"]: r["f1_delta"] for r in metrics}
+    rows = [f"- {r['metric']}: F1 {r['baseline_f1']:.4f} -> {r['candidate_f1']:.4f}, ΔF1={r['f1_delta']:+.4f}" for r in sorted(metrics, key=lambda r: METRICS.index(r["metric"]))]
+    counts = ", ".join(f"{k.split('_')[0]}: {verdict[k]}" for k in ("improved_metric_count", "degraded_metric_count", "unchanged_metric_count"))
+    relaxed, strict = (change.get(f"structured_{k}", 0.0) for k in ("relaxed", "strict"))
+    worse = relaxed < 0 or strict < 0
+    reading = "the structured metrics fell: keep the baseline." if worse else "the structured metrics rose: the candidate is better." if relaxed > 0 else "the structured metrics hardly moved: nothing is decided."
+    out = ["# Comparison", "", *_section("Micro", rows), *_section("Verdict", [f"- {verdict['overall_assessment']}.", f"- {verdict['core_metric_assessment']}.", f"- {counts}."])]
+    out += _section("How to read it", [f"- {reading}"])
+    return "\n".join(out + _section("Next steps", ["- the tables by document and class show where the change comes from; those of errors and diagnostics, of what kind it is."]))
 
 
 #: Characters of a view around its spans.
