@@ -97,23 +97,27 @@ def _paths(once: DataFrame, keep: int | None, scratch: Scratch) -> DataFrame:
     nodes = scratch.put(once.select("node", up.alias("up"), F.coalesce("score", F.lit(0.0)).alias("total")), "nodes")
     known = nodes.select(F.col("node").alias("above"))
     first = nodes.join(known, F.col("up") == F.col("above"), "left").select("node", F.col("above").alias("up"), "total", F.lit(1).cast("long").alias("covers"))
-    # up: the ancestor 2^k replies above, null past the root; total and covers: of the messages before it
-    states = [scratch.put(first, "jump-0")]
-    rows = nodes.count()
-    while (1 << len(states)) <= 2 * rows and not states[-1].where("up IS NOT NULL").isEmpty():
-        last = states[-1]
-        over = last.select(F.col("node").alias("at"), F.col("up").alias("over"), F.col("total").alias("more"), F.col("covers").alias("longer"))
-        joined = last.join(over, F.col("up") == F.col("at"), "left")
-        total, covers = F.col("total") + F.coalesce("more", F.lit(0.0)), F.col("covers") + F.coalesce("longer", F.lit(0))
-        states.append(scratch.put(joined.select("node", F.col("over").alias("up"), total.alias("total"), covers.alias("covers")), f"jump-{len(states)}"))
-    answered = states[0].where("up IS NOT NULL").select(F.col("up").alias("node")).distinct()
-    leaves = states[-1].where("up IS NULL").join(answered, "node", "left_anti")
+    # up: the ancestor 2^k replies above, null past the root; total and covers: of the messages before it. Only messages
+    # that haven't reached their root go on; those that have are met where they were written
+    state = scratch.put(first, "jump-0")
+    lives, ends, rows = [state.where("up IS NOT NULL")], state.where("up IS NULL").drop("up"), nodes.count()
+    while (1 << len(lives)) <= 2 * rows and not lives[-1].isEmpty():
+        live = lives[-1]
+        met = (F.col("node").alias("at"), F.col("total").alias("more"), F.col("covers").alias("longer"))
+        sums = ((F.col("total") + F.col("more")).alias("total"), (F.col("covers") + F.col("longer")).alias("covers"))
+        on = live.join(live.select(*met, F.col("up").alias("over")), F.col("up") == F.col("at")).select("node", F.col("over").alias("up"), *sums)
+        up_there = live.join(ends.select(*met), F.col("up") == F.col("at")).select("node", F.lit(None).cast(on.schema["up"].dataType).alias("up"), *sums)
+        state = scratch.put(on.unionByName(up_there), f"jump-{len(lives)}")
+        lives.append(state.where("up IS NOT NULL"))
+        ends = ends.unionByName(state.where("up IS NULL").drop("up"))
+    answered = lives[0].select(F.col("up").alias("node")).distinct()
+    leaves = ends.join(answered, "node", "left_anti")
     leaves = leaves.select(F.col("node.tree").alias("tree"), F.col("node.message").alias("leaf"), "node", F.col("total").alias("score"), "covers")
     ranked = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
     chosen = scratch.put(ranked.where(F.col("rank") <= keep) if keep is not None else ranked, "chosen")
     reached = chosen.select(F.col("node").alias("end"), "node", F.lit(0).cast("long").alias("back"))
-    for k in range(len(states) - 1, -1, -1):
-        jump = states[k].where("up IS NOT NULL").select("node", "up")
+    for k in range(len(lives) - 1, -1, -1):
+        jump = lives[k].select("node", "up")
         reached = scratch.put(reached.unionByName(reached.join(jump, "node").select("end", F.col("up").alias("node"), (F.col("back") + (1 << k)).alias("back"))), f"reached-{k}")
     path = reached.join(chosen.withColumnRenamed("node", "end"), "end")
     return path.select("tree", "leaf", "rank", "score", (F.col("covers") - 1 - F.col("back")).alias("depth"), F.col("node.message").alias("message"))
