@@ -1,4 +1,9 @@
-"""From raw documents to packed training sequences: classify, drop near duplicates, cut repeated passages, pack."""
+"""From raw documents to packed training sequences: classify, drop near duplicates, cut repeated passages, pack.
+
+In every stage null and empty texts stay documents (packed as a lone end token), null ids are rows like others, repeated
+rows are copies of each other, texts may be of any length, other columns stay as they are whatever their names, and an
+empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -15,22 +20,23 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go; those without words have nothing to judge and stay."""
     return keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, 0.8) stays."""
+    """One document of each group of near duplicates (five words, 0.8) stays. Documents without an id or without words are
+    in no group and stay; of rows of one id one stays."""
     return keep_one(docs)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 35 words or more that start more than once are cut; n_chars follows the text."""
+    """Passages of 35 words or more that start more than once are cut; n_chars follows the text, null with it."""
     return cleaned(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 1024 tokens."""
+    """Sequences of at most 1024 tokens; a row for each piece of a document, a null text is just the end token."""
     return pack(docs, TOKENIZER)
 
 
