@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
 from spanloom.operators import intervals as I
+from spanloom.sources import shared
 
 
-def covered(docs: DataFrame, extractions: DataFrame, *, ignore: tuple[str, ...] = (), fences: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def covered(docs: DataFrame, extractions: DataFrame, *, ignore: tuple[str, ...] = (), fences: bool = False, id_column: str = "doc_id", text_column: str = "text", fenced: DataFrame | None = None) -> DataFrame:
     """(id, start, end): merged spans of extractions of classes that aren't ignored, tables of contents, heading lines,
-    and fences if they are to be left out. Extractions (id, class, start, end) need 0 <= start < end."""
-    fenced = I.fence_lines(I.line_rows(docs, id_column, text_column), id_column)
+    and fences if they are to be left out. Extractions (id, class, start, end) need 0 <= start < end. fenced: fence_lines
+    of docs, if already at hand."""
+    fenced = fenced if fenced is not None else I.fence_lines(I.line_rows(docs, id_column, text_column), id_column)
     spans = extractions.where("start >= 0 AND start < end")
     spans = spans.where(~F.col("class").isin(*ignore)) if ignore else spans
     every = spans.select(id_column, "start", "end").unionByName(I.toc_spans(docs, id_column, text_column)).unionByName(I.heading_rows(fenced, id_column).select(id_column, "start", "end"))
@@ -28,25 +30,30 @@ def _trimmed(rows: DataFrame) -> DataFrame:
 
 def clean_blocks(raw: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """Blocks (id, start, end, text, tree) cleaned and numbered from 0: tables of contents, addresses and lone headings
-    go; a leading heading moves into the tree; what is empty or only marks then goes."""
+    go; a leading heading moves into the tree; what is empty or only marks then goes. Each step is written, so that no
+    step's expressions are repeated inside those of the next."""
     t = F.col("text")
-    kept = _trimmed(raw.where(~T.is_toc_text(t) & ~T.is_url_text(t) & ~T.is_heading_text(t))).where(~T.is_empty_text(t) & ~T.is_url_text(t))
+    kept = shared.written(_trimmed(raw.where(~T.is_toc_text(t) & ~T.is_url_text(t) & ~T.is_heading_text(t))), "trimmed").where(~T.is_empty_text(t) & ~T.is_url_text(t))
     head = T.leading_heading(t)
     split = kept.withColumn("_head", head).where((F.col("_head") == "") | (T.strip(F.substring(t, F.length("_head") + 1, F.length(t))) != ""))
     moved = split.withColumn("tree", F.when(F.col("_head") != "", F.concat("tree", F.array(T.strip(F.col("_head"))))).otherwise(F.col("tree")))
     moved = moved.withColumn("start", F.col("start") + F.length("_head")).withColumn("text", F.substring(t, F.length("_head") + 1, F.length(t))).drop("_head")
-    last = _trimmed(moved).where((F.col("start") < F.col("end")) & ~T.is_empty_text(t) & ~T.is_url_text(t))
+    last = shared.written(_trimmed(shared.written(moved, "moved")), "trimmed").where((F.col("start") < F.col("end")) & ~T.is_empty_text(t) & ~T.is_url_text(t))
     return last.withColumn("block_id", (F.row_number().over(Window.partitionBy(id_column).orderBy("start")) - 1).cast("int"))
 
 
 def residual_blocks(docs: DataFrame, extractions: DataFrame, *, ignore: tuple[str, ...] = (), fences: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, block_id, start, end, text, tree) of what the extractions leave of each text."""
-    gaps = I.complement(covered(docs, extractions, ignore=ignore, fences=fences, id_column=id_column, text_column=text_column), docs, id_column, text_column)
-    trees = I.heading_trees(I.heading_rows(I.fence_lines(I.line_rows(docs, id_column, text_column), id_column), id_column), id_column)
+    """(id, block_id, start, end, text, tree) of what the extractions leave of each text. Texts, lines and raw blocks are
+    written to the shared folder, as several steps read them."""
+    docs = shared.written(docs.select(id_column, text_column), "texts")
+    lines = shared.written(I.line_rows(docs, id_column, text_column), "lines")
+    fenced = shared.written(I.fence_lines(lines, id_column), "fenced")
+    gaps = I.complement(covered(docs, extractions, ignore=ignore, fences=fences, id_column=id_column, text_column=text_column, fenced=fenced), docs, id_column, text_column)
+    trees = I.heading_trees(I.heading_rows(fenced, id_column), id_column)
     placed = I.as_of(gaps, trees, "tree", id_column).withColumn("tree", F.coalesce("tree", F.array().cast("array<string>")))
     texts = docs.select(id_column, F.col(text_column).alias("_text"))
     raw = placed.join(texts, id_column).withColumn("text", T.span(F.col("_text"), F.col("start"), F.col("end"))).drop("_text")
-    return clean_blocks(raw, id_column).select(id_column, "block_id", "start", "end", "text", "tree")
+    return clean_blocks(shared.written(raw, "raw"), id_column).select(id_column, "block_id", "start", "end", "text", "tree")
 
 
 def coverage(docs: DataFrame, spans: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
