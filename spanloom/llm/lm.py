@@ -29,6 +29,8 @@ END = np.frombuffer(xxhash.xxh3_128_digest(b"\n"), dtype="<u8")[0]
 #: Distinct entries that a task holds before it sends them, and text that it works on at a time.
 HELD = 3 << 20
 TEXT = 8 << 20
+#: Bytes of training text for each bucket of the model at most on average, however few the session's partitions are.
+BUCKET_TEXT = 16 << 20
 
 
 def _packed(numbers: np.ndarray) -> bytes:
@@ -103,6 +105,13 @@ class _Held:
         self.parts, self.size = [], 0
 
 
+def _parted(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket that occurs, and the places where it does."""
+    order = np.argsort(bucket, kind="stable")
+    found, starts = np.unique(bucket[order], return_index=True)
+    return zip(found.tolist(), np.split(order, starts[1:]), strict=True) if len(found) else iter(())
+
+
 def _by_hash(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Buckets in the order of the hashes."""
     return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -154,17 +163,15 @@ class Vocabulary:
     tokens: int
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The number and the count of each word; -1 and 0 for unknown ones. hashes: sorted."""
+        """The number and the count of each word; -1 and 0 for unknown ones."""
         number, count = np.full(len(hashes), -1, dtype=np.int64), np.zeros(len(hashes), dtype=np.int64)
-        cut = np.searchsorted(_by_hash(hashes, self.buckets), np.arange(self.buckets + 1))
-        for b in range(self.buckets):
-            own = hashes[cut[b] : cut[b + 1]]
+        for b, own in _parted(_by_hash(hashes, self.buckets)):
             words = store.load(f"{self.root}/words-{b}", "<u8")
-            if len(own) and len(words):
-                at = np.minimum(np.searchsorted(words, own), len(words) - 1)
-                known = words[at] == own
-                number[cut[b] : cut[b + 1]] = np.where(known, at + self.first[b], -1)
-                count[cut[b] : cut[b + 1]] = np.where(known, store.load(f"{self.root}/word-counts-{b}", "<u8")[at], 0)
+            if len(words):
+                at = np.minimum(np.searchsorted(words, hashes[own]), len(words) - 1)
+                known = words[at] == hashes[own]
+                number[own] = np.where(known, at + self.first[b], -1)
+                count[own] = np.where(known, store.load(f"{self.root}/word-counts-{b}", "<u8")[at], 0)
         return number, count
 
     def numbers(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -262,9 +269,8 @@ class Model:
         v = self.vocabulary
         out = np.full(len(number), (self.left if self.types else 1.0) / (v.size + 1))
         known = np.flatnonzero(number >= 0)
-        bucket = number[known] * v.buckets // max(v.size, 1)
-        for b in np.unique(bucket):
-            own = known[bucket == b]
+        for b, at in _parted(number[known] * v.buckets // max(v.size, 1)):
+            own = known[at]
             words, counts = store.load(f"{v.root}/followers-{b}", "<u8"), store.load(f"{v.root}/follower-counts-{b}", "<u8")
             at = np.minimum(np.searchsorted(words, number[own].astype(np.uint64)), len(words) - 1)
             times = np.where(words[at] == number[own], counts[at], 0).astype(np.float64)
@@ -277,10 +283,10 @@ class Model:
         words, place = np.unique(number, return_inverse=True)
         lower = self.unigrams(words)[place]
         contexts, context = np.unique(before, return_inverse=True)
-        bucket = np.where(contexts >= 0, _bucket_of(contexts, v.buckets), -1)
         sums = np.zeros((len(contexts), 4))
-        for b in np.unique(bucket[bucket >= 0]):
-            own = np.flatnonzero(bucket == b)
+        some = np.flatnonzero(contexts >= 0)
+        for b, at in _parted(_bucket_of(contexts[some], v.buckets)):
+            own = some[at]
             held = store.load(f"{v.root}/contexts-{b}", "<u8")
             if len(held):
                 at = np.minimum(np.searchsorted(held, contexts[own].astype(np.uint64)), len(held) - 1)
@@ -289,14 +295,10 @@ class Model:
         distinct, of = np.unique(keys, return_inverse=True)
         times = np.zeros(len(distinct))
         live = np.flatnonzero(distinct >= 0)
-        home = _bucket_of(distinct[live] // max(v.size, 1), v.buckets)
-        order = np.argsort(home, kind="stable")
-        live, home = live[order], home[order]
-        cut = np.searchsorted(home, np.arange(v.buckets + 1))
-        for b in range(v.buckets):
-            own = live[cut[b] : cut[b + 1]]
+        for b, place in _parted(_bucket_of(distinct[live] // max(v.size, 1), v.buckets)):
+            own = live[place]
             held = store.load(f"{v.root}/bigrams-{b}", "<u8")
-            if len(own) and len(held):
+            if len(held):
                 at = np.minimum(np.searchsorted(held, distinct[own].astype(np.uint64)), len(held) - 1)
                 times[own] = np.where(held[at] == distinct[own], store.load(f"{v.root}/bigram-counts-{b}", "<u4")[at], 0)
         times = times[of]
@@ -325,20 +327,23 @@ def _score(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
 
 def fit(texts: DataFrame, scratch: Scratch) -> Model:
-    """A model of all texts. Buckets: as many as Spark's shuffle partitions."""
-    buckets = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """A model of all texts. Buckets: as many as Spark's shuffle partitions, more where each would stand for more than
+    BUCKET_TEXT bytes of text; each bucket is a task of its own."""
+    length = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-length // BUCKET_TEXT))
     root = scratch.path("model")
-    words = texts.select("text").mapInArrow(_count_words(buckets), _SENT).groupBy("bucket").applyInArrow(_keep_words(root), "bucket int, words long, tokens long").collect()
+    dealt = lambda sent: sent.repartitionById(buckets, F.col("bucket")).groupBy("bucket")
+    words = dealt(texts.select("text").mapInArrow(_count_words(buckets), _SENT)).applyInArrow(_keep_words(root), "bucket int, words long, tokens long").collect()
     sizes = [0] * buckets
     for r in words:
         sizes[r["bucket"]] = r["words"]
     vocabulary = Vocabulary(root, buckets, tuple(int(x) for x in np.concatenate([[0], np.cumsum(sizes)[:-1]])), sum(sizes), sum(r["tokens"] for r in words))
     if not vocabulary.size:
         return Model(vocabulary, (0.0, 0.0, 0.0), (0.0, 0.0, 0.0), 0, 1.0)
-    kept = texts.select("text").mapInArrow(_count_bigrams(vocabulary), _SENT).groupBy("bucket").applyInArrow(_keep_bigrams(vocabulary), f"{_SENT}, from int, of array<long>")
+    kept = dealt(texts.select("text").mapInArrow(_count_bigrams(vocabulary), _SENT)).applyInArrow(_keep_bigrams(vocabulary), f"{_SENT}, from int, of array<long>")
     kept = scratch.put(kept, "continuations")
     of = kept.groupBy("from").agg(F.first("of").alias("of")).agg(*(F.sum(F.col("of")[k]) for k in range(4))).first()
-    ends = kept.select("bucket", "keys", "counts").groupBy("bucket").applyInArrow(_keep_continuations(vocabulary), "bucket int, total long, more long, of array<long>").collect()
+    ends = dealt(kept.select("bucket", "keys", "counts")).applyInArrow(_keep_continuations(vocabulary), "bucket int, total long, more long, of array<long>").collect()
     scratch.drop("continuations")
     types, once = sum(r["total"] for r in ends), [sum(r["of"][k] for r in ends) for k in range(4)]
     unigram = discounts(once)

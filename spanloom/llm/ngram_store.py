@@ -35,27 +35,26 @@ def save(array: np.ndarray, path: str) -> None:
     os.replace(name, here)
 
 
-@lru_cache(maxsize=256)
 def load(path: str, kind: str) -> np.ndarray:
-    """The array as a memory map; empty if there is no such file. From a store that is not mounted, a worker fetches the
-    file once and maps its own copy, which is unlinked at once and goes with the worker."""
+    """The array as a memory map; empty if there is no such file. From a store that is not mounted, a worker reads the
+    file into its memory and keeps the last few."""
     here = _local(path)
-    if here is None:
-        from pyarrow import fs
+    return _fetched(path, kind) if here is None else _mapped(here, kind)
 
-        store, inside = fs.FileSystem.from_uri(path)
-        if store.get_file_info(inside).type == fs.FileType.NotFound:
-            return np.empty(0, dtype=kind)
-        handle, here = tempfile.mkstemp()
-        with os.fdopen(handle, "wb") as out, store.open_input_stream(inside) as source:
-            while block := source.read(1 << 24):
-                out.write(block)
-        try:
-            return _mapped(here, kind)
-        finally:
-            os.unlink(here)
-    return _mapped(here, kind) if os.path.exists(here) else np.empty(0, dtype=kind)
 
+@lru_cache(maxsize=16)
+def _fetched(path: str, kind: str) -> np.ndarray:
+    from pyarrow import fs
 
+    store, inside = fs.FileSystem.from_uri(path)
+    if store.get_file_info(inside).type == fs.FileType.NotFound:
+        return np.empty(0, dtype=kind)
+    with store.open_input_file(inside) as source:
+        return np.frombuffer(source.read_buffer(), dtype=kind)
+
+
+@lru_cache(maxsize=256)
 def _mapped(path: str, kind: str) -> np.ndarray:
-    return np.memmap(path, dtype=kind, mode="r") if os.path.getsize(path) else np.empty(0, dtype=kind)
+    if not os.path.exists(path) or not os.path.getsize(path):
+        return np.empty(0, dtype=kind)
+    return np.memmap(path, dtype=kind, mode="r")

@@ -270,6 +270,17 @@ def test_lm_against_plain_counts(spark):
     assert sum(p("one", w) for w in uni) + p("one", "unseen word") == pytest.approx(1)
 
 
+def test_lm_buckets_follow_the_text(spark, monkeypatch):
+    size = sum(len((t or "").encode()) for _, t in documents())
+    monkeypatch.setattr(lm, "BUCKET_TEXT", size // 7)
+    made = lm.fit(frame(spark).select("text"), Scratch(spark, "lm"))
+    assert made.vocabulary.buckets > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    near = lambda rows: sorted((repr(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 9), round(r["score"], 9)) for r in rows)
+    many = rows_of(lm.scores(frame(spark)))
+    monkeypatch.undo()
+    assert near(many) == near(rows_of(lm.scores(frame(spark))))
+
+
 def test_lm_without_training_rows(spark):
     one = [i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0][0]
     row = rows_of(lm.scores(frame(spark, [(one, "a b c")])))[0]
