@@ -51,7 +51,7 @@ def spans_to_tokens(spans: DataFrame, tokens: DataFrame, id_column: str = "doc_i
 
 _TOKEN = regex.compile(r"[^\W\d_]+|\d+|([^\w\s]|_)\1*")
 _DIGITS, _WORDS = regex.compile(r"\d+"), regex.compile(r"[^\W_]+")
-_END = regex.compile(T.SENTENCE_END)
+_END, _BREAK = regex.compile(T.SENTENCE_END), regex.compile(r"[\n\r]+")
 
 
 @dataclass
@@ -70,18 +70,30 @@ class Tokens:
     def stops(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each token: does it end a sentence, does a new line's sentence follow it, is it a closing mark?"""
         n = len(self)
-        symbol = np.array([not w[0].isalnum() for w in self.word], dtype=bool)
-        ends = np.array([bool(s and _END.search(w)) and not (k and self.word[k - 1] + w in T.ABBREVIATIONS) for k, (w, s) in enumerate(zip(self.word, symbol, strict=True))], dtype=bool)
-        follows = np.zeros(n, dtype=bool)
-        follows[:-1] = [bool(b) and not w[0].islower() for w, b in zip(self.word[1:], self.nl[1:], strict=True)] if n else []
-        return ends, follows, symbol & np.array([w in T.CLOSERS for w in self.word], dtype=bool)
+        ends, follows, closing = (np.zeros(n, dtype=bool) for _ in range(3))
+        for k, w in enumerate(self.word):
+            if not w[0].isalnum():
+                ends[k] = bool(_END.search(w)) and not (k and self.word[k - 1] + w in T.ABBREVIATIONS)
+                closing[k] = w in T.CLOSERS
+        for k in np.flatnonzero(self.nl).tolist():  # never the first
+            follows[k - 1] = not self.word[k][0].islower()
+        return ends, follows, closing
+
+
+def token_spans(text: str) -> list[tuple[int, int]]:
+    """Start and end of each token by the pattern."""
+    return [m.span() for m in _TOKEN.finditer(text)]
 
 
 def scan(text: str, unicode_graphemes: bool = False) -> Tokens:
     """The tokens of a text by the pattern, or by grapheme clusters and scripts."""
-    spans = list(_graphemes(text)) if unicode_graphemes else [m.span() for m in _TOKEN.finditer(text)]
-    start, end = (np.array([s[k] for s in spans], dtype=np.int64) for k in (0, 1))
-    nl = np.array([k > 0 and bool(regex.search(r"[\n\r]", text[spans[k - 1][1] : spans[k][0]])) for k in range(len(spans))], dtype=bool)
+    spans = list(_graphemes(text)) if unicode_graphemes else token_spans(text)
+    place = np.array(spans, dtype=np.int64).reshape(-1, 2)
+    start, end = np.ascontiguousarray(place[:, 0]), np.ascontiguousarray(place[:, 1])
+    nl = np.zeros(len(spans), dtype=bool)
+    if len(spans) > 1 and (breaks := [m.start() for m in _BREAK.finditer(text)]):
+        after = np.searchsorted(start, np.array(breaks), side="right")  # breaks are white space, so each is in a gap
+        nl[after[(after > 0) & (after < len(spans))]] = True
     return Tokens(text, start, end, nl, [text[a:b] for a, b in spans])
 
 

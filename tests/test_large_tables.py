@@ -1,8 +1,11 @@
 """What failed on larger tables or on odd inputs there."""
 
+import difflib
 import hashlib
+import random
 
 from spanloom import catalog
+from spanloom.operators import align as A
 
 
 def test_csv_documents_keep_outer_white_space(spark, tmp_path):
@@ -10,3 +13,32 @@ def test_csv_documents_keep_outer_white_space(spark, tmp_path):
     spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     got = {(r["document_id"], r["n_chars"], r["digest"]) for r in catalog.QUERIES["csv_documents"](spark, str(tmp_path)).collect()}
     assert got == {(str(k), len(t or ""), hashlib.md5((t or "").encode()).hexdigest()) for k, t in enumerate(texts)}
+
+
+def _plan(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_alignment_makes_neither_side_twice(spark):
+    chunks = spark.createDataFrame([(1, 0, "Alpha beta gamma.", 5, 40)], "doc_id long, chunk int, chunk_text string, first_token int, start int")
+    asked = spark.createDataFrame([(1, 0, 1, "gammas", {"k": "v"}), (1, 0, 0, "Alpha beta", None), (1, 0, 2, None, None), (9, 0, 0, "x", None)], "doc_id long, chunk int, ord int, text string, attributes map<string,string>")
+    asked = asked.mapInArrow(lambda batches: batches, asked.schema)
+    rows = A.align_rows(chunks, asked)
+    assert rows.columns == ["doc_id", "chunk", "ord", "text", "attributes", "status", "first_token", "end_token", "start", "end"]
+    assert sorted(tuple(r) for r in rows.collect()) == [(1, 0, 0, "Alpha beta", None, "match_exact", 5, 7, 40, 50), (1, 0, 1, "gammas", {"k": "v"}, "match_fuzzy", 7, 8, 51, 56), (1, 0, 2, None, None, None, None, None, None, None)]
+    assert _plan(rows).count("MapIn") == 2  # the extractions and the alignment
+
+
+def test_best_window_of_a_long_text_takes_few_comparisons(monkeypatch):
+    calls, blocks = [], A.matching_blocks
+    monkeypatch.setattr(A, "matching_blocks", lambda a, b: calls.append(1) or blocks(a, b))
+    source = ["x", "b", *(f"w{k}" for k in range(3000)), "a", "y"]
+    assert A._best_window(source, ["a", "b"], 0.5) == (0, 2)
+    assert len(calls) <= 3
+
+
+def test_matching_blocks_are_those_of_the_standard_library():
+    draw = random.Random(3)
+    for _ in range(500):
+        a, b = ([draw.choice("abcd") for _ in range(draw.randrange(20))] for _ in range(2))
+        assert A.matching_blocks(a, b) == [tuple(x) for x in difflib.SequenceMatcher(autojunk=False, a=a, b=b).get_matching_blocks()[:-1]]
