@@ -1,4 +1,4 @@
-"""Documents to grounded extractions: chunk, prompt, ask, parse, align, merge passes. One lazy plan per pass."""
+"""Documents to grounded extractions: chunk, prompt, ask, parse, align, merge passes. Chunks are written once; one lazy plan per pass."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from spanloom.operators import inference as N
 from spanloom.operators import intervals as I
 from spanloom.operators.align import AlignConfig, align, align_rows
 from spanloom.operators.chunks import ChunkPolicy, sentence_chunk_rows, structured_chunk_rows, with_previous
-
+from spanloom.sources import shared
 
 log = logging.getLogger(__name__)
 
@@ -94,7 +94,7 @@ def extract(docs: DataFrame, template: N.Template, provider: N.Provider, config:
     if not template.examples:
         raise ValueError("examples are needed")
     guard_examples(template, config.alignment, config.example_level, strict=config.strict_examples)
-    chunks = chunk_documents(docs, config)
+    chunks = shared.written(chunk_documents(docs, config), "chunks")  # prompts, answers and alignment read them
     found = None
     for k in range(config.passes):
         rows = extract_pass(chunks, template, provider, config, model=f"{model}#{k}" if k else model)[0].withColumn("pass", F.lit(k))
