@@ -2,10 +2,15 @@
 
 import difflib
 import hashlib
+import math
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from spanloom import catalog
 from spanloom.operators import align as A
+from spanloom.operators import evolve as V
 
 
 def test_csv_documents_keep_outer_white_space(spark, tmp_path):
@@ -42,3 +47,28 @@ def test_matching_blocks_are_those_of_the_standard_library():
     for _ in range(500):
         a, b = ([draw.choice("abcd") for _ in range(draw.randrange(20))] for _ in range(2))
         assert A.matching_blocks(a, b) == [tuple(x) for x in difflib.SequenceMatcher(autojunk=False, a=a, b=b).get_matching_blocks()[:-1]]
+
+
+def test_nearest_pairs_no_rows_and_agrees_with_the_fold(spark):
+    draw, x = np.random.default_rng(7), []
+    for k in range(150):
+        x.append(draw.integers(-2, 3, size=6).astype(float).tolist() if k % 2 else draw.normal(size=6).tolist())
+    x[3], x[20], x[21], x[40], x[41], x[42], x[43] = None, [0.0] * 6, [1.0, None, 1.0, 1.0, 1.0, 1.0], [math.nan, *[1.0] * 5], [math.inf, *[1.0] * 5], [1e-170] * 6, [1e160] * 6
+    x[44], x[45], x[46] = [1.0, 2.0], [], x[20]
+    index = spark.createDataFrame([(f"s{k % 140}", None if k % 9 == 0 else k % 3, v) for k, v in enumerate(x)], "signal_id string, bucket_id int, vector array<double>")
+    queries = spark.createDataFrame([(k, x[k]) for k in (1, 3, 20, 21, 40, 41, 42, 43, 44, 45, 100)], "query_id long, vector array<double>")
+    pairs = index.crossJoin(queries.select("query_id", F.col("vector").alias("_q"))).select("query_id", "signal_id", "bucket_id", V.cosine(F.col("vector"), F.col("_q")).alias("similarity"))
+    wanted = sorted(map(str, V._top(pairs, ["query_id"], 5).select("query_id", "signal_id", "bucket_id", "similarity", "_rank").collect()))
+    for blocks in ((100, 1000), (4, 13)):
+        got = V.nearest(queries, index, 5, query_block=blocks[0], index_block=blocks[1])
+        assert "Join" not in _plan(got)
+        assert sorted(map(str, got.drop("index_name").withColumnRenamed("rank", "_rank").collect())) == wanted
+
+
+def test_best_in_small_blocks():
+    draw = np.random.default_rng(8)
+    e = draw.integers(-1, 2, size=(90, 4)).astype(float)
+    pack = lambda v: (v, np.full(len(v), 4))
+    whole = V._best(pack(e[:20]), pack(e), np.arange(90), 7)
+    parts = V._best(pack(e[:20]), pack(e), np.arange(90), 7, step=3, width=11)
+    assert all((a == b).all() for a, b in zip(whole, parts, strict=True)) and len(whole[0]) == 140
