@@ -6,10 +6,12 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from spanloom import catalog
 from spanloom.operators import align as A
+from spanloom.operators import chunks as C
 from spanloom.operators import evolve as V
 
 
@@ -72,3 +74,25 @@ def test_best_in_small_blocks():
     whole = V._best(pack(e[:20]), pack(e), np.arange(90), 7)
     parts = V._best(pack(e[:20]), pack(e), np.arange(90), 7, step=3, width=11)
     assert all((a == b).all() for a, b in zip(whole, parts, strict=True)) and len(whole[0]) == 140
+
+
+def test_documents_give_small_frames(spark):
+    class Docs:
+        schema = spark.createDataFrame([], "doc_id long, text string").schema
+        select = lambda self, *_: self
+        withColumnRenamed = lambda self, *_: self
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20), pa.int64()), pa.array(["# A heading\n\nSome words here.\n" * 10_000] * 19 + [None])], names=["id", "text"])
+    for make in (C.sentence_chunk_rows, C.block_rows, C.container_rows, C.structured_chunk_rows):
+        frames = list(make(Docs()).run(iter([batch])))
+        assert max(f.num_rows for f in frames) <= C.FRAME_ROWS and max(f.nbytes for f in frames) < 4 * C.FRAME_CHARACTERS
+        assert set(pa.Table.from_batches(frames)["id"].to_pylist()) == set(range(19))
+
+
+def test_batches_make_chunks_once(spark):
+    docs = spark.createDataFrame([(1, "One. Two."), (2, "Three.")], "doc_id long, text string")
+    assert "MapIn" not in _plan(C.batches(C.sentence_chunk_rows(docs, 5), 2))
