@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from spanloom import catalog
 from spanloom.operators import align as A
 from spanloom.operators import chunks as C
+from spanloom.functions import text as T
 from spanloom.operators import evolve as V
+from spanloom.operators import tokens as K
 
 
 def test_csv_documents_keep_outer_white_space(spark, tmp_path):
@@ -96,3 +98,39 @@ def test_documents_give_small_frames(spark):
 def test_batches_make_chunks_once(spark):
     docs = spark.createDataFrame([(1, "One. Two."), (2, "Three.")], "doc_id long, text string")
     assert "MapIn" not in _plan(C.batches(C.sentence_chunk_rows(docs, 5), 2))
+
+
+def test_tokens_are_cut_without_a_shuffle(spark):
+    draw = random.Random(4)
+    odd = ["a", "B", "é", "7", "٣", ".", "?", "!", "。", '"', "'", ")", "”", "\n", "\r\n", " ", "\x85", "_", "--", "²", "ⅷ", "Mr", "Dr.", "\u0301", "\u200d", "漢", "😀", "ß", "\x1c"]
+    texts = ["".join(draw.choice(odd) for _ in range(draw.randrange(40))) for _ in range(300)] + ["", None, "\n", "a."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    rows = K.token_rows(docs, sentences=True)
+    assert "Window" not in _plan(rows) and "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    cut = docs.select("doc_id", F.posexplode(T.pieces(F.col("text"))).alias("place", "token")).withColumn("space", T.is_space(F.col("token"))).orderBy("doc_id", "place").collect()
+    wanted, held = [], {}
+    for r in cut:  # by the pieces of the JVM
+        doc = held.setdefault(r["doc_id"], {"at": 0, "idx": 0, "gap": ""})
+        a, doc["at"] = doc["at"], doc["at"] + len(r["token"])
+        if r["space"]:
+            doc["gap"] = r["token"]
+            continue
+        wanted.append((r["doc_id"], doc["idx"], r["token"], a, doc["at"], doc["idx"] > 0 and bool(set(doc["gap"]) & set("\r\n"))))
+        doc["idx"], doc["gap"] = doc["idx"] + 1, ""
+    got = rows.orderBy("doc_id", "idx").collect()
+    assert [tuple(r[c] for c in ("doc_id", "idx", "token", "start", "end", "nl")) for r in got] == wanted
+    kinds = rows.select("kind", T.token_kind(F.col("token")).alias("k"))
+    assert kinds.where("kind <> k").count() == 0
+    assert sorted(map(tuple, K.sentence_rows(rows.drop("sentence")).collect())) == sorted(map(tuple, got))
+
+
+def test_spans_meet_tokens_within_their_text(spark):
+    draw = random.Random(5)
+    texts = ["ab cd. " * draw.randrange(30) for _ in range(40)] + ["word " * 450_000] * 2 + ["x y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    spans = [(d, k, a := draw.randrange(60), a + draw.randrange(-3, 20)) for d in range(43) for k in range(4)] + [(41, 9, 2_000_001, 2_000_012), (42, 9, -5, 2_147_483_647), (42, 10, None, 3), (77, 0, 0, 5)]
+    spans = spark.createDataFrame(spans, "doc_id long, span_id long, start int, end int")
+    rows = K.spans_to_text_tokens(spans, docs)
+    assert "Generate" not in _plan(rows)
+    wanted = spans.join(K.token_rows(docs).select("doc_id", "idx", F.col("start").alias("s"), F.col("end").alias("e")), "doc_id").where("s < end AND start < e").groupBy("doc_id", "span_id", "start", "end").agg(F.min("idx"), F.max("idx") + 1)
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, wanted.collect()))
