@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,10 +97,51 @@ def line_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     return cut.withColumn("end", end).withColumn("start", F.col("end") - F.length("line")).withColumn("kind", T.line_kind(F.col("line")))
 
 
+def marked_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, line_no, line, end, start, kind, fenced): fence_lines of line_rows, each document where it lies."""
+    key = docs.schema[id_column].dataType.simpleString()
+    cut = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                lists = [(x or "").splitlines(keepends=True) for x in part.column("text").to_pylist()]  # the ends of T.LINES
+                flat = pa.array(list(itertools.chain.from_iterable(lists)), pa.string())
+                marked = np.asarray(pc.match_substring_regex(flat, r"^[ \t\n\x0B\f\r]*(?:```|~~~)").to_numpy(zero_copy_only=False))
+                count = np.array([len(x) for x in lists], dtype=np.int64)
+                begin = np.cumsum(count) - count
+                doc = np.repeat(np.arange(len(count)), count)
+                end = np.cumsum(np.concatenate([[0], np.asarray(pc.utf8_length(flat))]))
+                fenced, open_, mark, last = np.zeros(len(flat), dtype=bool), -1, None, -1
+                stop = lambda d: begin[d] + count[d]
+                for k in np.flatnonzero(marked).tolist():
+                    if open_ >= 0 and doc[k] != last:  # left open in a text before
+                        fenced[open_ : stop(last)] = True
+                        open_ = -1
+                    last, now = doc[k], flat[k].as_py().lstrip()[:3]
+                    if open_ < 0:
+                        open_, mark = k, now
+                    elif now == mark:
+                        fenced[open_ : k + 1], open_ = True, -1
+                if open_ >= 0:
+                    fenced[open_ : stop(last)] = True
+                int32 = lambda x: pa.array(x.astype(np.int32))
+                base = end[begin[doc]]
+                rows = pa.table([part.column("id").take(pa.array(doc)), int32(np.arange(len(flat)) - begin[doc]), flat, int32(end[1:] - base), int32(end[:-1] - base), pa.array(fenced)], names=["id", "line_no", "line", "end", "start", "fenced"])
+                yield from rows.to_batches(max_chunksize=20_000)
+
+    rows = cut.mapInArrow(run, f"id {key}, line_no int, line string, end int, start int, fenced boolean").withColumnRenamed("id", id_column)
+    return rows.select(id_column, "line_no", "line", "end", "start", T.line_kind(F.col("line")).alias("kind"), "fenced")
+
+
+FENCE_MARK = r"^\s*(```|~~~)"
+
+
 def fence_lines(lines: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """lines with fenced: is the line a fence mark or inside a fence? A fence closes with a mark of its own kind, or at
     the end. The marks are folded per document; there are few."""
-    mark = F.regexp_extract("line", r"^\s*(```|~~~)", 1)
+    mark = F.regexp_extract("line", FENCE_MARK, 1)
     marks = lines.withColumn("_mark", mark).where("_mark <> ''")
     listed = marks.groupBy(id_column).agg(F.sort_array(F.collect_list(F.struct("line_no", "_mark"))).alias("_marks"))
     zero = F.struct(F.array().cast("array<struct<a:int,b:int>>").alias("done"), F.lit(None).cast("int").alias("open"), F.lit(None).cast("string").alias("with"))
@@ -124,15 +171,21 @@ def heading_rows(fenced: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
 def heading_trees(headings: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """headings with tree: the first level - 1 entries of the tree before, and the heading itself."""
-    listed = headings.groupBy(id_column).agg(F.sort_array(F.collect_list(F.struct("start", "level", "heading"))).alias("_h"))
-    zero = F.array().cast("array<struct<start:int,tree:array<string>>>")
-
-    def step(out: Column, h: Column) -> Column:
-        last = F.coalesce(F.element_at(F.when(F.size(out) > 0, out), -1)["tree"], F.array().cast("array<string>"))
-        tree = F.concat(F.slice(last, F.lit(1), h["level"] - 1), F.array(h["heading"]))
-        return F.concat(out, F.array(F.struct(h["start"].alias("start"), tree.alias("tree"))))
-
-    return listed.select(id_column, F.explode(F.aggregate("_h", zero, step)).alias("_x")).select(id_column, F.col("_x.start").alias("start"), F.col("_x.tree").alias("tree"))
+    key, at = headings.schema[id_column].dataType.simpleString(), headings.schema["start"].dataType.simpleString()
+    listed = headings.groupBy(id_column).agg(F.sort_array(F.collect_list(F.struct("start", "level", "heading"))).alias("_h")).withColumnRenamed(id_column, "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
+                flat, doc = part.column("_h").flatten(), pc.list_parent_indices(part.column("_h"))
+                start, level, heading = flat.flatten()
+                trees, tree, last = [], [], None
+                for d, n, text in zip(doc.to_pylist(), level.to_pylist(), heading.to_pylist(), strict=True):
+                    tree, last = [*(tree[: n - 1] if d == last else ()), text], d
+                    trees.append(tree)
+                yield pa.RecordBatch.from_arrays([part.column("id").take(doc), start, pa.array(trees, pa.list_(pa.string()))], names=["id", "start", "tree"])
+
+    return listed.mapInArrow(run, f"id {key}, start {at}, tree array<string>").withColumnRenamed("id", id_column)
 
 
 def toc_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

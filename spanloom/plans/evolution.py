@@ -59,7 +59,7 @@ def document_tools(docs: DataFrame, blocks: DataFrame, extractions: DataFrame, d
     text of the section that a heading opens. docs: doc_id, text; blocks: residual blocks; extractions: class, text, start,
     end. Only what the asked blocks need is brought to the driver."""
     doc, own, spans = (x.where(F.col("doc_id") == F.lit(doc_id)) for x in (docs, blocks, extractions))
-    headings = I.heading_rows(I.fence_lines(I.line_rows(doc)))
+    headings = I.heading_rows(I.marked_lines(doc))
     of = lambda ids: own.where(F.col("block_id").isin(ids))
 
     def text(ids: list[int], arguments: dict) -> dict[int, str]:

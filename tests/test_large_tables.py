@@ -14,6 +14,7 @@ from spanloom.operators import align as A
 from spanloom.operators import chunks as C
 from spanloom.functions import text as T
 from spanloom.operators import evolve as V
+from spanloom.operators import intervals as I
 from spanloom.operators import tokens as K
 
 
@@ -134,3 +135,24 @@ def test_spans_meet_tokens_within_their_text(spark):
     assert "Generate" not in _plan(rows)
     wanted = spans.join(K.token_rows(docs).select("doc_id", "idx", F.col("start").alias("s"), F.col("end").alias("e")), "doc_id").where("s < end AND start < e").groupBy("doc_id", "span_id", "start", "end").agg(F.min("idx"), F.max("idx") + 1)
     assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, wanted.collect()))
+
+
+def test_marked_lines_need_no_shuffle(spark):
+    draw = random.Random(6)
+    parts = ["a b", "```", "~~~", "  ```py", "# H", "## H  two", " ### three", "", "x|y|z", "- i", "\x0bq"]
+    texts = ["".join(draw.choice(parts) + draw.choice(["\n", "\r\n", "\r", " "]) for _ in range(draw.randrange(25))) for _ in range(200)] + ["", None, "```", "# end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    rows, plain = I.marked_lines(docs), I.fence_lines(I.line_rows(docs))
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    names = ["doc_id", "line_no", "line", "start", "end", "kind", "fenced"]
+    assert sorted(map(tuple, rows.select(names).collect())) == sorted(map(tuple, plain.select(names).collect()))
+    wanted = {}
+    for r in I.heading_rows(plain).orderBy("doc_id", "start").collect():
+        above = wanted.setdefault(r["doc_id"], [])
+        above.append((r["start"], [*(above[-1][1] if above else [])[: r["level"] - 1], r["heading"]]))
+    trees = I.heading_trees(I.heading_rows(rows))
+    assert "aggregate" not in _plan(trees).replace("Aggregate", "")
+    got = {}
+    for r in trees.orderBy("doc_id", "start").collect():
+        got.setdefault(r["doc_id"], []).append((r["start"], r["tree"]))
+    assert got == wanted
