@@ -14,7 +14,7 @@ def covered(docs: DataFrame, extractions: DataFrame, *, ignore: tuple[str, ...]
     """(id, start, end): merged spans of extractions of classes that aren't ignored, tables of contents, heading lines,
     and fences if they are to be left out. Extractions (id, class, start, end) need 0 <= start < end. fenced: fence_lines
     of docs, if already at hand."""
-    fenced = fenced if fenced is not None else I.fence_lines(I.line_rows(docs, id_column, text_column), id_column)
+    fenced = fenced if fenced is not None else I.marked_lines(docs, id_column, text_column)
     spans = extractions.where("start >= 0 AND start < end")
     spans = spans.where(~F.col("class").isin(*ignore)) if ignore else spans
     every = spans.select(id_column, "start", "end").unionByName(I.toc_spans(docs, id_column, text_column)).unionByName(I.heading_rows(fenced, id_column).select(id_column, "start", "end"))
@@ -43,11 +43,10 @@ def clean_blocks(raw: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
 
 def residual_blocks(docs: DataFrame, extractions: DataFrame, *, ignore: tuple[str, ...] = (), fences: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, block_id, start, end, text, tree) of what the extractions leave of each text. Texts, lines and raw blocks are
+    """(id, block_id, start, end, text, tree) of what the extractions leave of each text. Texts, marked lines and raw blocks are
     written to the shared folder, as several steps read them."""
     docs = shared.written(docs.select(id_column, text_column), "texts")
-    lines = shared.written(I.line_rows(docs, id_column, text_column), "lines")
-    fenced = shared.written(I.fence_lines(lines, id_column), "fenced")
+    fenced = shared.written(I.marked_lines(docs, id_column, text_column).drop("kind"), "fenced")
     gaps = I.complement(covered(docs, extractions, ignore=ignore, fences=fences, id_column=id_column, text_column=text_column, fenced=fenced), docs, id_column, text_column)
     trees = I.heading_trees(I.heading_rows(fenced, id_column), id_column)
     placed = I.as_of(gaps, trees, "tree", id_column).withColumn("tree", F.coalesce("tree", F.array().cast("array<string>")))
