@@ -10,9 +10,10 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, MapType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, MapType, StringType, StructField, StructType
 
 # --- tokens -----------------------------------------------------------------------------------------------------------
 
@@ -222,10 +223,28 @@ def eval_tokens(normal: Column) -> Column:
     return F.regexp_extract_all(normal, F.lit(EVAL_TOKENS), 0)
 
 
-def bag_overlap(a: Column, b: Column) -> Column:
-    """How many elements two bags share."""
-    times = lambda bag, t: F.size(F.filter(bag, lambda x: x == t))
-    return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda n, t: n + F.least(times(a, t), times(b, t)))
+#: Rows whose tokens are counted at once.
+COUNTED_ROWS = 1000
+
+
+def _bag_overlaps(a: pa.Array, b: pa.Array) -> pa.Array:
+    """bag_overlap of some rows: each (row, token) of both sides is one number, and the numbers are counted."""
+    texts, rows = pa.concat_arrays([a.flatten(), b.flatten()]), np.concatenate([np.asarray(pc.list_parent_indices(x)) for x in (a, b)])
+    coded = texts.dictionary_encode()
+    there, first = np.asarray(texts.is_valid()), np.arange(len(texts)) < len(a.flatten())
+    size = max(len(coded.dictionary), 1)
+    keys = rows * size + np.asarray(coded.indices.fill_null(0)).astype(np.int64)
+    (x, n), (y, m) = (np.unique(keys[there & own], return_counts=True) for own in (first, ~first))
+    both, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    shared = np.bincount(both // size, weights=np.minimum(n[i], m[j]), minlength=len(a)).astype(np.int32)
+    return pa.array(shared, mask=~np.asarray(pc.and_(a.is_valid(), b.is_valid())))
+
+
+@F.arrow_udf(IntegerType())
+def bag_overlap(a: pa.Array, b: pa.Array) -> pa.Array:
+    """How many elements two bags share. Nulls inside are none."""
+    parts = [_bag_overlaps(a.slice(k, COUNTED_ROWS), b.slice(k, COUNTED_ROWS)) for k in range(0, len(a), COUNTED_ROWS)]
+    return pa.concat_arrays(parts) if parts else pa.array([], type=pa.int32())
 
 
 def safe_ratio(a: Column, b: Column) -> Column:

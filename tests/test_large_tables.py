@@ -4,6 +4,7 @@ import difflib
 import hashlib
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -156,3 +157,16 @@ def test_marked_lines_need_no_shuffle(spark):
     for r in trees.orderBy("doc_id", "start").collect():
         got.setdefault(r["doc_id"], []).append((r["start"], r["tree"]))
     assert got == wanted
+
+
+def test_bags_are_counted_without_comparing_all_tokens(spark):
+    draw = random.Random(2)
+    rows = [([draw.choice(["a", "b", "c", "é", "", None]) for _ in range(draw.randrange(9))], [draw.choice(["a", "b", "c", "d", "", None]) for _ in range(draw.randrange(9))]) for _ in range(2500)]
+    rows += [(None, ["a"]), (["a"], None), ([], []), (["a"] * 20000, ["a"] * 30000 + [str(k) for k in range(30000)])]
+    frame = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, a array<string>, b array<string>")
+    bag = lambda x: Counter(t for t in x if t is not None)
+    got = {r["k"]: r["n"] for r in frame.select("k", T.bag_overlap(F.col("a"), F.col("b")).alias("n")).collect()}
+    assert got == {k: None if a is None or b is None else (bag(a) & bag(b)).total() for k, (a, b) in enumerate(rows)}
+    frame = spark.createDataFrame([(1, 0, "a b")], "doc_id int, idx int, text string")
+    plan = _plan(catalog._token_overlaps(frame, F.lower("text")))
+    assert plan.count("regexp_extract_all") == 2 and "lambdafunction" not in plan
