@@ -14,6 +14,7 @@ from spanloom import catalog
 from spanloom.operators import align as A
 from spanloom.operators import chunks as C
 from spanloom.functions import text as T
+from spanloom.operators import evaluate as E
 from spanloom.operators import evolve as V
 from spanloom.operators import intervals as I
 from spanloom.operators import tokens as K
@@ -159,6 +160,43 @@ def test_marked_lines_need_no_shuffle(spark):
     assert got == wanted
 
 
+def test_evaluation_sends_each_text_to_python_once(spark):
+    draw = random.Random(11)
+    words = [f"w{k}" for k in range(4)]
+    rows = [(d, k, draw.choice(["goal", "risk", None]), " ".join(draw.choice(words) for _ in range(draw.randrange(7))), draw.choice([None, {"k": "x"}, {"k": "y"}])) for d in (1, 2, None) for k in range(40)]
+    make = lambda rows: E.normalised(spark.createDataFrame(rows, "doc_id long, idx int, class string, text string, attributes map<string,string>"), False)
+    pred, gold = make([r for r in rows if r[1] % 3]), make([(d, k, c, t + " w0" * (k % 2), a) for d, k, c, t, a in rows])
+    for relaxed in (True, False):
+        pairs = E.legal_pairs(pred, gold, relaxed=relaxed)
+        plan = _plan(pairs)
+        assert "Join" not in plan and "Generate" not in plan and plan.count("MapInArrow") == 1
+        side = lambda x, s: x.where("doc_id IS NOT NULL").select("doc_id", *(F.col(c).alias(f"{s}_{c}") for c in ("idx", "class", "norm", "norm_attributes")))
+        every = side(pred, "p").join(side(gold, "g"), "doc_id")
+        weight = T.relaxed_match(F.col("g_norm"), F.col("p_norm"), *(E.THRESHOLDS[k] for k in ("text_relaxed_f1", "substring_precision", "substring_recall", "lccs_ratio"))) if relaxed else F.when(F.expr("p_norm = g_norm"), 1.0)
+        fit = T.normal_attributes_within(F.col("p_norm_attributes"), F.col("g_norm_attributes"))
+        wanted = every.select("doc_id", "p_idx", "g_idx", F.col("g_class").alias("class"), F.expr("p_class = g_class").alias("same"), fit.alias("fit"), weight.alias("weight")).where("weight IS NOT NULL")
+        got = sorted(map(repr, (tuple(r) for r in pairs.collect())))
+        assert got == sorted(map(repr, (tuple(r) for r in wanted.collect()))) and len(got) > 50
+    assert _plan(E.matched_edges(pred, gold)).count("MapInArrow") == 1
+
+
+def test_documents_go_on_across_batches():
+    rows = [(d, k % 2 == 0, k, "goal", f"t{k}", []) for d, n in ((1, 5), (2, 1), (3, 2500), (4, 2)) for k in range(n)]
+    columns = [pa.array(c, type=t) for c, t in zip(zip(*rows), (pa.int64(), pa.bool_(), pa.int32(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string())))]
+    table = pa.RecordBatch.from_arrays(columns, names=["doc_id", "is_pred", "idx", "class", "norm", "norm_attributes"])
+    batches = [table.slice(a, b - a) for a, b in ((0, 3), (3, 6), (6, 6), (6, 1300), (1300, len(rows)))]
+    assert [(d, len(p), len(g)) for d, p, g in E._documents(iter(batches))] == [(1, 3, 2), (3, 1250, 1250), (4, 1, 1)]
+
+
+def test_a_long_document_verifies_few_pairs(monkeypatch):
+    draw, calls, weigh = random.Random(5), [], T.relaxed_weight
+    monkeypatch.setattr(T, "relaxed_weight", lambda *a: calls.append(1) or weigh(*a))
+    # the longest words are in every text, so an order by length lets all pairs meet
+    texts = [" ".join(["everywhere", "commonplace", "ubiquitous", *(f"w{draw.randrange(4000)}" for _ in range(9))]) for _ in range(300)]
+    found = list(E._text_pairs([t + " x" for t in texts], texts, E.THRESHOLDS))
+    assert len(found) == 300 and all(x == y + " x" for x, y, _ in found) and len(calls) < 5000
+
+
 def test_bags_are_counted_without_comparing_all_tokens(spark):
     draw = random.Random(2)
     rows = [([draw.choice(["a", "b", "c", "é", "", None]) for _ in range(draw.randrange(9))], [draw.choice(["a", "b", "c", "d", "", None]) for _ in range(draw.randrange(9))]) for _ in range(2500)]
