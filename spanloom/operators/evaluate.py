@@ -60,6 +60,8 @@ def strict_tp(pred: DataFrame, gold: DataFrame, keys: tuple[str, ...]) -> DataFr
 
 #: Rows that a fold turns into Python objects at once, and edges in one batch that it gives.
 SLICE_ROWS, BATCH_EDGES = 1000, 4096
+#: Pairs of texts of a document that are all verified, as ordering tokens would take longer.
+FEW_PAIRS = 64
 
 
 def _by_document(pred: DataFrame, gold: DataFrame) -> DataFrame:
@@ -93,23 +95,31 @@ def _text_pairs(preds: Iterable[str], golds: Iterable[str], tau: dict[str, float
     preds, golds = sorted(set(preds)), sorted(set(golds))
     tokens = {x: split(x) for x in (*preds, *golds)}
     bags = {x: Counter(t) for x, t in tokens.items()}
-    texts_with = Counter(chain.from_iterable(bags.values()))
-    rank = {t: k for k, t in enumerate(sorted(sorted(texts_with), key=texts_with.__getitem__))}
-
-    def first(x: str) -> list[int]:
-        n = len(tokens[x])
-        need = n - math.ceil(n * share - 1e-9) + 1
-        every = (r + k * len(rank) for r, t in sorted((rank[t], t) for t in bags[x]) for k in range(bags[x][t]))
-        return list(islice(every, max(need, 0)))
-
-    heads, with_token = {x: first(x) for x in tokens}, {}
-    for y in golds:
-        for t in heads[y]:
-            with_token.setdefault(t, []).append(y)
-    for x in preds:
-        n = len(tokens[x])
-        for y in sorted({y for t in heads[x] for y in with_token.get(t, ())}):
-            m = len(tokens[y])
+    sizes = {x: len(t) for x, t in tokens.items()}
+
+    def met() -> Iterator[tuple[str, Iterable[str]]]:
+        if len(preds) * len(golds) <= FEW_PAIRS:
+            yield from ((x, golds) for x in preds)
+            return
+        texts_with = Counter(chain.from_iterable(bags.values()))
+        rank = {t: k for k, t in enumerate(sorted(sorted(texts_with), key=texts_with.__getitem__))}
+
+        def first(x: str) -> list[int]:
+            need = sizes[x] - math.ceil(sizes[x] * share - 1e-9) + 1
+            every = (r + k * len(rank) for r, t in sorted((rank[t], t) for t in bags[x]) for k in range(bags[x][t]))
+            return list(islice(every, max(need, 0)))
+
+        heads, with_token = {x: first(x) for x in tokens}, {}
+        for y in golds:
+            for t in heads[y]:
+                with_token.setdefault(t, []).append(y)
+        for x in preds:
+            yield x, sorted({y for t in heads[x] for y in with_token.get(t, ())})
+
+    for x, found in met():
+        n = sizes[x]
+        for y in found:
+            m = sizes[y]
             if min(n, m) >= share * max(n, m) - 1e-6 and (f := T.relaxed_weight(y, x, tokens[y], tokens[x], bags[y], bags[x], *bounds)) is not None:
                 yield x, y, f
 
